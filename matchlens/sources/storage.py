@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +33,15 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """``df`` pinned, and marked for broadcast only after its rows were counted against ``limit``.
+
+    Above the limit it stays an ordinary join side.
+    """
+    small = pinned(df)
+    return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
