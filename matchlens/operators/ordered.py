@@ -1,8 +1,8 @@
 """Totally ordered running sums, lags and ranks without a one-partition window.
 
 The rows are range-partitioned on the full order (Spark samples the bounds, so a hot group is
-cut into as many buckets as its size needs), the bucket number is pinned by a checkpoint, the
-window runs inside each bucket, and one summary row per bucket and group carries the state from
+cut into as many buckets as its size needs), the bucket number is pinned by writing the rows,
+the window runs inside each bucket, and one summary row per bucket and group carries the state from
 bucket to bucket. The summary has ``buckets`` rows plus at most one more per group.
 """
 

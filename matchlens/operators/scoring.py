@@ -103,15 +103,19 @@ def batch_predict(
     role is one filtered scan, which reads only its own folder when the input is stored by role.
     Rows of roles without a model get no prediction.
     """
-    ready = prepare_players(players, role_column)
+    ready = prepare_players(players, role_column).select(
+        F.col(key).alias("player_id"), "role", *FEATURES
+    )
     parts = [
-        positive_probability(model.transform(ready.where(F.col("role") == role))).withColumn(
-            "model", F.lit(name)
+        as_prediction(
+            positive_probability(
+                model.transform(ready.where(F.col("role") == role))
+            ).withColumn("model", F.lit(name)),
+            ["player_id", "role"],
         )
         for role, (name, model) in models.items()
     ]
-    scored = reduce(DataFrame.unionByName, parts)
-    return as_prediction(scored.withColumnRenamed(key, "player_id"), ["player_id", "role"])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def predict_one(

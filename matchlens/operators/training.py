@@ -34,7 +34,7 @@ from matchlens.operators.features import enough_samples, role_dataset
 from matchlens.operators.scoring import positive_probability, scaler_stats
 from matchlens.operators.split import stratified_folds, stratified_split
 from matchlens.schema import FEATURES, MODELS, ROLES
-from matchlens.sources.storage import scratch_path, write_partitioned
+from matchlens.sources.storage import pinned, scratch_path, write_partitioned
 
 log = logging.getLogger(__name__)
 
@@ -228,11 +228,12 @@ def prepare_training(
 ) -> DataFrame:
     """Role data set with ``is_test`` and ``fold``, written once by role and read back.
 
-    Roles with fewer than ``min_samples`` complete rows are left out.
+    Roles with fewer than ``min_samples`` complete rows are left out. The complete rows are stored
+    before they are split, because finding the cut points reads their keys several times.
     """
     spark = df.sparkSession
     path = path or scratch_path(spark, "training")
-    rows = enough_samples(role_dataset(df, keep=[key]), min_samples)
+    rows = enough_samples(pinned(role_dataset(df, keep=[key]), "roles"), min_samples)
     rows = stratified_split(rows, ["role", "win"], [key], test_fraction, seed, group)
     rows = stratified_folds(rows, ["role", "win", "is_test"], [key], folds, seed + 1)
     write_partitioned(rows, path, "role")

@@ -125,3 +125,69 @@ def plain_sql(text: str) -> str:
     for t in _TABLES:
         text = text.replace("{" + t + "}", t)
     return text
+
+
+# ---- fixed coefficients of the linear scorers (any numbers do; they only have to be fixed) ------
+
+BASE_COEFFICIENTS = {
+    "kde": 0.9, "dpm": 0.4, "multi_kill": 0.2, "gpm": 0.7, "vspm": -0.1, "wcpm": 0.3,
+    "gd_15": 0.6, "xpd_15": 0.25, "csd_15": -0.2, "lvld_15": 0.15, "dtpd": -0.5,
+}
+
+
+def linear_models(roles, models) -> list[tuple]:
+    """``(role, model, intercept, coefficients ...)``, different for every role and model."""
+    rows = []
+    for i, role in enumerate(roles):
+        for j, model in enumerate(models):
+            coefficients = [
+                round(b * (1 + 0.1 * i) * (1 - 0.15 * j) + 0.05 * ((i + j + n) % 3), 6)
+                for n, b in enumerate(BASE_COEFFICIENTS.values())
+            ]
+            rows.append((role, model, round(0.1 * (i - j), 6), *coefficients))
+    return rows
+
+
+# ---- stored result pages: one header and one stats page per order ------------------------------
+
+#: Stat name on the page -> value in terms of the game ``k`` and the player's ``slot``.
+PAGE_VALUES = {
+    "Player": "'S' || CAST(o_custkey % 500 + slot AS STRING)",
+    "Role": "CASE slot % 5 WHEN 0 THEN 'Top' WHEN 1 THEN 'Jungle' WHEN 2 THEN 'Mid'"
+            " WHEN 3 THEN 'ADC' ELSE 'Support' END",
+    "Kills": "CAST((k + 3 * slot) % 15 AS STRING)",
+    "Deaths": "CAST((2 * k + slot) % 9 AS STRING)",
+    "Assists": "CAST((k + 5 * slot) % 20 AS STRING)",
+    "Double kills": "CASE WHEN (k + 3 * slot) % 15 > 9 THEN '1' ELSE '0' END",
+    "Total damage taken": "CAST(9000 + (k * 17 + slot * 31) % 30000 AS STRING)",
+    "KP%": "CAST((k + slot) % 90 AS STRING) || '.5%'",
+    "DPM": "CAST((k * 7 + slot * 11) % 900 AS STRING) || '.25'",
+    "GD@15": "CASE WHEN (k + slot) % 50 = 0 THEN '-'"
+             " ELSE CAST((k * 13 + slot) % 2001 - 1000 AS STRING) END",
+}
+
+#: Players on the page of game ``k``: ten, but nine or eleven on some pages.
+PAGE_PLAYERS = "CASE WHEN k % 89 = 0 THEN 9 WHEN k % 83 = 0 THEN 11 ELSE 10 END"
+
+
+def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``game_id, page_kind, html`` for every order, built from the order's columns."""
+    cells = " || ".join(
+        f"'<tr><td>{name}</td>' || array_join(transform(sequence(0, players - 1),"
+        f" slot -> '<td><b>' || {value} || '</b></td>'), '') || '</tr>'"
+        for name, value in PAGE_VALUES.items()
+    )
+    stats = spark.sql(
+        f"SELECT k AS game_id, 'stats' AS page_kind, '<html><body><table class=\"stats\">' "
+        f"|| {cells} || '</table><table><tr><td>Kills</td><td>0</td></tr></table></body></html>' "
+        f"AS html FROM (SELECT o_orderkey AS k, o_custkey, {PAGE_PLAYERS} AS players FROM {{orders}})",
+        **tables(spark, sf_dir, ["orders"]),
+    )
+    header = header_text(spark, sf_dir).selectExpr(
+        "game_id",
+        "'header' AS page_kind",
+        """'<html><div class="col-12 blue-line-header"><a href="#">' || blue_text
+           || '</a></div><div class="col-12 red-line-header">' || red_text || '</div></html>'
+           AS html""",
+    )
+    return stats.unionByName(header)
