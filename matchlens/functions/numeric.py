@@ -33,20 +33,16 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, 0.5 * (1 + erf)).otherwise(0.5 * (1 - erf))
 
 
-def hash32(*parts) -> Column:
-    """First 32 bits of the md5 of the joined parts: the same on every engine and every retry."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
-
-
-def hash_uniform(*parts) -> Column:
-    """Uniform in (0, 1) fixed by the parts."""
-    return (hash32(*parts) + 0.5) / float(2**32)
+def hash_uniform(*parts, word: int = 0) -> Column:
+    """Uniform in (0, 1) from one 32-bit word of the md5 of the joined parts: the same on every
+    engine and on every retry."""
+    digits = F.substring(F.md5(F.concat_ws("|", *parts)), 8 * word + 1, 8)
+    return (F.conv(digits, 16, 10).cast("long") + 0.5) / float(2**32)
 
 
 def hash_normal(*parts) -> Column:
-    """Standard normal fixed by the parts (Box-Muller on two hash uniforms)."""
-    u1 = hash_uniform(*parts, F.lit("a"))
-    u2 = hash_uniform(*parts, F.lit("b"))
+    """Standard normal fixed by the parts (Box-Muller on two words of one hash)."""
+    u1, u2 = hash_uniform(*parts, word=0), hash_uniform(*parts, word=1)
     return F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * math.pi * u2)
 
 

@@ -13,6 +13,7 @@ import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from matchlens.functions.numeric import Z_975, hash_normal, normal_cdf, squeeze_logit
@@ -20,7 +21,7 @@ from matchlens.functions.text import interval_text, player_from_parameter, popul
 from matchlens.operators.joins import salted_join
 from matchlens.operators.ordered import ntile_of, ranked
 from matchlens.schema import CONTEXTS
-from matchlens.sources.storage import pinned
+from matchlens.sources.storage import pinned, sized
 
 # --- fixed values -----------------------------------------------------------
 PRIOR_SD = 0.5          # prior standard deviation of the population effect
@@ -131,16 +132,21 @@ class PressureFit:
 
 
 def _cells(rows: DataFrame, require_both: tuple[str, ...], opponent: str | None) -> DataFrame:
-    """Moments of the logit score per context, player, condition (and opponent), pinned."""
-    counts = condition_counts(rows).where(qualifies(require_both))
-    n_rows = counts.groupBy("context").agg(
-        F.sum(F.col("n_pressure") + F.col("n_normal")).alias("n_context")
+    """Moments of the logit score per context, player, condition (and opponent), pinned.
+
+    ``pm`` is the player's mean. A player has at most two cells per opponent, so the window over a
+    player's cells stays small however many rows the player has.
+    """
+    n_rows = (
+        condition_counts(rows)
+        .where(qualifies(require_both))
+        .groupBy("context")
+        .agg(F.sum(F.col("n_pressure") + F.col("n_normal")).alias("n_context"))
     )
     z = squeeze_logit(F.col("score"), F.col("n_context"))
     by_opponent = F.col(opponent) if opponent else F.lit("")
     moments = (
-        # n_context has one row per context, of which there are three.
-        rows.join(F.broadcast(n_rows.where(F.col("context").isin(CONTEXTS))), "context")
+        rows.join(_three(n_rows), "context")
         .withColumn("z", z)
         .groupBy(*PLAYER, "pressure", by_opponent.alias("opponent"))
         .agg(
@@ -150,12 +156,16 @@ def _cells(rows: DataFrame, require_both: tuple[str, ...], opponent: str | None)
             F.max("n_context").alias("n_context"),
         )
     )
-    cells = pinned(moments)
-    seen = cells.groupBy(*PLAYER).agg(
-        F.sum(F.when(F.col("pressure") == 1, F.col("n")).otherwise(0)).alias("n_pressure"),
-        F.sum(F.when(F.col("pressure") == 0, F.col("n")).otherwise(0)).alias("n_normal"),
+    own = W.partitionBy(*PLAYER)
+    n_in = {p: F.sum(F.when(F.col("pressure") == p, F.col("n")).otherwise(0)).over(own)
+            for p in (0, 1)}
+    cells = moments.select(
+        "*",
+        n_in[1].alias("n_pressure"),
+        n_in[0].alias("n_normal"),
+        (F.sum("s1").over(own) / F.sum("n").over(own)).alias("pm"),
     )
-    return cells.join(seen.where(qualifies(require_both)).select(*PLAYER), PLAYER, "left_semi")
+    return pinned(cells.where(qualifies(require_both)).drop("n_pressure", "n_normal"), "cells")
 
 
 def _groups(cells: DataFrame) -> DataFrame:
@@ -219,10 +229,8 @@ def _adjust_for_opponent(cells: DataFrame) -> DataFrame:
     rows played against still has at most two cells per player.
     """
     s2 = _residual_variance(_groups(cells)).select("context", "s2")
-    player_mean = cells.groupBy(*PLAYER).agg((F.sum("s1") / F.sum("n")).alias("pm"))
     effect = (
-        cells.join(player_mean, PLAYER)
-        .groupBy("context", "opponent")
+        cells.groupBy("context", "opponent")
         .agg(
             (F.sum(F.col("s1") - F.col("n") * F.col("pm")) / F.sum("n")).alias("d"),
             F.sum("n").alias("n_opp"),
@@ -338,6 +346,12 @@ def fit_pressure(
 # ---- draws and their summary -----------------------------------------------------------------
 
 
+def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """A small table over all cores by key, before each of its rows is multiplied by the draws."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def _normal(*parts: str, seed: int) -> Column:
     return hash_normal(*[F.col(p).cast("string") for p in parts], F.lit(str(seed)))
 
@@ -351,23 +365,26 @@ def population_draws(fit: PressureFit, n_draws: int = N_DRAWS, seed: int = SEED)
     )
 
 
-def player_draws(fit: PressureFit, n_draws: int = N_DRAWS, seed: int = SEED) -> DataFrame:
-    """``context, draw, player, u1``: the player's deviation from the population effect.
+def player_draws(
+    fit: PressureFit, population: DataFrame, n_draws: int = N_DRAWS, seed: int = SEED
+) -> DataFrame:
+    """``context, draw, player, b_pressure, u1``: each player's deviation from the population
+    effect of the same draw (``population``, one row per context and draw).
 
     Uniforms come from hashes of context, player and draw, so the draws do not depend on how the
-    rows are partitioned. Given the population draw, the deviation is normal.
+    rows are partitioned. The rows stay partitioned by context and player.
     """
-    b = F.col("mu") + F.col("se") * _normal("context", "draw", seed=seed)
     own = F.col("own_weight")
+    players = _spread(fit.players.select(*PLAYER, "d", "own_weight", "own_var"), PLAYER)
     return (
-        fit.players.select(*PLAYER, "d", "own_weight", "own_var", "mu", "se")
-        .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
+        players.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
+        .join(sized(population), ["context", "draw"])
         .withColumn(
             "u1",
-            own * (F.coalesce(F.col("d"), F.lit(0.0)) - b)
+            own * (F.coalesce(F.col("d"), F.lit(0.0)) - F.col("b_pressure"))
             + F.sqrt("own_var") * _normal("context", "player", "draw", seed=seed),
         )
-        .select("context", "draw", "player", "u1")
+        .select("context", "draw", "player", "b_pressure", "u1")
     )
 
 
@@ -382,9 +399,13 @@ def draws_from_wide(wide: DataFrame, ids: list[str]) -> DataFrame:
     )
 
 
-def total_slopes(player: DataFrame, population: DataFrame, on: list[str]) -> DataFrame:
-    """``beta = b_pressure + u1`` by draw. ``population`` has one row per context and draw."""
-    return player.join(population, on).withColumn("beta", F.col("b_pressure") + F.col("u1"))
+def total_slopes(
+    player: DataFrame, population: DataFrame | None = None, on: list[str] | None = None
+) -> DataFrame:
+    """``beta = b_pressure + u1`` by draw; ``population`` brings the population draws when the
+    player rows do not carry them, joined on the draw's key."""
+    rows = player if population is None else player.join(population, on)
+    return rows.withColumn("beta", F.col("b_pressure") + F.col("u1"))
 
 
 def summarise_slopes(

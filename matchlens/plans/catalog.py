@@ -636,7 +636,7 @@ def loo_comparison(spark, d):
 def slope_draws(spark, d):
     """All draws, as the spread of the players' total slopes within each draw."""
     fit = P.fit_pressure(_stored_pressure_rows(spark, d))
-    betas = P.total_slopes(P.player_draws(fit), P.population_draws(fit), ["context", "draw"])
+    betas = P.total_slopes(P.player_draws(fit, P.population_draws(fit)))
     spread = betas.groupBy("context", "draw").agg(
         F.max("b_pressure").alias("b_pressure"),
         F.avg("u1").alias("mean_u1"),
@@ -649,7 +649,7 @@ def slope_draws(spark, d):
 @query
 def slope_summary(spark, d):
     fit = P.fit_pressure(_stored_pressure_rows(spark, d))
-    betas = P.total_slopes(P.player_draws(fit), P.population_draws(fit), ["context", "draw"])
+    betas = P.total_slopes(P.player_draws(fit, P.population_draws(fit)))
     return rounded(P.summarise_slopes(betas, ["context"]), 5)
 
 
@@ -675,7 +675,7 @@ def draws_unpivot_summary(spark, d):
         rows.groupBy("game_id", "role").agg(F.avg("performance_score").alias("value")),
         ["game_id"], "role", ROLES,
     ).toDF("draw", *[f"r_player_id[{r},pressure]" for r in ROLES])
-    betas = P.draws_from_wide(wide, ["draw"]).withColumn("beta", F.col("u1") - 0.45)
+    betas = P.draws_from_wide(wide, ["draw"]).withColumn("beta", F.col("u1") - 0.4567)
     return rounded(P.summarise_slopes(betas))
 
 

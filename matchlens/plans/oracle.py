@@ -616,13 +616,13 @@ add("loo_comparison", [*BOTH, *left_out("", "z0"), *left_out("a_", "a_z1")],
     " FROM lo JOIN a_lo USING (context)")
 
 
-def uniform(parts: str, tag: str) -> str:
-    return f"((('0x' || substr(md5({parts} || '|123|{tag}'), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
+def uniform(parts: str, word: int) -> str:
+    return (f"((('0x' || substr(md5({parts} || '|123'), {8 * word + 1}, 8))::BIGINT + 0.5)"
+            " / 4294967296.0)")
 
 
 def normal(parts: str) -> str:
-    return (f"sqrt(-2.0 * ln({uniform(parts, 'a')})) *"
-            f" cos(2.0 * pi() * {uniform(parts, 'b')})")
+    return f"sqrt(-2.0 * ln({uniform(parts, 0)})) * cos(2.0 * pi() * {uniform(parts, 1)})"
 
 
 DRAWS = [
@@ -665,7 +665,7 @@ add("draws_unpivot", [
     ("dr", f"SELECT draw, unnest([{', '.join(repr(x) for x in ROLES)}]) AS player, b FROM ga"),
 ], f"SELECT dr.draw, dr.player, {r('b + u1')} AS beta FROM dr"
    " LEFT JOIN rl ON rl.draw = dr.draw AND rl.player = dr.player")
-add("draws_unpivot_summary", [*WIDE, ("bt", "SELECT player, u1 - 0.45::DOUBLE AS beta FROM rl"),
+add("draws_unpivot_summary", [*WIDE, ("bt", "SELECT player, u1 - 0.4567::DOUBLE AS beta FROM rl"),
                               *summarised("bt", "")],
     f"SELECT player, {r('med', 5)} AS med, {r('lo', 5)} AS lo, {r('hi', 5)} AS hi,"
     f" {r('pr_pos', 5)} AS pr_pos, rank, {LABEL} FROM sr".replace(

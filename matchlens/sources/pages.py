@@ -22,12 +22,17 @@ from matchlens.schema import (
 
 # --- fixed values: patterns of the page layout ------------------------------
 TABLE = r"(?is)<table.*?</table>"
-ROW = r"(?is)<tr[^>]*>(.*?)</tr>"
-CELL = r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"
+DATA_CELL = r"(?i)<td[^>]*>"
+CELL_END = r"(?i)</t[dh]>"
+ROW_END = r"(?i)</tr>"
 HEADER_LINE = r"(?is)<div[^>]*class=['\"][^'\"]*{}-line-header[^'\"]*['\"][^>]*>(.*?)</div>"
 TAG = r"<[^>]*>"
 # ----------------------------------------------------------------------------
 
+# Control characters that stand for the table's structure once its tags are gone.
+_IS_DATA, _CELL, _ROW = "\x01", "\x02", "\x03"
+_BLANK = " \t\r\n" + _IS_DATA
+
 
 def inner_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(html, TAG, " "))
@@ -66,16 +71,20 @@ def accepted_headers(headers: DataFrame) -> DataFrame:
 def stat_grid() -> Column:
     """First table of a stats page: array of rows, each an array of cell texts.
 
-    A row made of ``<th>`` cells only holds column labels, not data, and is left out.
+    Cell and row ends become separators in passes over the whole table, so no pattern runs per
+    cell. A row made of ``<th>`` cells only holds column labels, not data, and is left out.
     """
-    table = F.regexp_extract("html", TABLE, 0)
-    rows = F.filter(
-        F.regexp_extract_all(table, F.lit(ROW), F.lit(1)),
-        lambda r: F.lower(r).contains("<td"),
-    )
+    flat = F.regexp_extract("html", TABLE, 0)
+    for pattern, mark in ((DATA_CELL, _IS_DATA), (CELL_END, _CELL), (ROW_END, _ROW), (TAG, " ")):
+        flat = F.regexp_replace(flat, pattern, mark)
+    rows = F.filter(F.split(flat, _ROW), lambda r: r.contains(_IS_DATA))
     return F.transform(
         rows,
-        lambda r: F.transform(F.regexp_extract_all(r, F.lit(CELL), F.lit(1)), inner_text),
+        # What follows the last cell end belongs to no cell.
+        lambda r: F.transform(
+            F.slice(F.split(r, _CELL), 1, F.greatest(F.size(F.split(r, _CELL)) - 1, F.lit(0))),
+            lambda c: F.trim(c, F.lit(_BLANK)),
+        ),
     )
 
 
