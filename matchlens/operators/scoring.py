@@ -129,3 +129,10 @@ def predict_one(
     if display is None:
         raise ValueError(f"no model available for role {role}")
     return batch_predict(df, {display: (model_name, model)}, "player_id").first().asDict()
+
+
+def quick_predict(
+    spark: SparkSession, stats: dict[str, float], role: str, model_name: str, model: Transformer
+) -> float:
+    """The skill rating alone."""
+    return predict_one(spark, stats, role, model_name, model)["skill_rating"]

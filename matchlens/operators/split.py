@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,51 +76,77 @@ def hash_cutpoints(
     )
 
 
-def stratified_split(
+def hash_parts(
     df: DataFrame,
     strata: list[str],
     key: list[str],
-    test_fraction: float = 0.2,
+    fractions: list[float],
     seed: int = 42,
     group: str | None = None,
+    name: str = "part",
 ) -> DataFrame:
-    """Add ``is_test``. Each stratum gives exactly ``round(test_fraction * n)`` rows to the test.
+    """Number the rows of every stratum by rising hash share: part 0 up to the first fraction, and
+    so on. Part sizes are exact in every stratum; rows with the same key stay together.
 
-    ``key`` identifies a row; rows with the same key stay together. With ``group`` (for example
-    the game) whole groups go to one side: the share is exact over groups, not over strata.
+    With ``group`` (for example the game) whole groups share a part, and the sizes are exact over
+    groups instead of over strata.
     """
     if group is not None:
+        key, on = [group], ["__all"]
         units = df.select(group).distinct().withColumn("__all", F.lit(1))
-        cuts = hash_cutpoints(units, ["__all"], [group], [test_fraction], seed).drop("__all")
-        marked = df.withColumn("__all", F.lit(1)).join(
-            cuts.withColumn("__all", F.lit(1)), "__all", "left"
-        )
-        return marked.withColumn(
-            "is_test", F.coalesce(key_hash([group], seed) <= F.col("cut_0"), F.lit(False))
-        ).drop("__all", "cut_0")
-    cuts = hash_cutpoints(df, strata, key, [test_fraction], seed)
+        df = df.withColumn("__all", F.lit(1))
+    else:
+        on, units = strata, df
+    cuts = hash_cutpoints(units, on, key, fractions, seed)
+    names = [f"cut_{i}" for i in range(len(fractions))]
+    h = key_hash(key, seed)
+    above = [F.when(h > F.coalesce(F.col(c), F.lit("")), 1).otherwise(0) for c in names]
     return (
-        df.join(cuts, strata, "left")
-        .withColumn("is_test", F.coalesce(key_hash(key, seed) <= F.col("cut_0"), F.lit(False)))
-        .drop("cut_0")
+        df.join(cuts, on, "left")
+        .withColumn(name, reduce(lambda a, b: a + b, above).cast("int"))
+        .drop(*names, "__all")
     )
 
 
+def stratified_split(
+    df: DataFrame,
+    strata: list[str],
+    key: list[str],
+    test_fraction: float = 0.2,
+    seed: int = 42,
+    group: str | None = None,
+) -> DataFrame:
+    """Add ``is_test``: each stratum gives exactly ``round(test_fraction * n)`` rows to the test."""
+    parts = hash_parts(df, strata, key, [test_fraction], seed, group, "__part")
+    return parts.withColumn("is_test", F.col("__part") == 0).drop("__part")
+
+
 def stratified_folds(
     df: DataFrame, strata: list[str], key: list[str], folds: int = 3, seed: int = 42
 ) -> DataFrame:
     """Add ``fold`` (0 to ``folds - 1``) of equal size within every stratum."""
-    cuts = hash_cutpoints(df, strata, key, [i / folds for i in range(1, folds)], seed)
-    h = key_hash(key, seed)
-    above = sum(
-        (F.when(h > F.coalesce(F.col(f"cut_{i}"), F.lit("")), 1).otherwise(0))
-        for i in range(folds - 1)
-    )
-    return (
-        df.join(cuts, strata, "left")
-        .withColumn("fold", above.cast("int"))
-        .drop(*[f"cut_{i}" for i in range(folds - 1)])
-    )
+    return hash_parts(df, strata, key, [i / folds for i in range(1, folds)], seed, name="fold")
+
+
+def split_with_folds(
+    df: DataFrame,
+    strata: list[str],
+    key: list[str],
+    test_fraction: float = 0.2,
+    folds: int = 3,
+    seed: int = 42,
+    group: str | None = None,
+) -> DataFrame:
+    """``is_test`` and, for the other rows, ``fold``, from one set of cut points."""
+    rest = 1 - test_fraction
+    fractions = [test_fraction + rest * i / folds for i in range(folds)]
+    parts = hash_parts(df, strata, key, fractions, seed, group, "__part")
+    return parts.withColumns(
+        {
+            "is_test": F.col("__part") == 0,
+            "fold": F.greatest(F.col("__part") - 1, F.lit(0)),
+        }
+    ).drop("__part")
 
 
 def seeded_sample(

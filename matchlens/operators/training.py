@@ -32,7 +32,7 @@ from matchlens.functions.match import threshold_label
 from matchlens.operators.explain import combine
 from matchlens.operators.features import enough_samples, role_dataset
 from matchlens.operators.scoring import positive_probability, scaler_stats
-from matchlens.operators.split import stratified_folds, stratified_split
+from matchlens.operators.split import split_with_folds
 from matchlens.schema import FEATURES, MODELS, ROLES
 from matchlens.sources.storage import pinned, scratch_path, write_partitioned
 
@@ -234,8 +234,7 @@ def prepare_training(
     spark = df.sparkSession
     path = path or scratch_path(spark, "training")
     rows = enough_samples(pinned(role_dataset(df, keep=[key]), "roles"), min_samples)
-    rows = stratified_split(rows, ["role", "win"], [key], test_fraction, seed, group)
-    rows = stratified_folds(rows, ["role", "win", "is_test"], [key], folds, seed + 1)
+    rows = split_with_folds(rows, ["role", "win"], [key], test_fraction, folds, seed, group)
     write_partitioned(rows, path, "role")
     return spark.read.parquet(path)
 
