@@ -3,7 +3,7 @@
 The rows are range-partitioned on the full order (Spark samples the bounds, so a hot group is
 cut into as many buckets as its size needs), the bucket number is pinned by writing the rows,
 the window runs inside each bucket, and one summary row per bucket and group carries the state from
-bucket to bucket. The summary has ``buckets`` rows plus at most one more per group.
+bucket to bucket. The summary has one row per bucket plus at most one more per group.
 """
 
 from __future__ import annotations
@@ -18,10 +18,13 @@ BUCKET = "__bucket"
 
 
 def range_bucketed(df: DataFrame, order: list[str], buckets: int | None = None) -> DataFrame:
-    """Rows with a bucket number that rises along ``order`` (whose values must be unique)."""
-    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn(BUCKET, F.spark_partition_id())
-    return pinned(ranged)
+    """Rows with a bucket number that rises along ``order`` (whose values must be unique).
+
+    Without ``buckets`` there are as many as there are shuffle partitions, less what adaptive
+    execution merges because the data is small.
+    """
+    ranged = df.repartitionByRange(*([buckets] if buckets else []), *order)
+    return pinned(ranged.withColumn(BUCKET, F.spark_partition_id()), "ordered")
 
 
 def ordered_scan(

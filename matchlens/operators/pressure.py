@@ -266,7 +266,8 @@ def fit_pressure(
     """Partially pooled pressure slopes per context; with ``opponent`` adjusted for that column.
 
     A player seen in one condition only (where the context allows it) has no slope of its own and
-    gets the population effect with the between-player variance added.
+    gets the population effect with the between-player variance added. ``rows`` is read twice, for
+    the row counts and for the moments, so pass a stored table.
     """
     cells = _cells(rows, require_both, opponent)
     if opponent:
@@ -297,8 +298,8 @@ def fit_pressure(
     )
     precision = F.col("w") + (0.0 if math.isinf(prior_sd) else 1 / prior_sd**2)
     population = pinned(
-        pooled.join(tau, "context")
-        .join(within, "context")
+        pooled.join(_three(tau), "context")
+        .join(_three(within), "context")
         .select(
             "context",
             (F.col("wd") / precision).alias("mu"),
