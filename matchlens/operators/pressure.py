@@ -270,8 +270,21 @@ def fit_pressure(
     the row counts and for the moments, so pass a stored table.
     """
     cells = _cells(rows, require_both, opponent)
-    if opponent:
-        cells = _adjust_for_opponent(cells)
+    return _fit_cells(_adjust_for_opponent(cells) if opponent else cells, prior_sd)
+
+
+def fit_both(
+    rows: DataFrame,
+    opponent: str,
+    require_both: tuple[str, ...] = BOTH_CONDITIONS,
+    prior_sd: float = PRIOR_SD,
+) -> tuple[PressureFit, PressureFit]:
+    """The fit without and with opponent adjustment, from one table of cells."""
+    cells = _cells(rows, require_both, opponent)
+    return _fit_cells(cells, prior_sd), _fit_cells(_adjust_for_opponent(cells), prior_sd)
+
+
+def _fit_cells(cells: DataFrame, prior_sd: float) -> PressureFit:
     groups = pinned(_groups(cells))
     within = _residual_variance(groups)
     pick = {p: F.col("pressure") == p for p in (0, 1)}

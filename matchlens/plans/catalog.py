@@ -69,9 +69,21 @@ def _flags(spark, d) -> DataFrame:
     return SE.series_flags(SE.one_row_per_game(mv.player_games(spark, d)))
 
 
+def _flagged(spark, d, columns: list[str], player: str = "player") -> DataFrame:
+    """Player rows with series flags. The rows are stored, because games and rows both read them."""
+    rows = pinned(
+        mv.player_games(spark, d)
+        .withColumn("player", F.col(player))
+        .select("row_key", "game_id", "blue_team", "red_team", "winning_team", *columns),
+        "rows",
+    )
+    flags = SE.series_flags(SE.one_row_per_game(rows))
+    return SE.with_series_flags(rows, flags, ["row_key"])
+
+
 def _clutch_input(spark, d, player: str = "player") -> DataFrame:
-    rows = FE.with_teams(mv.player_games(spark, d)).withColumn("player", F.col(player))
-    return SE.with_series_flags(rows, _flags(spark, d), ["row_key"])
+    columns = ["player", "win", "state", "international", "performance_score"]
+    return FE.with_teams(_flagged(spark, d, columns, player))
 
 
 def _pressure_rows(spark, d, player: str = "player") -> DataFrame:
@@ -109,11 +121,16 @@ def series_flags(spark, d):
 def role_series_summary(spark, d):
     """Samples, wins and series counts per role: rows are counted per game and role before the
     flags are joined, so the join moves games, not player rows."""
-    rows = mv.player_games(spark, d)
+    rows = pinned(
+        mv.player_games(spark, d).select(
+            "game_id", "role", "win", "blue_team", "red_team", "winning_team"
+        ),
+        "rows",
+    )
     per_game = rows.groupBy("game_id", "role").agg(
         F.count(F.lit(1)).alias("n"), F.sum("win").alias("wins")
     )
-    flagged = per_game.join(_flags(spark, d), "game_id")
+    flagged = per_game.join(SE.series_flags(SE.one_row_per_game(rows)), "game_id")
     summary = flagged.groupBy("role").agg(
         F.sum("n").alias("n_samples"),
         F.sum("wins").alias("n_wins"),
@@ -137,8 +154,9 @@ def game_order_scan(spark, d):
 
 @query
 def player_series_join(spark, d):
-    rows = mv.player_games(spark, d).select("row_key", "game_id", "role", "win")
-    return SE.with_series_flags(rows, _flags(spark, d), ["row_key"])
+    return _flagged(spark, d, ["role", "win"]).select(
+        "row_key", "game_id", "role", "win", "bo5", "final3"
+    )
 
 
 @query
@@ -148,8 +166,7 @@ def ordered_games(spark, d):
 
 @query
 def dataset_summary(spark, d):
-    rows = mv.player_games(spark, d).select("row_key", "game_id")
-    return FE.dataset_summary(SE.with_series_flags(rows, _flags(spark, d), ["row_key"]))
+    return FE.dataset_summary(_flagged(spark, d, []))
 
 
 @query
@@ -618,8 +635,7 @@ def slope_ranks(spark, d):
 
 
 def _both_fits(spark, d):
-    rows = _stored_pressure_rows(spark, d, "thin_player")
-    return P.fit_pressure(rows), P.fit_pressure(rows, opponent="opponent_team")
+    return P.fit_both(_stored_pressure_rows(spark, d, "thin_player"), "opponent_team")
 
 
 @query
@@ -710,8 +726,7 @@ def sensitivity_bands(spark, d):
 
 @query
 def report_rows(spark, d):
-    rows = mv.player_games(spark, d).select("row_key", "game_id")
-    flagged = SE.with_series_flags(rows, _flags(spark, d), ["row_key"])
+    flagged = _flagged(spark, d, [])
     return rounded(final_report(flagged, _role_rows(spark, d), _metrics(spark, d)))
 
 
@@ -727,13 +742,14 @@ QUICK = {
 }
 
 
-def _train(spark, d, families) -> tuple[DataFrame, list[TR.Fit]]:
+def _train(spark, d, families, search: bool = False) -> tuple[DataFrame, list[TR.Fit]]:
     prepared = TR.prepare_training(_features(spark, d))
-    return prepared, TR.train_roles(prepared, families, QUICK.get)
+    settings = QUICK.get if search else lambda family: QUICK[family][:1]
+    return prepared, TR.train_roles(prepared, families, settings)
 
 
 def _trained_metrics(spark, d, families) -> DataFrame:
-    prepared, fits = _train(spark, d, families)
+    prepared, fits = _train(spark, d, families, search=True)
     return rounded(E.all_metrics(TR.score_fits(fits, prepared.where("is_test"))))
 
 
