@@ -5,19 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlens.llm import simhash
+from matchlens.llm import bpe, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source is an owner, and its texts in one language are a repository."""
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.report(docs, "doc_id", F.concat_ws("/", "source", "lang"), F.col("source"))
+
+
+def tokenizer_path() -> str:
+    """The word tokenizer's file, where the library of public vocabularies keeps it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {
+    "op3_secret_ownership": op3_secret_ownership,
+    "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
 }
 
