@@ -5,13 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlens.llm import bpe, secrets, simhash
+from matchlens.llm import bpe, quality, secrets, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive(spark, _table(spark, sf_dir, "pages"))
+    return read.select(
+        F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+OP1_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), f AS (
+  SELECT h, min(page_id) AS first_id FROM p GROUP BY h
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr(
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (((('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5))::INTEGER >> CAST(5 * (3 - i % 4) AS INTEGER)) & 31)), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p JOIN f USING (h)
+"""
+
+
 def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source is an owner, and its texts in one language are a repository."""
     docs = _table(spark, sf_dir, "documents")
@@ -34,11 +58,19 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_warc_normalise": op1_warc_normalise,
     "op3_secret_ownership": op3_secret_ownership,
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op10_quality_mcd": op10_quality_mcd,
 }
 
 #: DuckDB text of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc_normalise": OP1_SQL,
+}
