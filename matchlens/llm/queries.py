@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlens.llm import bpe, quality, secrets, simhash, warc
+from matchlens.llm import bpe, decontaminate, quality, secrets, sharding, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,14 @@ def op1_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_qgram_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 OP1_SQL = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
@@ -58,15 +66,28 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sharding.write_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return shards.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op10_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_warc_normalise": op1_warc_normalise,
+    "op2_toxicity_compression": op2_toxicity_compression,
+    "op4_qgram_decontaminate": op4_qgram_decontaminate,
     "op3_secret_ownership": op3_secret_ownership,
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_two_pass_shuffle": op7_two_pass_shuffle,
     "op10_quality_mcd": op10_quality_mcd,
 }
 
