@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlens.llm import bpe, decontaminate, quality, secrets, sharding, simhash, toxicity, warc
+from matchlens.llm import bpe, decontaminate, licenses, quality, secrets, sharding, simhash, toxicity, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,116 @@ def op7_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_url_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetch dates and a dated entry come from every page: its host, the domain above, or its first path step."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    start, page = F.lit("2024-01-01").cast("date"), F.col("page_id")
+    captures = pages.withColumn("fetch_date", F.date_add(start, (page * 37 % 365).cast("int")))
+    host = url_filters.host_of(F.col("url"))
+    step = F.regexp_extract("url", r"^[^:]*://[^/?#]*/([^/?#]*)", 1)
+    entries = pages.select(
+        F.when(page % 2 == 0, "block").otherwise("allow").alias("list"),
+        F.when(page % 3 == 0, host).when(page % 3 == 1, F.regexp_extract(host, r"^[^.]*\.(.*)$", 1)).otherwise(F.concat_ws("/", host, step)).alias("pattern"),
+        F.when(page % 5 < 3, "add").otherwise("remove").alias("action"),
+        F.date_add(start, (page * 13 % 400).cast("int")).alias("date"),
+    )
+    return url_filters.judged(captures, entries)
+
+
+OP8_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 365 AS INTEGER) AS fetch_date,
+    nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '') AS host,
+    list_filter(string_split(regexp_extract(url, '^[^:]*://[^/?#]*/([^?#]*)', 1), '/'), lambda s: s <> '') AS steps
+  FROM pages
+), e AS (
+  SELECT CASE WHEN page_id % 2 = 0 THEN 'block' ELSE 'allow' END AS list,
+    CASE page_id % 3 WHEN 0 THEN host WHEN 1 THEN regexp_extract(host, '^[^.]*\.(.*)$', 1)
+      ELSE concat_ws('/', host, regexp_extract(url, '^[^:]*://[^/?#]*/([^/?#]*)', 1)) END AS pattern,
+    CASE WHEN page_id % 5 < 3 THEN 'add' ELSE 'remove' END AS action,
+    DATE '2024-01-01' + CAST(page_id * 13 % 400 AS INTEGER) AS day
+  FROM p
+), d AS (
+  SELECT list, pattern, day, max(action) AS action FROM e WHERE pattern IS NOT NULL GROUP BY list, pattern, day
+), v AS (
+  SELECT *, lead(day) OVER (PARTITION BY list, pattern ORDER BY day) AS until FROM d
+), k AS (
+  SELECT page_id, fetch_date, unnest(list_distinct(list_concat(
+    list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')),
+    list_transform(range(1, len(steps) + 1), lambda i: concat_ws('/', host, array_to_string(list_slice(steps, 1, i), '/')))))) AS pattern
+  FROM p WHERE host IS NOT NULL
+), a AS (
+  SELECT k.page_id, k.pattern, v.list, v.day,
+    row_number() OVER (PARTITION BY k.page_id ORDER BY length(k.pattern) DESC, v.list DESC) AS r,
+    count(*) OVER (PARTITION BY k.page_id) AS n
+  FROM k JOIN v ON v.pattern = k.pattern AND v.action = 'add' AND v.day <= k.fetch_date AND (v.until IS NULL OR k.fetch_date < v.until)
+)
+SELECT p.page_id, p.url, p.host, p.fetch_date,
+  CASE WHEN a.list IS NULL THEN 'unlisted' WHEN a.list = 'block' THEN 'blocked' ELSE 'allowed' END AS decision,
+  a.pattern, a.day AS listed_since, coalesce(a.n, 0) AS n_active
+FROM p LEFT JOIN a ON a.page_id = p.page_id AND a.r = 1
+"""
+
+
+def op9_license_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources are repositories, languages their directories; every fifth name is that of a licence file."""
+    doc = F.col("doc_id")
+    folder = F.array(F.col("source"), F.when(doc % 3 > 0, F.col("lang")), F.when(doc % 3 > 1, F.concat(F.lit("p"), (doc % 11).cast("string"))))
+    name = F.when(doc % 5 == 0, "LICENSE.md").otherwise(F.concat(F.lit("f"), doc.cast("string"), F.lit(".txt")))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", F.array_compact(folder), name).alias("path"))
+    return licenses.report(docs)
+
+
+OP9_SQL = r"""
+WITH templates AS (
+  SELECT * FROM (VALUES {templates}) v(template, license, body)
+), d AS (
+  SELECT doc_id, text,
+    concat_ws('/', source, CASE WHEN doc_id % 3 > 0 THEN lang END, CASE WHEN doc_id % 3 > 1 THEN 'p' || (doc_id % 11) END) AS dir,
+    CASE WHEN doc_id % 5 = 0 THEN 'LICENSE.md' ELSE 'f' || doc_id || '.txt' END AS name
+  FROM documents
+), l AS (
+  SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS body FROM d WHERE text IS NOT NULL
+), lt AS (
+  SELECT doc_id, line, t AS term, count(*) AS tf FROM (
+    SELECT doc_id, line, unnest(list_transform(regexp_split_to_array(lower(body), '[^\p{{L}}\p{{N}}.-]+'), lambda x: trim(x, '.-'))) AS t FROM l
+  ) WHERE t <> '' GROUP BY ALL
+), tt AS (
+  SELECT template, t AS term, count(*) AS tf FROM (
+    SELECT template, unnest(list_transform(regexp_split_to_array(lower(body), '[^\p{{L}}\p{{N}}.-]+'), lambda x: trim(x, '.-'))) AS t FROM templates
+  ) WHERE t <> '' GROUP BY ALL
+), n AS (
+  SELECT count(*) AS n FROM d
+), idf AS (
+  SELECT v.term, ln((1 + n.n) / (1 + count(DISTINCT lt.doc_id))) + 1 AS idf
+  FROM (SELECT DISTINCT term FROM tt) v CROSS JOIN n LEFT JOIN lt ON lt.term = v.term GROUP BY v.term, n.n
+), lw AS (
+  SELECT lt.doc_id, lt.line, lt.term, lt.tf * coalesce(idf.idf, ln(1 + n.n) + 1) AS w FROM lt CROSS JOIN n LEFT JOIN idf USING (term)
+), tw AS (
+  SELECT template, term, tf * idf AS w FROM tt JOIN idf USING (term)
+), c AS (
+  SELECT doc_id, line, template, round(dot / (ln.norm * tn.norm), 6) AS similarity
+  FROM (SELECT lw.doc_id, lw.line, tw.template, sum(lw.w * tw.w) AS dot FROM lw JOIN tw USING (term) GROUP BY ALL)
+  JOIN (SELECT doc_id, line, sqrt(sum(w * w)) AS norm FROM lw GROUP BY ALL) ln USING (doc_id, line)
+  JOIN (SELECT template, sqrt(sum(w * w)) AS norm FROM tw GROUP BY ALL) tn USING (template)
+), own AS (
+  SELECT doc_id, line, license, similarity FROM c JOIN templates USING (template) WHERE similarity >= {threshold}
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, line, template) = 1
+), speaking AS (
+  SELECT dir AS at, min(struct_pack(path := dir || '/' || name, license := license)).license AS license
+  FROM d JOIN own USING (doc_id) WHERE name = 'LICENSE.md' GROUP BY dir
+), inherited AS (
+  SELECT d.doc_id, s.at, s.license FROM d JOIN speaking s ON d.dir = s.at OR starts_with(d.dir, s.at || '/')
+  QUALIFY row_number() OVER (PARTITION BY d.doc_id ORDER BY length(s.at) DESC) = 1
+)
+SELECT d.doc_id, d.dir || '/' || d.name AS path, own.license AS own_license, own.similarity, CAST(own.line AS INTEGER) AS line,
+  coalesce(own.license, i.license) AS license, CASE WHEN own.license IS NULL THEN i.at END AS inherited_from
+FROM d LEFT JOIN own USING (doc_id) LEFT JOIN inherited i USING (doc_id)
+""".format(
+    templates=", ".join("({}, '{}', '{}')".format(i, *row) for i, row in enumerate(licenses.TEMPLATES)), threshold=licenses.THRESHOLD
+)
+
+
 def op10_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"))
 
@@ -88,10 +198,14 @@ QUERIES = {
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_two_pass_shuffle": op7_two_pass_shuffle,
+    "op8_url_temporal_lists": op8_url_temporal_lists,
+    "op9_license_inheritance": op9_license_inheritance,
     "op10_quality_mcd": op10_quality_mcd,
 }
 
 #: DuckDB text of the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op1_warc_normalise": OP1_SQL,
+    "op8_url_temporal_lists": OP8_SQL,
+    "op9_license_inheritance": OP9_SQL,
 }
