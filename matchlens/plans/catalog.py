@@ -248,26 +248,85 @@ def drop_batch_copies(spark, d):
     return B.drop_copies(B.union_batches(_overlapping_batches(spark, d)), ["row_key"])
 
 
+def _source_headers(spark, d, *extra) -> DataFrame:
+    """Player rows with the headers of the source files."""
+    rows = mv.player_games(spark, d)
+    back = {v: k for k, v in reversed(RENAMES.items()) if v not in ("state", "tourney", "final3")}
+    return rows.select(*extra, *[F.col(c).alias(back[c]) for c in rows.columns if c in back])
+
+
+_BATCH_COLUMNS = ["game_id", "player", "role", "win", "kills", "dpm", "gd_15"]
+
+
 @query
 def csv_roundtrip(spark, d):
     """Base file and one batch written as text with the source headers, then loaded together."""
-    back = {v: k for k, v in RENAMES.items()}
-    rows = mv.player_games(spark, d)
-    cols = [c for c in rows.columns if c in back]
     base = scratch_path(spark, "batches")
-    source = rows.select("state", *[F.col(c).alias(back[c]) for c in cols])
+    source = _source_headers(spark, d, "state")
     for state, name in (("Regular", B.BASE_FILE), ("Playoffs", B.BATCH_FILE.format(3))):
         part = source.where(F.col("state") == state).drop("state")
         part.write.option("header", True).csv(f"{base}/{name}")
     loaded = B.load_batches(spark, base)
     return rounded(
-        loaded.select(
-            "game_id", "player", "role", "win", "kills", "dpm", "gd_15",
-            M.percent_fraction("kp_pct").alias("kp_pct"),
-        )
+        loaded.select(*_BATCH_COLUMNS, M.percent_fraction("kp_pct").alias("kp_pct"))
     )
 
 
+@query
+def batch_files_by_name(spark, d):
+    """A base file, a batch with its columns in reverse, and a batch 12 without a column, with
+    integers written as floats and some numbers that are none; bad rows come out marked."""
+    base = scratch_path(spark, "batches")
+    source = pinned(_source_headers(spark, d, "slot"))
+    third = F.col("slot") % 3
+    plain = source.where(third == 0).drop("slot")
+    plain.write.option("header", True).csv(f"{base}/{B.BASE_FILE}")
+    turned = source.where(third == 1).drop("slot")
+    turned.select(*reversed(turned.columns)).write.option("header", True).csv(f"{base}/{B.BATCH_FILE.format(2)}")
+    odd = source.where(third == 2).drop("slot", "GD@15").withColumns(
+        {
+            "Kills": F.when(F.col("Deaths") == 3, "n/a").otherwise(F.col("Kills").cast("double").cast("string")),
+            "Win": F.col("Win").cast("double").cast("string"),
+        }
+    )
+    odd.write.option("header", True).csv(f"{base}/{B.BATCH_FILE.format(12)}")
+    clean, bad = B.load_batches_checked(spark, base)
+    out = [*_BATCH_COLUMNS, B.LINEAGE]
+    marked = bad.select(
+        F.col("game_id").try_cast("long").alias("game_id"), "player", "role", F.col("win").try_cast("double").cast("int").alias("win"),
+        F.lit(None).cast("int").alias("kills"), F.col("dpm").try_cast("double").alias("dpm"),
+        F.col("gd_15").try_cast("double").alias("gd_15"), B.LINEAGE, F.lit(False).alias("good"),
+    )
+    return rounded(clean.select(*out, F.lit(True).alias("good")).unionByName(marked))
+
+
+@query
+def fuller_copies(spark, d):
+    """Rows of which one batch lacks a value that another has: the fuller copy stays."""
+    rows = mv.player_games(spark, d).select("row_key", "kills", "gd_15", "xpd_15")
+    files = [
+        rows.withColumn("gd_15", F.lit(None).cast("double")).withColumn(B.LINEAGE, F.lit(B.BASE_FILE)),
+        rows.withColumn(B.LINEAGE, F.lit(B.BATCH_FILE.format(4))),
+        rows.withColumn("xpd_15", F.lit(None).cast("double")).withColumn(B.LINEAGE, F.lit(B.BATCH_FILE.format(1))),
+    ]
+    return B.drop_copies(B.union_batches(files), ["row_key"])
+
+
+@query
+def clutch_csv(spark, d):
+    """The pressure input as it is stored, read back and counted in every context."""
+    path = scratch_path(spark, "clutch")
+    told = lambda c: F.when(F.col(c), "True").otherwise("False")
+    _clutch_input(spark, d).select(
+        F.col("game_id").alias("Game_ID"), F.col("player").alias("Player"), told("bo5").alias("bo5"),
+        told("final3").alias("final_games"), F.lit("x").alias("Tourney"), F.col("state").alias("State"),
+        "international", "performance_score", "own_team", "opponent_team",
+    ).write.option("header", True).csv(f"{path}/clutch.csv")
+    rows, _ = B.read_pressure_input(spark, [f"{path}/clutch.csv"])
+    counted = P.pressure_rows(rows, keep=["opponent_team"]).groupBy("context", "pressure", "opponent_team")
+    return counted.agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("score"), 3).alias("score_sum"))
+
+
 @query
 def valid_games(spark, d):
     rows = mv.player_games(spark, d).select("row_key", "game_id", "player")
@@ -342,6 +401,19 @@ def stream_ingest(spark, d):
     return rounded(out.select("row_key", "kde", "multi_kill", "dtpd", "dmg_pct", "kp_pct"))
 
 
+@query
+def stream_csv(spark, d):
+    """Source-header text files landed in two batches, integers as floats."""
+    rows = _source_headers(spark, d, "row_key", "state")
+    base = scratch_path(spark, "stream")
+    for state in ("Regular", "Playoffs"):
+        landed = rows.where(F.col("state") == state).drop("state").withColumn("Kills", F.col("Kills").cast("double"))
+        landed.write.mode("append").option("header", True).csv(f"{base}/landing")
+        ingest(spark, f"{base}/landing", f"{base}/out", f"{base}/progress", fmt="csv").awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    return rounded(out.select("row_key", "kde", "multi_kill", "dtpd", "dmg_pct", "kp_pct"))
+
+
 # ---- splits, samples, scaling, scoring -------------------------------------------------------
 
 
@@ -477,21 +549,24 @@ def metric_range(spark, d):
 
 @query
 def published_metrics(spark, d):
-    """Metric rows as files without a model column and with other header spellings, read back and
-    named by their row number."""
-    order = F.array_position(F.array(*[F.lit(m) for m in MODELS]), F.col("model")) - 1
-    file_rows = _metrics(spark, d).select(
-        "role",
-        order.cast("int").alias("row_no"),
-        F.col("accuracy").alias("Accuracy"),
-        F.col("f1_score").alias("F1_score"),
-        F.col("auc_roc").alias("ROC_AUC"),
-        F.col("log_loss").alias("Log-Loss"),
-        F.col("brier_score").alias("Brier Score"),
+    """One metric file per role, without role, model or row number, read back and named by row."""
+    names = ["Accuracy", "Precision", "Recall", "F1_score", "Log-Loss", "Brier Score", "ROC_AUC"]
+    values = ["accuracy", "precision", "recall", "f1_score", "log_loss", "brier_score", "auc_roc"]
+    order = F.array_position(F.array(*[F.lit(m) for m in MODELS]), F.col("model"))
+    line = F.concat_ws(",", *[F.col(v).cast("string") for v in values])
+    files = _metrics(spark, d).groupBy("role").agg(
+        F.array_sort(F.collect_list(F.struct(order.alias("n"), line.alias("line")))).alias("rows")
+    )
+    text = pinned(
+        files.select(
+            "role", F.concat_ws("\n", F.lit(",".join(names)), F.expr("transform(rows, r -> r.line)")).alias("value")
+        )
     )
     path = scratch_path(spark, "metrics")
-    file_rows.write.option("header", True).csv(path)
-    named = MF.named_by_row(MF.read_metrics_csv(spark, path))
+    for role in ROLES:
+        one = text.where(F.col("role") == role).select("value")
+        one.coalesce(1).write.text(f"{path}/metrics_{role}.csv")
+    named = MF.check_complete(MF.named_by_row(MF.read_metric_files(spark, path)))
     return rounded(named.drop("row_no"))
 
 

@@ -156,6 +156,18 @@ add("drop_batch_copies", BATCHES,
 add("csv_roundtrip", FEATURE_ROWS,
     f"SELECT game_id, player, role, win, kills, {r('dpm')} AS dpm, {r('gd_15')} AS gd_15,"
     f" {r('kp_pct')} AS kp_pct FROM fe")
+_bad = "(slot % 3 = 2 AND deaths = 3)"
+add("batch_files_by_name", [("pg", PG)],
+    f"SELECT game_id, player, role, win, CASE WHEN NOT {_bad} THEN kills END AS kills,"
+    f" {r('dpm')} AS dpm, CASE WHEN slot % 3 <> 2 THEN {r('gd_15')} END AS gd_15,"
+    " CASE slot % 3 WHEN 0 THEN 'all_matches.csv' WHEN 1 THEN 'all_matches_batch_2.csv'"
+    f" ELSE 'all_matches_batch_12.csv' END AS batch_file, NOT {_bad} AS good FROM pg")
+add("fuller_copies", [("pg", PG)],
+    "SELECT row_key, kills, gd_15, xpd_15, CASE WHEN gd_15 IS NULL AND xpd_15 IS NOT NULL"
+    " THEN 'all_matches.csv' ELSE 'all_matches_batch_4.csv' END AS batch_file FROM pg QUALIFY"
+    " row_number() OVER (PARTITION BY row_key ORDER BY CAST(gd_15 IS NOT NULL AS INT)"
+    " + CAST(xpd_15 IS NOT NULL AS INT) DESC, gd_15 IS NULL AND xpd_15 IS NOT NULL DESC, kills) = 1")
+add("stream_csv", FEATURE_ROWS, FEATURE_SELECT)
 add("valid_games", [("pg", PG)],
     "SELECT row_key, game_id, player FROM pg WHERE game_id IN"
     " (SELECT game_id FROM pg GROUP BY game_id HAVING count(*) = 5)")
@@ -371,7 +383,8 @@ add("metric_range", LONG,
     f"SELECT metric, {r('greatest(0.0, min(value) - 0.002)')} AS range_low,"
     f" {r('least(1.0, max(value) + 0.002)')} AS range_high FROM lg GROUP BY metric")
 add("published_metrics", CORE,
-    f'SELECT role, model, {r("accuracy")} AS accuracy, {r("f1_score")} AS "f1-score",'
+    f'SELECT role, model, {r("accuracy")} AS accuracy, {r("precision")} AS precision,'
+    f' {r("recall")} AS recall, {r("f1_score")} AS "f1-score",'
     f' {r("auc_roc")} AS "auc-roc", {r("log_loss")} AS "log loss",'
     f' {r("brier_score")} AS "brier score" FROM met')
 add("model_inventory", [
@@ -501,6 +514,9 @@ add("factor_codes", [
     ("dm", "SELECT DISTINCT thin_player AS player FROM pg"),
     ("cd", "SELECT player, row_number() OVER (ORDER BY player) AS player_id FROM dm"),
 ], "SELECT thin_player AS player, row_key, player_id FROM pg JOIN cd ON cd.player = thin_player")
+add("clutch_csv", contexts("player"),
+    f"SELECT context, pressure, opponent AS opponent_team, count(*) AS n_rows,"
+    f" {r('sum(score)', 3)} AS score_sum FROM lng GROUP BY ALL")
 add("score_inflation", [
     *contexts("player"),
     ("ag", "SELECT context, pressure, count(*) AS n,"

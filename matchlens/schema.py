@@ -42,6 +42,10 @@ RENAMES = {
     "XPD@15": "xpd_15",
     "CSD@15": "csd_15",
     "LVLD@15": "lvld_15",
+    "State": "state",
+    "Tourney": "tourney",
+    "final_games": "final3",
+    "final3_game": "final3",
 }
 # ----------------------------------------------------------------------------
 
@@ -78,3 +82,19 @@ PAGE_STATS = {
     for source, canonical in RENAMES.items()
     if canonical not in ("game_id", "blue_team", "red_team", "winning_team", "win")
 }
+
+#: Input of the pressure analysis as it is stored: booleans and numbers are text in the file.
+PRESSURE_INPUT = T.StructType(
+    [
+        T.StructField("game_id", T.LongType()),
+        T.StructField("player", T.StringType()),
+        T.StructField("bo5", T.BooleanType()),
+        T.StructField("final3", T.BooleanType()),
+        T.StructField("tourney", T.StringType()),
+        T.StructField("state", T.StringType()),
+        T.StructField("international", T.BooleanType()),
+        T.StructField("performance_score", T.DoubleType()),
+        T.StructField("own_team", T.StringType()),
+        T.StructField("opponent_team", T.StringType()),
+    ]
+)

@@ -1,60 +1,105 @@
-"""Player-game files: base file plus numbered batches, read with an explicit schema."""
+"""Player-game files: base file plus numbered batches, read by column name under an explicit schema."""
 
 from __future__ import annotations
 
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchlens.operators.joins import salted_join
-from matchlens.schema import PLAYER_GAMES, PLAYERS_PER_GAME, RENAMES
-from matchlens.sources.storage import path_exists
+from matchlens.schema import PLAYER_GAMES, PLAYERS_PER_GAME, PRESSURE_INPUT, RENAMES
+from matchlens.sources.storage import matching_paths
 
 BASE_FILE = "all_matches.csv"
 BATCH_FILE = "all_matches_batch_{}.csv"
-
-
-def _source_schema(columns: list[str], schema: T.StructType) -> T.StructType:
-    """Types for the header as it stands in the file, by canonical name (unknown ones: string)."""
-    types = {f.name: f.dataType for f in schema.fields}
-    return T.StructType(
-        [T.StructField(c, types.get(RENAMES.get(c, c), T.StringType())) for c in columns]
-    )
+#: Column with the file a row came from.
+LINEAGE = "batch_file"
 
 
 def canonical_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[RENAMES.get(c, c) for c in df.columns])
 
 
-def read_player_games_csv(
-    spark: SparkSession, paths: list[str], schema: T.StructType = PLAYER_GAMES
-) -> DataFrame:
-    """One scan over files with one header. Only the header line is read ahead, no inference."""
-    header = spark.read.option("header", True).option("inferSchema", False).csv(paths[0]).columns
-    return canonical_columns(
-        spark.read.schema(_source_schema(header, schema))
-        .option("header", True)
-        .option("nanValue", "")
-        .option("mode", "PERMISSIVE")
-        .csv(paths)
-    )
-
-
-def existing_batches(spark: SparkSession, base: str, n_batches: int = 11) -> list[str]:
-    """The base file and those of the numbered batches that are there."""
-    batches = [f"{base}/{BATCH_FILE.format(i)}" for i in range(n_batches)]
-    return [f"{base}/{BASE_FILE}", *[p for p in batches if path_exists(spark, p)]]
-
-
-def load_batches(
-    spark: SparkSession, base: str, n_batches: int = 11, schema: T.StructType = PLAYER_GAMES
-) -> DataFrame:
-    """All files as one frame with their lineage. Missing batches are left out, a missing base
-    file is an error. Overlapping batches stay as they are (see ``drop_copies``)."""
-    paths = existing_batches(spark, base, n_batches)
-    return read_player_games_csv(spark, paths, schema)
+def header_of(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Column names of a file's first line; nothing else is read."""
+    return tuple(spark.read.option("header", True).option("inferSchema", False).csv(path).columns)
+
+
+def read_text_columns(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """All files as text under canonical names, matched by name, with the file in ``batch_file``.
+
+    Files with the same header share a scan; a column that a file lacks is NULL there.
+    """
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        by_header.setdefault(header_of(spark, path), []).append(path)
+    parts = []
+    for header, files in by_header.items():
+        text = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        scan = spark.read.schema(text).option("header", True).option("enforceSchema", False).csv(files)
+        name = F.regexp_extract("_metadata.file_path", r"([^/]*\.csv)(/[^/]*)?$", 1)
+        parts.append(canonical_columns(scan).withColumn(LINEAGE, name))
+    return union_batches(parts)
+
+
+def typed_columns(text: DataFrame, schema: T.StructType = PLAYER_GAMES) -> tuple[DataFrame, DataFrame]:
+    """Rows cast to the types of ``schema``, and the rows of which a number does not parse (as text).
+
+    Integers are read through doubles, because writers with missing values turn ``3`` into ``3.0``;
+    a fraction in an integer column does not parse. Empty and NaN texts are missing values. Columns
+    of the schema that no file has are NULL; columns it does not name stay text.
+    """
+    casts, bad = {}, F.lit(False)
+    for f in schema.fields:
+        if f.name not in text.columns:
+            casts[f.name] = F.lit(None).cast(f.dataType)
+            continue
+        if isinstance(f.dataType, T.StringType):
+            continue
+        raw = F.trim(f"`{f.name}`")
+        raw = F.when(~F.lower(raw).isin("", "nan"), raw)
+        number = raw.try_cast("double")
+        value = number
+        if isinstance(f.dataType, T.BooleanType):
+            value = F.coalesce(raw.try_cast("boolean"), number != 0)
+        elif not isinstance(f.dataType, T.DoubleType):
+            value = F.when(number == F.floor(number), number.try_cast(f.dataType))
+        casts[f.name] = value
+        bad = bad | (raw.isNotNull() & value.isNull())
+    marked = text.withColumn("__bad", bad)
+    clean = marked.where(~F.col("__bad")).drop("__bad").withColumns(casts)
+    rest = [c for c in clean.columns if c not in schema.fieldNames()]
+    return clean.select(*schema.fieldNames(), *rest), marked.where("__bad").drop("__bad")
+
+
+def existing_batches(spark: SparkSession, base: str) -> list[str]:
+    """The base file and all numbered batches that are there, whatever their number."""
+    found = matching_paths(spark, f"{base.rstrip('/')}/{BATCH_FILE.format('*')}")
+    first = matching_paths(spark, f"{base.rstrip('/')}/{BASE_FILE}")
+    if not first:
+        raise FileNotFoundError(f"no {BASE_FILE} in {base}")
+    return [*first, *sorted(found)]
+
+
+def load_batches_checked(
+    spark: SparkSession, base: str, schema: T.StructType = PLAYER_GAMES
+) -> tuple[DataFrame, DataFrame]:
+    """All files of a folder as typed rows, and the rows that do not parse, both with their file."""
+    return typed_columns(read_text_columns(spark, existing_batches(spark, base)), schema)
+
+
+def load_batches(spark: SparkSession, base: str, schema: T.StructType = PLAYER_GAMES) -> DataFrame:
+    """The typed rows of all files with their lineage. A missing base file is an error. Overlapping
+    batches stay as they are (see ``drop_copies``)."""
+    return load_batches_checked(spark, base, schema)[0]
+
+
+def read_pressure_input(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Pressure-analysis rows as they are stored (``"True"``, ``final_games``), and rows that do not parse."""
+    return typed_columns(read_text_columns(spark, paths), PRESSURE_INPUT)
 
 
 def union_batches(batches: list[DataFrame]) -> DataFrame:
@@ -62,16 +107,14 @@ def union_batches(batches: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), batches)
 
 
-def drop_copies(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key. ``first``-style aggregates run map-side, so copies never meet in one task
-    as full groups."""
+def drop_copies(df: DataFrame, keys: list[str], lineage: str = LINEAGE) -> DataFrame:
+    """One row per key: the copy with the most values, of equally full ones the base file's, then by
+    file name and content. All but one copy per key and task are dropped before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
-    return (
-        df.groupBy(*keys)
-        .agg(F.min(F.struct(*rest)).alias("__row"))
-        .select(*keys, *[F.col(f"__row.`{c}`").alias(c) for c in rest])
-        .select(*df.columns)
-    )
+    filled = reduce(lambda a, b: a + b, [F.col(f"`{c}`").isNotNull().cast("int") for c in rest], F.lit(0))
+    by_file = [F.desc(F.col(lineage) == BASE_FILE), F.col(lineage)] if lineage in df.columns else []
+    order = W.partitionBy(*keys).orderBy(F.desc(filled), *by_file, *[F.col(f"`{c}`") for c in rest])
+    return df.withColumn("__copy", F.row_number().over(order)).where("__copy = 1").drop("__copy")
 
 
 def valid_games(

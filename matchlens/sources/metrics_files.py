@@ -7,24 +7,13 @@ from pyspark.sql import functions as F
 
 from matchlens.functions.text import canonical_header
 from matchlens.schema import MODELS
+from matchlens.sources.storage import matching_paths
 
 # --- fixed values: metrics every such file must have ------------------------
 REQUIRED = ["auc-roc", "log loss", "brier score", "accuracy", "f1-score"]
 # ----------------------------------------------------------------------------
 
 
-def normalise_headers(df: DataFrame) -> DataFrame:
-    """Headers in lower case with blanks, and the synonyms of a metric folded together."""
-    return df.toDF(*[canonical_header(c) for c in df.columns])
-
-
-def require_columns(df: DataFrame, columns: list[str] = REQUIRED) -> DataFrame:
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise KeyError(f"missing metric columns {missing}; columns seen: {df.columns}")
-    return df
-
-
 def named_by_row(df: DataFrame, row_no: str = "row_no", models: list[str] = MODELS) -> DataFrame:
     """Model names by file order: rows 0 to 3 of each role; further rows are left out.
 
@@ -51,18 +40,35 @@ def check_complete(named: DataFrame, models: list[str] = MODELS) -> DataFrame:
     return named
 
 
-def read_metrics_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Stored metric rows with their row number; numeric columns by cast, headers normalised."""
-    raw = spark.read.option("header", True).csv(path)
-    typed = raw.select(
-        *[
-            F.col(f"`{c}`").cast("int" if c == "row_no" else "double").alias(c)
-            if c != "role"
-            else F.col(c)
-            for c in raw.columns
-        ]
+def read_metric_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``role, row_no`` and the metrics of every ``metrics_<Role>.csv`` in a folder.
+
+    The files hold metric columns only: the role is in the file name, the model in the row number.
+    Columns are matched by name in each file, headers normalised; a metric that a file lacks is an
+    error when it is required and NULL otherwise. Numbers that do not parse are NULL.
+    """
+    paths = matching_paths(spark, f"{folder.rstrip('/')}/metrics_*.csv")
+    texts = spark.read.text(paths, wholetext=True).select(
+        F.regexp_extract("_metadata.file_path", r"metrics_([^/]*)\.csv", 1).alias("role"),
+        F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "").alias("lines"),
+    )
+    texts = texts.where(F.size("lines") > 0)  # empty part files of a folder that stands for a file
+    headed = texts.withColumn("header", F.split(F.get("lines", F.lit(0)), ","))
+    headers = {tuple(canonical_header(c.strip()) for c in r.header) for r in headed.select("header").distinct().collect()}
+    for header in headers:
+        if missing := [c for c in REQUIRED if c not in header]:
+            raise KeyError(f"missing metric columns {missing}; columns seen: {list(header)}")
+    known = sorted({c for header in headers for c in header})
+    spelled = F.create_map(
+        *[F.lit(v) for r in headed.select(F.explode("header").alias("c")).distinct().collect() for v in (r.c, canonical_header(r.c.strip()))]
     )
-    renamed = normalise_headers(typed)
-    return require_columns(
-        renamed.withColumnRenamed("row no", "row_no") if "row no" in renamed.columns else renamed
+    rows = headed.select(
+        "role",
+        F.transform("header", lambda c: F.try_element_at(spelled, c)).alias("header"),
+        F.posexplode(F.expr("slice(lines, 2, size(lines))")).alias("row_no", "line"),
+    ).withColumn("cells", F.split("line", ","))
+    return rows.select(
+        "role",
+        "row_no",
+        *[F.get("cells", F.array_position("header", c).cast("int") - 1).try_cast("double").alias(c) for c in known],
     )

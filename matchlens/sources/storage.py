@@ -56,6 +56,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jvm_path)
 
 
+def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Files and folders that a glob pattern names, on any file system Spark reads."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jvm_path)
+    return [f.getPath().toString() for f in found or []]
+
+
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Read the finished table at ``path``, or build, write and read it back.
 
