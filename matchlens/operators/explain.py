@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from matchlens.operators.reshape import to_long, to_wide
 from matchlens.operators.split import seeded_sample
 from matchlens.schema import FEATURES, ROLES
+from matchlens.sources.storage import sized
 
 # --- fixed values: sizes of the explained sample and its background ---------
 SAMPLE_ROWS = 100
@@ -22,10 +23,9 @@ BACKGROUND_ROWS = 50
 FALLBACK_BACKGROUND_ROWS = 20
 TOP_FEATURES = 10
 TOP_DEPENDENCE = 5
+LINEAR_MODELS = ["logistic"]
 # ----------------------------------------------------------------------------
 
-MAX_CELLS_PER_ROW = 2_000_000
-
 
 # ---- closed form for linear models -----------------------------------------------------------
 
@@ -120,16 +120,19 @@ def shapley_values(
     by: list[str],
     features: list[str],
     background_rows: int = BACKGROUND_ROWS,
+    max_cells: int | None = None,
 ) -> DataFrame:
     """Shapley values of any scorer, columns ``shap_<feature>`` per ``by`` and ``key``.
 
     Each row meets the background rows of its group (at most ``background_rows``, held as one
     array per group) and every coalition of the design; features in the coalition come from the
-    row, the others from the background. ``score`` adds the column ``score``. The weighted sums are
-    aggregated map-side, so what is shuffled is one partial row per explained row and task.
+    row, the others from the background. ``score`` adds the column ``score``. Rows are dealt over
+    all tasks before they are multiplied; ``rows`` is small and is read twice, so pass a stored
+    table. The weighted sums are aggregated map-side, so what is shuffled is one partial row per
+    explained row and task. ``max_cells`` refuses more scored cells per row, if given.
     """
     cells = background_rows * len(design)
-    if cells > MAX_CELLS_PER_ROW:
+    if max_cells is not None and cells > max_cells:
         raise ValueError(f"{cells} scored cells per row; use fewer permutations or features")
     bg = (
         background.where(F.col("sample_no") <= background_rows)
@@ -140,9 +143,11 @@ def shapley_values(
         F.lit(json.dumps([{"mask": m, "w": w} for m, w in design])),
         "array<struct<mask: int, w: array<double>>>",
     )
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     mixed = (
         rows.select(*by, *key, *[F.col(f).alias(f"__x_{f}") for f in features])
-        .join(F.broadcast(bg), by)
+        .join(sized(bg, limit=1000), by)
+        .repartition(tasks, *by, *key)
         .withColumn("__n", F.size("__bg"))
         .withColumn("__b", F.explode("__bg"))
         .withColumn("__c", F.explode(coalitions))
@@ -189,6 +194,13 @@ def mean_abs_shap(
     return to_long(agg, by, features, "feature", "importance")
 
 
+def with_scale(importance: DataFrame) -> DataFrame:
+    """Marks the scale of an importance: linear models are explained on the margin, others on the
+    probability."""
+    linear = F.col("model").isin(LINEAR_MODELS)
+    return importance.withColumn("scale", F.when(linear, "margin").otherwise("probability"))
+
+
 def with_share(importance: DataFrame, by: list[str]) -> DataFrame:
     """Importance as a share within its group: comparable across margin and probability scales."""
     total = F.sum("importance").over(W.partitionBy(*by))

@@ -146,7 +146,7 @@ def _cells(rows: DataFrame, require_both: tuple[str, ...], opponent: str | None)
     z = squeeze_logit(F.col("score"), F.col("n_context"))
     by_opponent = F.col(opponent) if opponent else F.lit("")
     moments = (
-        rows.join(_three(n_rows), "context")
+        rows.join(_per_context(n_rows), "context")
         .withColumn("z", z)
         .groupBy(*PLAYER, "pressure", by_opponent.alias("opponent"))
         .agg(
@@ -216,9 +216,9 @@ def _between_variance(estimates: DataFrame) -> DataFrame:
     )
 
 
-def _three(df: DataFrame) -> DataFrame:
-    """A per-context table for broadcast: the contexts are a fixed list of three."""
-    return F.broadcast(df.where(F.col("context").isin(CONTEXTS)))
+def _per_context(df: DataFrame) -> DataFrame:
+    """A table of one row per context, for broadcast while it is as small as it should be."""
+    return sized(df, limit=10_000)
 
 
 def _adjust_for_opponent(cells: DataFrame) -> DataFrame:
@@ -235,10 +235,10 @@ def _adjust_for_opponent(cells: DataFrame) -> DataFrame:
             (F.sum(F.col("s1") - F.col("n") * F.col("pm")) / F.sum("n")).alias("d"),
             F.sum("n").alias("n_opp"),
         )
-        .join(_three(s2), "context")
+        .join(_per_context(s2), "context")
         .withColumn("v", F.col("s2") / F.col("n_opp"))
     )
-    shrunk = effect.join(_three(_between_variance(effect)), "context").select(
+    shrunk = effect.join(_per_context(_between_variance(effect)), "context").select(
         "context",
         "opponent",
         F.coalesce(
@@ -285,15 +285,15 @@ def fit_both(
 
 
 def _fit_cells(cells: DataFrame, prior_sd: float) -> PressureFit:
-    groups = pinned(_groups(cells))
-    within = _residual_variance(groups)
+    groups = _groups(cells)
+    within = _per_context(_residual_variance(groups))
     pick = {p: F.col("pressure") == p for p in (0, 1)}
     raw = groups.groupBy(*PLAYER).agg(
         *[F.max(F.when(pick[p], F.col("n"))).alias(f"n{p}") for p in (0, 1)],
         *[F.max(F.when(pick[p], F.col("mean"))).alias(f"m{p}") for p in (0, 1)],
     )
     raw = pinned(
-        raw.join(_three(within), "context").select(
+        raw.join(within, "context").select(
             *PLAYER,
             F.coalesce("n0", F.lit(0)).alias("n_normal"),
             F.coalesce("n1", F.lit(0)).alias("n_pressure"),
@@ -301,18 +301,18 @@ def _fit_cells(cells: DataFrame, prior_sd: float) -> PressureFit:
             (F.col("s2") * (1 / F.col("n1") + 1 / F.col("n0"))).alias("v"),
         )
     )
-    tau = _between_variance(raw)
+    tau = _per_context(_between_variance(raw))
     w = F.try_divide(F.lit(1.0), F.col("v") + F.col("tau2"))
     pooled = (
         raw.where(F.col("d").isNotNull())
-        .join(_three(tau), "context")
+        .join(tau, "context")
         .groupBy("context")
         .agg(F.sum(w).alias("w"), F.sum(w * F.col("d")).alias("wd"))
     )
     precision = F.col("w") + (0.0 if math.isinf(prior_sd) else 1 / prior_sd**2)
-    population = pinned(
-        pooled.join(_three(tau), "context")
-        .join(_three(within), "context")
+    population = _per_context(
+        pooled.join(tau, "context")
+        .join(within, "context")
         .select(
             "context",
             (F.col("wd") / precision).alias("mu"),
@@ -334,7 +334,7 @@ def _fit_cells(cells: DataFrame, prior_sd: float) -> PressureFit:
     ) * F.col("mu")
     pull = 1 - F.col("own_weight")
     players = (
-        raw.join(_three(population.select("context", "mu", "se", "tau2")), "context")
+        raw.join(population.select("context", "mu", "se", "tau2"), "context")
         .withColumns({"own_weight": own, "own_var": noise})
         .withColumn("mean", mean)
         .withColumn("sd", F.sqrt(F.col("own_var") + pull * pull * F.col("se") * F.col("se")))
@@ -535,7 +535,7 @@ def loo_score(fit: PressureFit) -> DataFrame:
     )
     return (
         fit.groups.where(n > 1)
-        .join(_three(fit.population.select("context", "s2")), "context")
+        .join(_per_context(fit.population.select("context", "s2")), "context")
         .groupBy("context")
         .agg(F.sum(n).alias("n_scored"), F.sum(density).alias("elpd"))
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from matchlens.functions.match import role_display, stat_or_zero, threshold_label
 from matchlens.functions.numeric import sigmoid
 from matchlens.schema import FEATURES, ROLES
+from matchlens.sources.storage import scratch_path, write_partitioned
 
 
 def scaler_stats(df: DataFrame, features: list[str] = FEATURES) -> DataFrame:
@@ -99,13 +100,17 @@ def batch_predict(
 ) -> DataFrame:
     """Score every player with the chosen model of the player's role.
 
-    ``models`` maps role to (model name, fitted model); each is loaded once by the caller. Each
-    role is one filtered scan, which reads only its own folder when the input is stored by role.
-    Rows of roles without a model get no prediction.
+    ``models`` maps role to (model name, fitted model); each is loaded once by the caller. The
+    inputs are written once, a folder per role, and each role reads its own folder. Players whose
+    role is unknown or has no model stay, without a prediction.
     """
-    ready = prepare_players(players, role_column).select(
+    spark = players.sparkSession
+    path = scratch_path(spark, "players")
+    prepared = prepare_players(players, role_column).select(
         F.col(key).alias("player_id"), "role", *FEATURES
     )
+    write_partitioned(prepared, path, "role")
+    ready = spark.read.schema(prepared.schema).parquet(path)
     parts = [
         as_prediction(
             positive_probability(
@@ -115,6 +120,9 @@ def batch_predict(
         )
         for role, (name, model) in models.items()
     ]
+    unscored = ready.where(~F.coalesce(F.col("role").isin(list(models)), F.lit(False)))
+    empty = {"model": F.lit(None).cast("string"), "win_probability": F.lit(None).cast("double")}
+    parts.append(as_prediction(unscored.withColumns(empty), ["player_id", "role"]))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -128,7 +136,9 @@ def predict_one(
     display = next((r for r in ROLES if r.lower() == role.strip().lower()), None)
     if display is None:
         raise ValueError(f"no model available for role {role}")
-    return batch_predict(df, {display: (model_name, model)}, "player_id").first().asDict()
+    ready = prepare_players(df).select("player_id", "role", *FEATURES)
+    scored = positive_probability(model.transform(ready)).withColumn("model", F.lit(model_name))
+    return as_prediction(scored, ["player_id", "role"]).first().asDict()
 
 
 def quick_predict(

@@ -42,7 +42,10 @@ log = logging.getLogger(__name__)
 PARAMETER_GRIDS = {
     "logistic": {
         "penalty": ["l1", "l2", "elasticnet", "none"],
-        "C": [10.0 ** (-4 + 8 * i / 9) for i in range(10)],
+        "C": [
+            0.0001, 0.000774263682681127, 0.005994842503189409, 0.046415888336127774, 0.3593813663804626,
+            2.782559402207126, 21.54434690031882, 166.81005372000558, 1291.5496650148827, 10000.0,
+        ],
         "max_iter": [100, 1000],
     },
     "random_forest": {
@@ -61,13 +64,19 @@ PARAMETER_GRIDS = {
     },
     "neural_network": {
         "epochs": [50, 100],
-        "learning_rate": [0.001, 0.01],
         "n_hidden": [1, 2],
         "n_neurons": list(range(10, 100, 10)),
     },
 }
 SEARCH_BUDGET = {"logistic": 20, "random_forest": 20, "xgboost": 20, "neural_network": 10}
-UNLIMITED_DEPTH = 15  # stands for "no limit"; the library's trees need a number
+UNLIMITED_DEPTH = 30  # the deepest trees the library grows, for "no limit"
+#: Settings of the search that the library's estimators do not have.
+NO_COUNTERPART = {
+    "logistic": ["solver"],
+    "random_forest": ["min_samples_split"],
+    "xgboost": ["reg_alpha", "reg_lambda"],
+    "neural_network": ["learning_rate", "optimizer", "dropout", "activation"],
+}
 # ----------------------------------------------------------------------------
 
 #: Families whose inputs are standardised.
@@ -95,8 +104,7 @@ def dense_parameters(layers: list[int]) -> int:
 def classifier(family: str, p: dict, n_rows: int, n_features: int, seed: int = 42) -> Estimator:
     """The library classifier of a family with the settings of one draw.
 
-    Settings without a counterpart (solver, minimum split size, L1/L2 weights of the boosted
-    trees, dropout, optimiser) are not in the grids. Colsample maps to the feature subset tried
+    Settings without a counterpart (`NO_COUNTERPART`) are not in the grids. Colsample maps to the feature subset tried
     per node, gamma to the minimum information gain, and the net is sigmoid.
     """
     cols = {"featuresCol": "features", "labelCol": "win"}
@@ -136,7 +144,6 @@ def classifier(family: str, p: dict, n_rows: int, n_features: int, seed: int = 4
             **cols,
             layers=[n_features, *hidden, 2],
             maxIter=p.get("epochs", 100),
-            stepSize=p.get("learning_rate", 0.01),
             seed=seed,
         )
     raise ValueError(f"unknown model family {family}")
@@ -191,7 +198,9 @@ def fit_family(
     n_rows = train.count()
     inputs = Pipeline(stages=input_stages(train, family, features)).fit(train)
     vectors = inputs.transform(train).select("features", "win", "fold")
-    estimators = [classifier(family, p, n_rows, len(features), seed) for p in settings]
+    # a penalty is scaled by the rows a fit sees: inside the search all folds but one
+    n_search = n_rows * (folds - 1) // folds if len(settings) > 1 else n_rows
+    estimators = [classifier(family, p, n_search, len(features), seed) for p in settings]
     scores: list[tuple[dict, float]] = []
     chosen, best_auc, model = settings[0], None, None
     if len(settings) > 1:
@@ -210,6 +219,8 @@ def fit_family(
         scores = list(zip(settings, found.avgMetrics, strict=True))
         chosen, best_auc = max(scores, key=lambda s: s[1])
         model = found.bestModel.stages[0]
+        if family == "logistic":
+            model = classifier(family, chosen, n_rows, len(features), seed).fit(vectors)
     else:
         model = estimators[0].fit(vectors)
     stages = [*inputs.stages, model]
@@ -247,15 +258,22 @@ def train_roles(
     folds: int = 3,
     threads: int = 4,
     seed: int = 42,
+    failures: list[tuple[str, str, str]] | None = None,
 ) -> list[Fit]:
-    """Fit every family for every role. A role that fails is logged and left out."""
+    """Fit every family for every role.
+
+    A fit that fails is logged, goes as (role, family, error) to ``failures``, and the others go
+    on; when nothing could be fitted, that is an error.
+    """
+    failed = [] if failures is None else failures
 
     def one(role: str, family: str) -> Fit | None:
         train = prepared.where((F.col("role") == role) & ~F.col("is_test"))
         try:
             return fit_family(train, role, family, settings(family), folds, seed=seed)
-        except Exception:
+        except Exception as error:
             log.exception("training failed for %s %s", role, family)
+            failed.append((role, family, f"{type(error).__name__}: {error}"))
             return None
 
     present = {r.role for r in prepared.select("role").distinct().collect()}
@@ -264,9 +282,16 @@ def train_roles(
     with ThreadPoolExecutor(threads) as pool:
         run = inheritable_thread_target(session)(one)
         fits = list(pool.map(lambda job: run(*job), jobs))
+    if jobs and len(failed) >= len(jobs):
+        raise RuntimeError(f"no model could be fitted: {failed[0]}")
     return [f for f in fits if f is not None]
 
 
+def failure_rows(spark: SparkSession, failures: list[tuple[str, str, str]]) -> DataFrame:
+    """``role, family, error`` of the fits that failed."""
+    return spark.createDataFrame(failures, "role string, family string, error string")
+
+
 def score_fits(fits: list[Fit], rows: DataFrame, key: str = "row_key") -> DataFrame:
     """Scored rows ``role, model, key, label, prediction, probability`` of all fits.
 
@@ -305,12 +330,13 @@ def model_specs(spark: SparkSession, fits: list[Fit]) -> DataFrame:
                 "total_params": total,
                 "trainable_params": total,
                 "non_trainable_params": 0,
-                "optimizer": final.getSolver(),
+                "solver": final.getSolver(),
                 "loss": "cross entropy",
             }
         elif fit.family == "logistic":
             values |= {"reg_param": final.getRegParam(), "intercept": final.intercept}
         else:
             values |= {"trees": len(final.trees), "depth": final.getMaxDepth()}
+        values |= {name: "no counterpart" for name in NO_COUNTERPART[fit.family]}
         rows += [(fit.family, fit.role, k, str(v)) for k, v in values.items()]
     return spark.createDataFrame(rows, "family string, role string, setting string, value string")

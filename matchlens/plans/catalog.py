@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,11 +88,13 @@ def _clutch_input(spark, d, player: str = "player") -> DataFrame:
 
 
 def _pressure_rows(spark, d, player: str = "player") -> DataFrame:
-    return P.pressure_rows(_clutch_input(spark, d, player), keep=["row_key", "opponent_team"])
+    rows = pinned(_clutch_input(spark, d, player), "pressure")
+    return P.pressure_rows(rows, keep=["row_key", "opponent_team"])
 
 
 def _stored_pressure_rows(spark, d, player: str = "player") -> DataFrame:
-    return pinned(_pressure_rows(spark, d, player).drop("row_key"), "pressure")
+    """The player rows are stored; the contexts of a row are laid out as it is read."""
+    return _pressure_rows(spark, d, player).drop("row_key")
 
 
 def _coefficients(spark, models) -> DataFrame:
@@ -188,9 +191,7 @@ def role_dataset_summary(spark, d):
 
 @query
 def role_order_report(spark, d):
-    counts = FE.role_summary(_role_rows(spark, d).where(F.col("win") == 1)).select(
-        "role", F.col("n_samples").alias("n_wins")
-    )
+    counts = _role_rows(spark, d).groupBy("role").agg(F.sum("win").alias("n_wins"))
     return complete_on_roles(counts, ROLES)
 
 
@@ -596,7 +597,7 @@ def linear_shap(spark, d):
 @query
 def shap_frame(spark, d):
     """Value and Shapley value of the sampled rows, which are also the background."""
-    sample = X.explained_sample(_standardised(spark, d), ["row_key"], ["role"])
+    sample = pinned(X.explained_sample(_standardised(spark, d), ["row_key"], ["role"]))
     wide = X.linear_shap(sample, _coefficients(spark, ["logistic"]), ["role", "model"], ["row_key"])
     return rounded(X.shap_long(wide, ["role", "model", "row_key"]))
 
@@ -610,7 +611,7 @@ def exact_shapley(spark, d):
     rows = _standardised(spark, d).select(
         "role", "row_key", *[F.col(f"z_{f}").alias(f) for f in SMALL]
     )
-    sample = X.explained_sample(rows, ["row_key"], ["role"])
+    sample = pinned(X.explained_sample(rows, ["row_key"], ["role"]))
 
     def score(df):
         margin = sum(F.col(f) * mv.BASE_COEFFICIENTS[f] for f in SMALL)
@@ -628,7 +629,7 @@ def _importance(spark, d) -> DataFrame:
 
 @query
 def shap_importance(spark, d):
-    return rounded(X.with_share(_importance(spark, d), ["role", "model"]))
+    return rounded(X.with_scale(X.with_share(_importance(spark, d), ["role", "model"])))
 
 
 @query
@@ -805,71 +806,160 @@ def report_rows(spark, d):
     return rounded(final_report(flagged, _role_rows(spark, d), _metrics(spark, d)))
 
 
-# ---- models (checked by properties in the tests, not by SQL) -----------------------------------
+# ---- models ----------------------------------------------------------------------------------
 
-#: One or two settings per family keep the search short; the full budgets are the defaults.
+#: Small settings of every family, searched by cross-validation; the full draws are the defaults.
 QUICK = {
     "logistic": [{"penalty": "l2", "C": 1.0, "max_iter": 20},
                  {"penalty": "l1", "C": 0.1, "max_iter": 20}],
-    "random_forest": [{"n_estimators": 10, "max_depth": 5}],
-    "xgboost": [{"n_estimators": 8, "max_depth": 3, "learning_rate": 0.2}],
-    "neural_network": [{"n_neurons": 10, "n_hidden": 1, "epochs": 20}],
+    "random_forest": [{"n_estimators": 10, "max_depth": 5}, {"n_estimators": 20, "max_depth": 3}],
+    "xgboost": [{"n_estimators": 8, "max_depth": 3, "learning_rate": 0.2},
+                {"n_estimators": 8, "max_depth": 2, "learning_rate": 0.1}],
+    "neural_network": [{"n_neurons": 10, "n_hidden": 1, "epochs": 20},
+                       {"n_neurons": 10, "n_hidden": 2, "epochs": 20}],
 }
 
 
+def _first_setting(family: str) -> list[dict]:
+    return QUICK[family][:1]
+
+
 def _train(spark, d, families, search: bool = False) -> tuple[DataFrame, list[TR.Fit]]:
     prepared = TR.prepare_training(_features(spark, d))
-    settings = QUICK.get if search else lambda family: QUICK[family][:1]
-    return prepared, TR.train_roles(prepared, families, settings)
+    return prepared, TR.train_roles(prepared, families, QUICK.get if search else _first_setting)
 
 
-def _trained_metrics(spark, d, families) -> DataFrame:
-    prepared, fits = _train(spark, d, families, search=True)
-    return rounded(E.all_metrics(TR.score_fits(fits, prepared.where("is_test"))))
+def _trained(spark, d, family) -> DataFrame:
+    """Metrics of the chosen models on the held-out rows, with the search behind them."""
+    prepared, fits = _train(spark, d, [family], search=True)
+    searched = [
+        (f.role, f.family, f.n_train, len(f.searched), float(f.cv_auc), max(float(a) for _, a in f.searched))
+        for f in fits
+    ]
+    schema = "role string, model string, n_train long, n_searched int, cv_auc double, best double"
+    search = spark.createDataFrame(searched, schema)
+    metrics = E.all_metrics(TR.score_fits(fits, prepared.where("is_test")))
+    return metrics.join(search, ["role", "model"])
+
+
+def _search_outcome(spark, d, family) -> DataFrame:
+    """What is known of a search beforehand: rows, settings, the choice of the best, a sound result."""
+    found = _trained(spark, d, family)
+    sound = [F.col(m).between(0, 1) for m in ("accuracy", "precision", "recall", "f1_score", "auc_roc", "brier_score")]
+    return found.select(
+        "role", "model", "n_train", "n_searched", (F.col("cv_auc") == F.col("best")).alias("best_chosen"),
+        F.col("cv_auc").between(0, 1).alias("cv_auc_sound"), F.expr("log_loss >= 0").alias("log_loss_sound"),
+        reduce(lambda a, b: a & b, sound).alias("metrics_sound"),
+    )
 
 
 @query
 def train_lr(spark, d):
-    return _trained_metrics(spark, d, ["logistic"])
+    return rounded(_trained(spark, d, "logistic").drop("best"))
 
 
 @query
 def train_rf(spark, d):
-    return _trained_metrics(spark, d, ["random_forest"])
+    return rounded(_trained(spark, d, "random_forest").drop("best"))
 
 
 @query
 def train_gbt(spark, d):
-    return _trained_metrics(spark, d, ["xgboost"])
+    return rounded(_trained(spark, d, "xgboost").drop("best"))
 
 
 @query
 def train_mlp(spark, d):
-    return _trained_metrics(spark, d, ["neural_network"])
+    return rounded(_trained(spark, d, "neural_network").drop("best"))
+
+
+@query
+def search_lr(spark, d):
+    return _search_outcome(spark, d, "logistic")
+
+
+@query
+def search_rf(spark, d):
+    return _search_outcome(spark, d, "random_forest")
+
+
+@query
+def search_gbt(spark, d):
+    return _search_outcome(spark, d, "xgboost")
+
+
+@query
+def search_mlp(spark, d):
+    return _search_outcome(spark, d, "neural_network")
 
 
 @query
 def evaluate_models(spark, d):
-    """Reports of all four families on the held-out rows, each on the inputs it was trained on."""
+    """Reports of all four families on the held-out rows, each on the inputs it was trained on:
+    the support of every class, and whether its values are sound."""
     prepared, fits = _train(spark, d, MODELS)
-    return rounded(E.classification_report(TR.score_fits(fits, prepared.where("is_test"))))
+    report = E.classification_report(TR.score_fits(fits, prepared.where("is_test")))
+    values = ("precision", "recall", "f1_score")
+    sound = reduce(lambda a, b: a & b, [F.col(v).between(0, 1) for v in values])
+    return report.where(F.col("class") != "accuracy").select(
+        "role", "model", "class", "support", sound.alias("sound")
+    )
 
 
 @query
 def model_specs(spark, d):
-    prepared, fits = _train(spark, d, ["logistic", "neural_network"])
-    return TR.model_specs(spark, fits)
+    """Settings of all four families that do not depend on the data, and their training rows."""
+    _, fits = _train(spark, d, MODELS)
+    learned = ["reg_param", "intercept", "cv_auc"]
+    return TR.model_specs(spark, fits).where(~F.col("setting").isin(learned))
 
 
 @query
 def batch_predict(spark, d):
-    """Models saved, the best one per role loaded back, all players scored."""
-    prepared, fits = _train(spark, d, ["logistic", "random_forest"])
+    """Models of all families saved, the best per role loaded back, all players scored, those of an
+    unknown role too; logistic models also from their stored coefficients as plain columns."""
+    prepared, fits = _train(spark, d, MODELS)
     store = scratch_path(spark, "models")
     MS.save_models(fits, store)
     metrics = E.all_metrics(TR.score_fits(fits, prepared.where("is_test")))
     best = MS.load_best(spark, store, metrics)
-    return rounded(S.batch_predict(_features(spark, d), best, "row_key"))
+    players = _features(spark, d).withColumn(
+        "role", F.when(F.col("slot") == 7, "Coach").otherwise(F.col("role"))
+    )
+    scored = S.batch_predict(players, best, "row_key")
+    p = F.col("win_probability")
+    return scored.select(
+        "player_id", "role", F.col("model_used").isNotNull().alias("scored"),
+        (p.between(0, 1) & (F.col("win_prediction") == (p > 0.5).cast("int"))
+         & (F.col("skill_rating") == p)).alias("consistent"),
+    )
+
+
+@query
+def stored_linear_score(spark, d):
+    """Logistic models saved and loaded, scored by the library and from their coefficients as plain
+    columns: the difference per held-out row."""
+    prepared, fits = _train(spark, d, ["logistic"])
+    store = scratch_path(spark, "models")
+    MS.save_models(fits, store)
+    loaded = {f.role: MS.load_model(spark, store, f.role, "logistic") for f in fits}
+    coefficients = []
+    for role, model in loaded.items():
+        final = model.stages[-1]
+        values = [float(c) for c in final.coefficients.toArray()]
+        coefficients.append((role, "logistic", float(final.intercept), *values))
+    test = prepared.where("is_test")
+    library = X.combine([
+        S.positive_probability(m.transform(test.where(F.col("role") == role)), "p")
+        .select("role", "row_key", "win", "p", *FEATURES)
+        for role, m in loaded.items()
+    ])
+    stats = S.scaler_stats(prepared.where("NOT is_test"))
+    plain = S.linear_score(library, stats, S.coefficient_table(spark, coefficients))
+    return plain.select(
+        "role", "row_key", F.col("win").alias("label"),
+        (F.abs(F.col("p") - F.col("win_probability")) < 1e-9).alias("equal"),
+    )
 
 
 @query
@@ -896,35 +986,74 @@ def model_roundtrip(spark, d):
     )
 
 
+@query
+def single_player_scores(spark, d):
+    """One player per role through the single-player path and through the batch path."""
+    prepared, fits = _train(spark, d, ["xgboost"])
+    sample = SP.seeded_sample(prepared.where("is_test"), 1, ["row_key"], ["role"])
+    by_role = {f.role: f.model for f in fits}
+    batch = S.batch_predict(sample, {r: ("xgboost", m) for r, m in by_role.items()}, "row_key")
+    batch_scores = {r.player_id: r.skill_rating for r in batch.collect()}  # one row per role
+    rows = []
+    for r in sample.collect():
+        stats = {f: r[f] for f in FEATURES}
+        alone = S.quick_predict(spark, stats, r.role.upper(), "xgboost", by_role[r.role])
+        rows.append((r.role, r.row_key, abs(alone - batch_scores[r.row_key]) < 1e-12))
+    return spark.createDataFrame(rows, "role string, row_key string, equal boolean")
+
+
 @query
 def stored_model_inventory(spark, d):
-    _, fits = _train(spark, d, ["random_forest"])
+    _, fits = _train(spark, d, MODELS)
     store = scratch_path(spark, "models")
     MS.save_models(fits, store)
-    return MS.model_inventory(MS.file_listing(spark, store))
+    found = MS.model_inventory(MS.file_listing(spark, store))
+    return found.select(
+        "role", "model_type", "file_path", "available", (F.col("file_size_mb") >= 0).alias("sized")
+    )
 
 
 @query
 def tree_shapley(spark, d):
-    """Shapley values of a forest for the sampled rows of each role, summarised per feature."""
-    prepared, fits = _train(spark, d, ["random_forest"])
-    wide = workflow.explain_fits(fits, prepared.where("is_test"), "row_key", 2, 20)
-    return rounded(X.mean_abs_shap(wide, ["role", "model"]))
+    """Shapley values of forests and boosted trees for the sampled rows of each role: the rows
+    explained, and whether the values add up to the score less the mean background score."""
+    prepared, fits = _train(spark, d, ["random_forest", "xgboost"])
+    test = prepared.where("is_test").dropDuplicates(["role", "row_key"])
+    wide = workflow.explain_fits(fits, test, "row_key", 2, X.FALLBACK_BACKGROUND_ROWS)
+    scores = TR.score_fits(fits, test)
+    background = SP.seeded_sample(test, X.FALLBACK_BACKGROUND_ROWS, ["row_key"], ["role"])
+    base = (
+        TR.score_fits(fits, background)
+        .groupBy("role", "model").agg(F.avg("probability").alias("base"))
+    )
+    total = reduce(lambda a, b: a + b, [F.col(f"shap_{f}") for f in FEATURES])
+    joined = wide.withColumn("total", total).join(scores, ["role", "model", "row_key"])
+    joined = joined.join(base, ["role", "model"])
+    return joined.groupBy("role", "model").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        (F.max(F.abs(F.col("total") - (F.col("probability") - F.col("base")))) < 1e-9).alias("adds_up"),
+    )
 
 
 @query
 def full_run(spark, d):
-    """All phases over stored tables with two families; the report of the run."""
+    """All phases over stored tables with all families; the report of the run. Values of the model
+    section depend on the fits and are given as whether they are sound."""
     outcome = workflow.run(
         spark,
         lambda: mv.player_games(spark, d),
         scratch_path(spark, "run"),
-        families=["logistic", "xgboost"],
-        settings=QUICK.get,
-        n_permutations=1,
-        background=10,
+        settings=_first_setting,
+    )
+    model = F.col("section") == "models"
+    return rounded(
+        outcome.report.select(
+            "section",
+            F.when(model, F.split_part("item", F.lit(": "), F.lit(1))).otherwise(F.col("item")).alias("item"),
+            "name",
+            F.when(model, F.col("value").between(0, 1).cast("double")).otherwise(F.col("value")).alias("value"),
+        )
     )
-    return rounded(outcome.report)
 
 
 @query

@@ -455,7 +455,8 @@ IMPORTANCE = [*SCALED, *shap_ctes(MODELS), ("lo", shap_rows("")),
                      " GROUP BY ALL")]
 add("shap_importance", IMPORTANCE,
     f"SELECT role, model, feature, {r('importance')} AS importance,"
-    f" {r('importance / sum(importance) OVER (PARTITION BY role, model)')} AS share FROM im")
+    f" {r('importance / sum(importance) OVER (PARTITION BY role, model)')} AS share,"
+    " CASE WHEN model = 'logistic' THEN 'margin' ELSE 'probability' END AS scale FROM im")
 add("importance_comparison", IMPORTANCE, "SELECT model, feature, " + ", ".join(
     f"{r(f'coalesce(max(CASE WHEN role = {x!r} THEN importance END), 0)')} AS \"{x}\""
     for x in ROLES) + " FROM im GROUP BY model, feature")
@@ -745,3 +746,74 @@ add("report_rows", [
     report_part("rs", "roles", "role", ["n_samples", "win_rate"]),
     report_part("best", "models", "role || ': ' || model", ["accuracy", "f1_score", "auc_roc"]),
 ]))
+
+# ---- models: what is known without fitting anything --------------------------------------------
+
+SPLIT = [
+    *ROLE_ROWS,
+    ("sp", f"SELECT *, row_number() {STRATUM} <= round(0.2 * count(*)"
+           " OVER (PARTITION BY role, win)) AS is_test FROM rr"),
+    ("ts", "SELECT * FROM sp WHERE is_test"),
+    ("tr", "SELECT role, count(*) AS n_train FROM sp WHERE NOT is_test GROUP BY role"),
+]
+FAMILY = f"(SELECT unnest({MODELS!r}) AS model)"
+for _name, _family in zip(["lr", "rf", "gbt", "mlp"], MODELS, strict=True):
+    add(f"search_{_name}", SPLIT,
+        f"SELECT role, '{_family}' AS model, n_train, 2 AS n_searched, true AS best_chosen,"
+        " true AS cv_auc_sound, true AS log_loss_sound, true AS metrics_sound FROM tr")
+add("evaluate_models", [
+    *SPLIT,
+    ("n", "SELECT role, count(*) FILTER (win = 0) AS n0, count(*) FILTER (win = 1) AS n1 FROM ts"
+          " GROUP BY role"),
+], " UNION ALL ".join(
+    f"SELECT role, model, '{c}' AS class, CAST({v} AS DOUBLE) AS support, true AS sound"
+    f" FROM n CROSS JOIN {FAMILY}"
+    for c, v in (("0", "n0"), ("1", "n1"), ("macro avg", "n0 + n1"), ("weighted avg", "n0 + n1"))))
+SPECS = {
+    "logistic": {"penalty": "l2", "C": "1.0", "max_iter": "20"},
+    "random_forest": {"n_estimators": "10", "max_depth": "5", "trees": "10", "depth": "5"},
+    "xgboost": {"n_estimators": "8", "max_depth": "3", "learning_rate": "0.2", "trees": "8",
+                "depth": "3"},
+    "neural_network": {
+        "n_neurons": "10", "n_hidden": "1", "epochs": "20", "layers": "11-10-2",
+        "total_params": "142", "trainable_params": "142", "non_trainable_params": "0",
+        "solver": "l-bfgs", "loss": "cross entropy"},
+}
+NONE = {"logistic": ["solver"], "random_forest": ["min_samples_split"],
+        "xgboost": ["reg_alpha", "reg_lambda"],
+        "neural_network": ["learning_rate", "optimizer", "dropout", "activation"]}
+_specs = ", ".join(
+    f"('{f}', '{k}', '{v}')" for f in MODELS
+    for k, v in [*SPECS[f].items(), *[(k, "no counterpart") for k in NONE[f]]])
+add("model_specs", SPLIT,
+    f"SELECT family, role, setting, value FROM tr CROSS JOIN (VALUES {_specs}) v(family, setting, value)"
+    f" UNION ALL SELECT model, role, 'n_train', CAST(n_train AS VARCHAR) FROM tr CROSS JOIN {FAMILY}")
+add("batch_predict", [("pg", PG)],
+    "SELECT row_key AS player_id, CASE WHEN slot <> 7 THEN role END AS role, slot <> 7 AS scored,"
+    " CASE WHEN slot <> 7 THEN true END AS consistent FROM pg")
+add("stored_linear_score", SPLIT,
+    "SELECT role, row_key, win AS label, true AS equal FROM ts")
+add("model_roundtrip", SPLIT,
+    "SELECT role, CAST(sum(c * c) AS BIGINT) AS n, 0.0::DOUBLE AS largest_difference FROM"
+    " (SELECT role, row_key, count(*) AS c FROM ts GROUP BY ALL) GROUP BY role")
+add("single_player_scores", [*SPLIT, ("sm", sampled("ts", 1))],
+    "SELECT role, row_key, true AS equal FROM sm")
+add("stored_model_inventory", [
+    ("gr", f"SELECT unnest({[x.lower() for x in ROLES]!r}) AS role"),
+], "SELECT role, model AS model_type, role || '/' || model AS file_path, true AS available,"
+   f" true AS sized FROM gr CROSS JOIN {FAMILY}")
+add("tree_shapley", [
+    *SPLIT, ("n", "SELECT role, least(100, count(DISTINCT row_key)) AS n_rows FROM ts GROUP BY role"),
+], "SELECT role, model, n_rows, true AS adds_up FROM n CROSS JOIN"
+   " (SELECT unnest(['random_forest', 'xgboost']) AS model)")
+add("full_run", [
+    *SERIES, *FEATURE_ROWS[1:], *ROLE_ROWS[2:],
+    ("su", SUMMARY),
+    ("rs", "SELECT role, count(*) AS n_samples, avg(win) AS win_rate FROM rr GROUP BY role"),
+    ("md", "SELECT role, 1.0 AS accuracy, 1.0 AS f1_score, 1.0 AS auc_roc FROM rs"),
+], " UNION ALL ".join([
+    report_part("su", "dataset", "'all'", ["player_rows", "games", "bo5_player_rows", "bo5_games",
+                                           "final3_player_rows", "final3_games"]),
+    report_part("rs", "roles", "role", ["n_samples", "win_rate"]),
+    report_part("md", "models", "role", ["accuracy", "f1_score", "auc_roc"]),
+]))

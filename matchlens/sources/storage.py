@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,19 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir`` or set as the checkpoint folder.
 
-    Only a local session without that setting gets a folder of its own; on a cluster a missing
-    setting is an error, because a machine-local folder would not survive a lost executor.
+    A missing setting is an error: a machine-local folder would not survive a lost executor.
     """
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="matchlens-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(configured)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return configured
 
 

@@ -56,10 +56,24 @@ def test_linear_scorer_gets_coefficient_times_distance(spark):
         assert r.shap_b == pytest.approx(-(r.b - means.b), abs=1e-12)
 
 
-def test_too_many_cells_are_refused(spark):
+def test_too_many_cells_are_refused_where_a_limit_is_given(spark):
     sample = X.explained_sample(frame(spark), ["key"], ["role"])
+    design = X.exact_design(3)
+    X.shapley_values(sample, sample, logistic, design, ["key"], ["role"], NAMES)
     with pytest.raises(ValueError, match="scored cells"):
-        X.shapley_values(sample, sample, logistic, [(0, [0.0] * 3)] * 50_000, ["key"], ["role"], NAMES)
+        X.shapley_values(sample, sample, logistic, design, ["key"], ["role"], NAMES, max_cells=10)
+
+
+def test_scored_rows_lie_in_as_many_partitions_as_configured(spark):
+    sample = X.explained_sample(frame(spark, 400), ["key"], ["role"], n=400)
+    seen = []
+
+    def score(df):
+        seen.append(df.select(F.spark_partition_id().alias("p")))
+        return logistic(df)
+
+    X.shapley_values(sample, sample, score, X.exact_design(3), ["key"], ["role"], NAMES)
+    assert seen[0].distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def test_designs_are_weights_that_cancel():

@@ -34,7 +34,7 @@ def test_grids_and_seeded_draws():
     assert len(TR.parameter_grid("logistic")) == 80
     assert len(TR.parameter_grid("random_forest")) == 72
     assert len(TR.parameter_grid("xgboost")) == 324
-    assert len(TR.parameter_grid("neural_network")) == 72
+    assert len(TR.parameter_grid("neural_network")) == 36
     draw = TR.draw_parameters("xgboost")
     assert len(draw) == 20 and draw == TR.draw_parameters("xgboost")
     assert len({str(p) for p in draw}) == 20
@@ -101,7 +101,7 @@ def test_batch_and_single_scoring_agree(spark, trained):
         [("x", "aDc", 3.0, 300.0), ("y", "Coach", 1.0, 1.0)],
         "id string, Role string, kde double, gpm double")
     got = S.batch_predict(players, {"ADC": ("xgboost", model)}, "id", "Role").collect()
-    assert [(r.player_id, r.skill_rating) for r in got] == [("x", one["skill_rating"])]
+    assert {(r.player_id, r.skill_rating) for r in got} == {("x", one["skill_rating"]), ("y", None)}
     with pytest.raises(ValueError, match="no model available"):
         S.predict_one(spark, stats, "coach", "xgboost", model)
 
@@ -112,8 +112,15 @@ def test_a_failing_role_is_left_out(trained):
     def settings(family):
         return [{"n_neurons": 0 if family == "neural_network" else 5, "max_iter": 5}]
 
-    fits = TR.train_roles(prepared, ["logistic", "neural_network"], settings, roles=["Mid", "Nobody"])
+    failures = []
+    fits = TR.train_roles(
+        prepared, ["logistic", "neural_network"], settings, roles=["Mid", "Nobody"], failures=failures)
     assert [(f.role, f.family) for f in fits] == [("Mid", "logistic")]
+    assert [f[:2] for f in failures] == [("Mid", "neural_network")]
+    rows = TR.failure_rows(prepared.sparkSession, failures).collect()
+    assert rows[0].family == "neural_network" and rows[0].error
+    with pytest.raises(RuntimeError, match="no model could be fitted"):
+        TR.train_roles(prepared, ["neural_network"], settings, roles=["Mid"])
 
 
 def test_specs_list_net_sizes(spark, trained):
@@ -142,11 +149,14 @@ def test_run_with_and_without_training(spark, tmp_path):
     assert plain.metrics is None and plain.shap is None
     sections = {r.section for r in plain.report.collect()}
     assert sections == {"dataset", "roles"}
+    assert {"pressure_slopes", "pressure_tiers", "report"} <= set(plain.frames)
     full = workflow.run(
-        spark, collect, str(tmp_path), families=["logistic"],
+        spark, collect, str(tmp_path), families=["logistic"], skip={"pressure"},
         settings=lambda f: SETTINGS[f][:1], n_permutations=1, background=3)
     assert len(calls) == 1  # collected rows are reused
     assert full.metrics.count() == len(ROLES)
     assert full.shap.groupBy("role").count().where("count > 100").count() == 0
+    assert {"roc_curve", "best_model", "importance", "dependence", "model_specs"} <= set(full.frames)
+    assert full.frames["failures"].count() == 0 and "pressure_slopes" not in full.frames
     text = report_text(full.report)
     assert "# models" in text and "Top: logistic" in text

@@ -167,3 +167,11 @@ def test_normal_distribution_function(spark):
     assert got == [pytest.approx(v, abs=2e-7) for v in (0.025, 0.5, 0.841344746)]
     text = spark.range(1).select(interval_text(F.lit(1.234), F.lit(0.5), F.lit(2.0))).first()[0]
     assert text == "1.23 [0.50, 2.00]"
+
+
+def test_a_context_of_ones_own_is_fitted_too(spark):
+    rows = [(c, f"p{i % 7}", i % 2, 0.1 + 0.01 * (i * 7 % 83), "t") for c in ("mine", "playoff") for i in range(200)]
+    df = spark.createDataFrame(rows, "context string, player string, pressure int, score double, opponent_team string")
+    fit = P.fit_pressure(df, opponent="opponent_team")
+    assert {r.context for r in fit.players.collect()} == {"mine", "playoff"}
+    assert {r.context for r in fit.population.collect()} == {"mine", "playoff"}
