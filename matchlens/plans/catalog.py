@@ -385,6 +385,11 @@ def page_to_rows(spark, d):
     )
 
 
+@query
+def page_rejects(spark, d):
+    return PG.page_rejects(mv.raw_pages(spark, d))
+
+
 @query
 def stream_ingest(spark, d):
     """Player rows landed as files in two batches, drained by two runs of the stream."""

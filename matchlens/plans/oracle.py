@@ -189,6 +189,13 @@ PARSED = [
                " AS reject FROM q"),
 ]
 add("header_parse", PARSED, "SELECT * FROM parsed")
+add("page_rejects", [
+    *PARSED,
+    ("x", f"SELECT o_orderkey AS k, {mv.PAGE_PLAYERS.replace('k %', 'o_orderkey %')}"
+          " AS players FROM orders"),
+    ("w", "SELECT k AS game_id, CASE WHEN players <> 10 THEN 'wrong number of players' ELSE reject"
+          " END AS reject FROM x JOIN parsed ON game_id = k"),
+], "SELECT game_id, reject FROM w WHERE reject IS NOT NULL")
 _pv = {k: v.replace("k ", "k ") for k, v in mv.PAGE_VALUES.items()}
 add("page_to_rows", [
     *PARSED,

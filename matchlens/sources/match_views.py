@@ -180,7 +180,7 @@ def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``game_id, page_kind, html`` for every order, built from the order's columns."""
     cells = " || ".join(
         f"'<tr><td>{name}</td>' || array_join(transform(sequence(0, players - 1),"
-        f" slot -> '<td><b>' || {value} || '</b></td>'), '') || '</tr>'"
+        f" slot -> '<td><b>' || replace({value}, 'S', '&#x53;') || '</b></td>'), '') || '</tr>'"
         for name, value in PAGE_VALUES.items()
     )
     stats = spark.sql(
@@ -192,8 +192,8 @@ def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = header_text(spark, sf_dir).selectExpr(
         "game_id",
         "'header' AS page_kind",
-        """'<html><div class="col-12 blue-line-header"><a href="#">' || blue_text
-           || '</a></div><div class="col-12 red-line-header">' || red_text || '</div></html>'
+        """'<html><div class="col-12 blue-line-header"><a href="#">' || replace(blue_text, 'I', '&#73;')
+           || '</a></div><div class="col-12 red-line-header">' || replace(red_text, ' ', '&nbsp;') || '</div></html>'
            AS html""",
     )
     return stats.unionByName(header)

@@ -27,6 +27,8 @@ CELL_END = r"(?i)</t[dh]>"
 ROW_END = r"(?i)</tr>"
 HEADER_LINE = r"(?is)<div[^>]*class=['\"][^'\"]*{}-line-header[^'\"]*['\"][^>]*>(.*?)</div>"
 TAG = r"<[^>]*>"
+#: Named character references and their texts; the ampersand comes last, so that nothing is read twice.
+NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
 # ----------------------------------------------------------------------------
 
 # Control characters that stand for the table's structure once its tags are gone.
@@ -34,8 +36,30 @@ _IS_DATA, _CELL, _ROW = "\x01", "\x02", "\x03"
 _BLANK = " \t\r\n" + _IS_DATA
 
 
+def _referenced(part: Column) -> Column:
+    """A part of a text that followed ``&#``: its number as a character, then the rest."""
+    number = F.regexp_extract(part, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+    hexadecimal = F.lower(F.substring(number, 1, 1)) == "x"
+    code = F.when(hexadecimal, F.conv(F.substring(number, 2, 6), 16, 10)).otherwise(number).try_cast("int")
+    letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    valid = (number != "") & (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    rest = F.substring(part, F.length(number) + 2, F.length(part))
+    return F.when(valid, F.concat(letter, rest)).otherwise(F.concat(F.lit("&#"), part))
+
+
+def decoded(text: Column) -> Column:
+    """Numeric and the common named character references as their characters."""
+    parts = F.split(text, "&#")
+    tail = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), _referenced)
+    numeric = F.concat(F.get(parts, F.lit(0)), F.array_join(tail, ""))
+    named = numeric
+    for reference, letter in NAMED.items():
+        named = F.replace(named, F.lit(reference), F.lit(letter))
+    return F.when(text.contains("&"), named).otherwise(text)
+
+
 def inner_text(html: Column) -> Column:
-    return F.trim(F.regexp_replace(html, TAG, " "))
+    return F.trim(decoded(F.regexp_replace(html, TAG, " ")))
 
 
 def header_lines() -> Column:
@@ -83,7 +107,7 @@ def stat_grid() -> Column:
         # What follows the last cell end belongs to no cell.
         lambda r: F.transform(
             F.slice(F.split(r, _CELL), 1, F.greatest(F.size(F.split(r, _CELL)) - 1, F.lit(0))),
-            lambda c: F.trim(c, F.lit(_BLANK)),
+            lambda c: decoded(F.trim(c, F.lit(_BLANK))),
         ),
     )
 
@@ -144,6 +168,26 @@ def player_columns(
     )
 
 
+def page_rejects(pages: DataFrame, players: int = PLAYERS_PER_GAME) -> DataFrame:
+    """``game_id, reject`` of the games that `pages_to_player_games` leaves out, and why."""
+    named = parsed_games(pages).select(
+        "game_id",
+        F.col("blue_text").isNull().alias("headless"),
+        F.col("grid").isNull().alias("statless"),
+        grid_players().alias("n_players"),
+        team_from_header("blue_text").alias("blue_team"),
+        team_from_header("red_text").alias("red_team"),
+        winner_from_headers("blue_text", "red_text").alias("winning_team"),
+    )
+    reason = (
+        F.when(F.col("headless"), "no header page")
+        .when(F.col("statless"), "no stats page")
+        .when(F.col("n_players") != players, "wrong number of players")
+        .otherwise(reject_reason())
+    )
+    return named.select("game_id", reason.alias("reject")).where(F.col("reject").isNotNull())
+
+
 def typed_stats(df: DataFrame) -> DataFrame:
     """Page text to numbers; text that does not parse becomes NULL."""
     typed = {c: F.expr(f"try_cast(`{c}` AS int)") for c in INT_STATS if c in df.columns}

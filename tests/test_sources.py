@@ -121,6 +121,16 @@ def test_metric_files_as_published(spark, tmp_path):
         MF.read_metric_files(spark, str(tmp_path))
 
 
+def test_character_references_and_rejects(spark):
+    texts = ["A &amp; B&#39;s", "&amp;lt; &amp;#39;", "&#x1F600;&#8364;", "&#xZZ; &# &#99999999; &", "&lt;&gt;&quot;&apos;", None, "plain"]
+    want = ["A & B's", "&lt; &#39;", "\U0001f600\u20ac", "&#xZZ; &# &#99999999; &", "<>\"'", None, "plain"]
+    assert one(spark, [(t,) for t in texts], "t string", PG.decoded(F.col("t"))) == want
+    rows = page(1, 9) + page(2, 10) + page(4, 10, ("stats",)) + page(6, 10, ("header",))
+    df = spark.createDataFrame(rows, "game_id long, page_kind string, html string")
+    assert {(r.game_id, r.reject) for r in PG.page_rejects(df).collect()} == {
+        (1, "wrong number of players"), (4, "no header page"), (6, "no stats page")}
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_join_equals_join_on_a_hot_key(spark, how):
     left = spark.createDataFrame(
