@@ -193,7 +193,7 @@ def series_flags(
 
 
 def with_series_flags(
-    player_games: DataFrame, flags: DataFrame, spread: list[str], salts: int = 8
+    player_games: DataFrame, flags: DataFrame, spread: list[str]
 ) -> DataFrame:
     """Attach ``bo5`` and ``final3`` to every player row (rows of unknown games keep NULL)."""
     return salted_join(
@@ -202,5 +202,4 @@ def with_series_flags(
         ["game_id"],
         "left",
         spread=spread,
-        salts=salts,
     )

@@ -330,7 +330,7 @@ def clutch_csv(spark, d):
 
 @query
 def valid_games(spark, d):
-    rows = mv.player_games(spark, d).select("row_key", "game_id", "player")
+    rows = pinned(mv.player_games(spark, d).select("row_key", "game_id", "player"))
     return B.valid_games(rows, players=5, spread=["row_key"])
 
 
@@ -685,7 +685,7 @@ def pressure_datasets_literal(spark, d):
 
 @query
 def factor_codes(spark, d):
-    rows = mv.player_games(spark, d).select("row_key", F.col("thin_player").alias("player"))
+    rows = pinned(mv.player_games(spark, d).select("row_key", F.col("thin_player").alias("player")))
     return P.with_codes(rows, P.factor_codes(rows), ["row_key"])
 
 

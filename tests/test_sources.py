@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from matchlens.functions import match as M
 from matchlens.functions import text as TX
 from matchlens.operators import features as FE
-from matchlens.operators.joins import salted_join
+from matchlens.operators.joins import COPIES, heavy_keys, salted_join
 from matchlens.schema import FEATURES, ROLES
 from matchlens.sources import batches as B
 from matchlens.sources import metrics_files as MF
@@ -141,6 +141,16 @@ def test_salted_join_equals_join_on_a_hot_key(spark, how):
     assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
 
 
+def test_only_heavy_keys_are_dealt_by_their_share(spark):
+    left = spark.createDataFrame([("hot" if i % 3 == 0 else f"k{i}", i) for i in range(3000)] + [(None, 1)] * 9, "k string, v int")
+    heavy = heavy_keys(left, ["k"], parts=30).collect()
+    assert [(r.k, r[COPIES]) for r in heavy] == [("hot", 10)]
+    right = left.select("k").distinct().withColumn("w", F.length("k"))
+    joined = salted_join(left, right, ["k"], "left", parts=30)
+    assert joined.count() == 3009 and joined.where("w IS NULL").count() == 9
+    assert heavy_keys(left.limit(0), ["k"]).count() == 0
+
+
 def test_salted_join_refuses_to_repeat_the_outer_side(spark):
     df = spark.range(1)
     with pytest.raises(ValueError):
