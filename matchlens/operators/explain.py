@@ -61,6 +61,28 @@ def linear_shap(
     )
 
 
+def linear_importance(
+    df: DataFrame,
+    coefficients: DataFrame,
+    features: list[str] = FEATURES,
+    prefix: str = "z_",
+) -> DataFrame:
+    """Mean absolute Shapley value of linear models: ``role, model, feature, importance``.
+
+    It is ``|coef| * mean |x - mean of x|``, so the rows are averaged once per role and only those
+    few rows meet the coefficients.
+    """
+    rows = df.where(F.col("role").isin(ROLES))
+    means = rows.groupBy("role").agg(*[F.avg(f"{prefix}{f}").alias(f"m_{f}") for f in features])
+    spread = rows.join(F.broadcast(means), "role").groupBy("role").agg(
+        *[F.avg(F.abs(F.col(f"{prefix}{f}") - F.col(f"m_{f}"))).alias(f"a_{f}") for f in features]
+    )
+    wide = coefficients.join(spread, "role").select(
+        "role", "model", *[(F.abs(f"b_{f}") * F.col(f"a_{f}")).alias(f) for f in features]
+    )
+    return to_long(wide, ["role", "model"], features, "feature", "importance")
+
+
 def shap_long(wide: DataFrame, ids: list[str], features: list[str] = FEATURES) -> DataFrame:
     """One row per explained row and feature: value and Shapley value."""
     pair = F.array(

@@ -186,7 +186,7 @@ def feature_availability(spark, d):
 
 @query
 def role_dataset_summary(spark, d):
-    return rounded(FE.role_summary(FE.enough_samples(_role_rows(spark, d), 100)))
+    return rounded(FE.role_summary(_role_rows(spark, d)).where(F.col("n_samples") >= 100))
 
 
 @query
@@ -629,7 +629,7 @@ def exact_shapley(spark, d):
 
 
 def _importance(spark, d) -> DataFrame:
-    return X.mean_abs_shap(_linear_shap(spark, d, MODELS), ["role", "model"])
+    return X.linear_importance(_standardised(spark, d), _coefficients(spark, MODELS))
 
 
 @query

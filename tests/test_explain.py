@@ -102,3 +102,16 @@ def test_common_order_and_leading_features(spark):
     assert len(top) == 10 and {r.feature for r in top} == set(FEATURES[-5:])
     shares = X.with_share(importance(spark), ["role", "model"]).groupBy("role").agg(F.sum("share"))
     assert all(r[1] == pytest.approx(1.0) for r in shares.collect())
+
+
+def test_linear_importance_is_the_mean_of_absolute_values(spark):
+    rows = [("Top" if i % 2 else "Mid", f"k{i}", math.sin(i), math.cos(i * i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "role string, key string, z_a double, z_b double")
+    df = df.withColumns({"a": F.col("z_a"), "b": F.col("z_b")})
+    table = spark.createDataFrame(
+        [(r, m, 0.1, c, -2 * c) for r in ("Top", "Mid") for m, c in (("x", 1.5), ("y", -0.5))],
+        "role string, model string, intercept double, b_a double, b_b double")
+    wide = X.linear_shap(df, table, ["role", "model"], ["key"], ["a", "b"])
+    want = {(r.role, r.model, r.feature): r.importance for r in X.mean_abs_shap(wide, ["role", "model"], ["a", "b"]).collect()}
+    got = {(r.role, r.model, r.feature): r.importance for r in X.linear_importance(df, table, ["a", "b"]).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
