@@ -47,7 +47,7 @@ class Splitter:
         out, at = [], 0
         for found in self.special.finditer(text):
             out += self._plain(text[at : found.start()])
-            out.append("\0" + found[0])  # no word of the pattern holds both a zero and other characters of this kind
+            out.append("\0" + found[0])  # a zero marks them: no word of the pattern holds a zero and letters
             at = found.end()
         return out + self._plain(text[at:])
 

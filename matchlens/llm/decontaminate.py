@@ -66,7 +66,6 @@ class Index:
     table: np.ndarray
     least: int
     reach: int
-    blocks: list[tuple[int, int, int, int]]
 
     def windows(self, item: int) -> list[tuple[int, int, int, int]]:
         """(start, end, edits, least shared q-grams) of the windows of an item."""
@@ -94,7 +93,7 @@ def build_index(items: list[tuple]) -> Index | None:
     grams, first, count = np.unique(every[order], return_index=True, return_counts=True)
     table = np.zeros(1 << 22, bool)
     table[(grams * _FACTOR) >> np.uint64(42)] = True
-    index = Index([i for i, _ in kept], [c for _, c in kept], grams, first, count, item[order], at[order], table, 0, 0, [])
+    index = Index([i for i, _ in kept], [c for _, c in kept], grams, first, count, item[order], at[order], table, 0, 0)
     windows = [w for n in range(len(kept)) for w in index.windows(n)]
     index.least = max(1, min(w[3] for w in windows))
     index.reach = max(w[1] - w[0] + w[2] for w in windows)

@@ -129,7 +129,7 @@ def _uri(folder: str) -> str:
 def write_monolithic(pages: DataFrame, folder: str, id_col: str = "page_id", url: str = "url", payload: str = "html", level: int = 1) -> DataFrame:
     """Write `pages` as archives of one gzip stream each, a file per task; list what was written.
 
-    Returns (file, seq, page_id, payload_bytes, payload_digest). File names hold the attempt, so
+    Returns (file, seq, id, payload_bytes, payload_digest). File names hold the attempt, so
     that the list, once stored, names exactly the files of the tasks that it came from. A null
     payload is empty. The list must be stored before use: it is made by writing.
     """
