@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 from matchlens.llm.common import fresh, map_rows
 
-#: Words of a window; windows do not overlap.
-WINDOW_WORDS = 8
+#: Words of a window, and from one window to the next: every word is seen in two surroundings.
+WINDOW_WORDS, WINDOW_STEP = 8, 4
 #: Bytes of the ordinary and of the toxic part of the dictionaries.
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 2048
 #: The bound of the training sample: labelled texts of each label, and the length up to which a text may be drawn.
@@ -116,9 +116,13 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def windows(words: list[str], size: int = WINDOW_WORDS) -> list[bytes]:
-    """Windows of `size` words, the last one shorter; a text without words has one blank window."""
-    return [(" " + " ".join(words[i : i + size]) + " ").encode() for i in range(0, len(words), size)] or [b" "]
+def windows(words: list[str], size: int = WINDOW_WORDS, step: int = WINDOW_STEP) -> list[bytes]:
+    """Windows of `size` words from every `step`-th word on, until one reaches the end.
+
+    A text of fewer words is one window, a text without words a blank one.
+    """
+    starts = range(0, max(1, len(words) - size + step), step)
+    return [(" " + " ".join(words[i : i + size]) + " ").encode() for i in starts] if words else [b" "]
 
 
 @dataclass
@@ -183,7 +187,7 @@ def fit(labelled: list[tuple[str, int]]) -> Model:
     parts = [p for t in toxic for p in _toxic_parts(t, strings)]
     order = np.random.default_rng(SEED)
     order.shuffle(parts)
-    plain = [w for t in ordinary for w in windows(normal(t))]
+    plain = [w for t in ordinary for w in windows(normal(t), step=WINDOW_WORDS)]
     order.shuffle(plain)
     model = Model(
         _dictionary(plain[:200_000], ORDINARY_BYTES), _dictionary([b"".join(parts[i : i + 6]) for i in range(0, len(parts), 6)], TOXIC_BYTES),

@@ -34,7 +34,11 @@ def labelled():
 def test_windows_cover_whole_texts():
     words = normal("One two-three FOUR_five. " * 5000)
     assert words[:5] == ["one", "two", "three", "four", "five"]
-    assert b" ".join(w.strip() for w in windows(words)).split() == [w.encode() for w in words]
+    assert b" ".join(w.strip() for w in windows(words, 8, 8)).split() == [w.encode() for w in words]
+    for n in range(1, 40):
+        cut = [w.split() for w in windows(words[:n])]
+        assert cut[0] == [w.encode() for w in words[:8][:n]] and cut[-1][-1] == words[n - 1].encode()
+        assert all(a[4:] == b[: len(a) - 4] for a, b in zip(cut, cut[1:], strict=False))
     assert windows([]) == [b" "] and normal(None) == []
 
 
