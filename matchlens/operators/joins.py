@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,12 +19,10 @@ def heavy_keys(df: DataFrame, on: list[str], parts: int = PARTS) -> DataFrame:
     Rows are counted per key on the map side first. There are fewer than ``parts`` such keys, so
     the result is small whatever the input.
     """
-    seen = Observation()
+    rows = df.count()
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-    counts = counts.observe(seen, F.sum("__n").alias("rows"))
-    top = counts.orderBy(F.desc("__n")).limit(parts).collect()
-    rows = (seen.get["rows"] or 0) if top else 0
-    heavy = [(*[r[c] for c in on], -(-r["__n"] * parts // rows)) for r in top if r["__n"] * parts > rows]
+    top = counts.where(F.col("__n") * parts > rows).collect()
+    heavy = [(*[r[c] for c in on], -(-r["__n"] * parts // rows)) for r in top]
     schema = T.StructType([df.schema[c] for c in on] + [T.StructField(COPIES, T.LongType())])
     return df.sparkSession.createDataFrame(heavy, schema)
 
