@@ -25,7 +25,7 @@ from tokenizers import Tokenizer
 from matchlens.llm.common import new_folder, stored
 
 #: Characters of text in a chunk of documents; a longer document is a chunk of its own.
-CHUNK_CHARS = 64_000_000
+CHUNK_CHARS = 16_000_000
 #: The split of the word tokenizer, a fixed value of its file, as a Python pattern.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Texts of these characters alone lower and normalise alike everywhere; others go through the library.
