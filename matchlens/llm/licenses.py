@@ -54,12 +54,17 @@ def _template_terms(templates: list[tuple[str, str]]) -> list[tuple[str, dict[st
     return out
 
 
-def document_frequencies(texts: DataFrame, text: str, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
-    """Number of rows, and in how many texts each term of the vocabulary occurs; at most one row per term is collected."""
-    known = F.array(*[F.lit(t) for t in vocabulary])
-    counted = texts.select(F.explode(F.array_union(F.array_intersect(terms_of(F.coalesce(F.col(text), F.lit(""))), known), F.array(F.lit("")))).alias("term"))
-    rows = {r.term: r.n for r in counted.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return rows.pop("", 0), rows
+def document_frequencies(texts: DataFrame, text: str, vocabulary: list[str]) -> tuple[int, dict[str, int], DataFrame]:
+    """Number of rows, in how many texts each term of the vocabulary occurs, and the stored table (term, n) of all terms.
+
+    At most one row per term of the vocabulary is collected. A task counts its texts' distinct terms
+    before the shuffle, so a term that every text has is one row per task. The row of the empty term
+    counts the texts.
+    """
+    each = F.array_union(terms_of(F.coalesce(F.col(text), F.lit(""))), F.array(F.lit("")))
+    table = stored(texts.select(F.explode(each).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")), "frequencies")
+    rows = {r.term: r.n for r in table.where(F.col("term").isin(["", *vocabulary])).collect()}
+    return rows.pop("", 0), rows, table
 
 
 def weights(n: int, frequencies: dict[str, int], vocabulary: list[str]) -> tuple[dict[str, float], float]:
@@ -90,11 +95,14 @@ def open_lines(text: Column, told: list[tuple[str, dict[str, int]]], idf: dict[s
     return F.filter(F.transform(F.filter(lines, lambda e: F.size(e["shared"]) > 0), able), lambda e: F.size(e["templates"]) > 0)
 
 
-def statements(held: DataFrame, told: list[tuple[str, dict[str, int]]], idf: dict[str, float], rare: float, threshold: float) -> DataFrame:
+def statements(
+    held: DataFrame, told: list[tuple[str, dict[str, int]]], idf: dict[str, float], rare: float, threshold: float, others: DataFrame | None = None
+) -> DataFrame:
     """(row, license, similarity, line): the best statement of each row of a stored table (row, open lines).
 
-    Terms outside the templates weigh `rare`. Of equal similarities (to six digits) the earlier line
-    wins, then the template that comes first.
+    Terms outside the templates weigh what the table `others` (term, idf) says, those that it lacks
+    `rare`. Of equal similarities (to six digits) the earlier line wins, then the template that comes
+    first.
     """
     spark = held.sparkSession
     lines = held.select("row", F.inline("open"))
@@ -105,7 +113,12 @@ def statements(held: DataFrame, told: list[tuple[str, dict[str, int]]], idf: dic
     template_lengths = spark.createDataFrame(lengths, "template int, length double, license string")
     # the sparse vector of each open line: its terms with their counts; template tables are fixed and small
     vectors = lines.select("row", "line", F.explode("terms").alias("term")).groupBy("row", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weighted = vectors.join(F.broadcast(idf_rows), "term", "left").withColumn("mine", F.col("tf") * F.coalesce("idf", F.lit(rare)))
+    if others is None:
+        weighted = vectors.join(F.broadcast(idf_rows), "term", "left")
+    else:
+        known = F.broadcast(idf_rows.withColumnRenamed("idf", "told"))
+        weighted = lookup(vectors, others, "term", ["row", "line"]).join(known, "term", "left").withColumn("idf", F.coalesce("told", "idf"))
+    weighted = weighted.withColumn("mine", F.col("tf") * F.coalesce("idf", F.lit(rare)))
     norms = weighted.groupBy("row", "line").agg(F.sqrt(F.sum(F.col("mine") * F.col("mine"))).alias("norm"))
     able = lines.select("row", "line", F.explode("templates").alias("template"))
     dots = (
@@ -133,19 +146,26 @@ def ancestors(directory: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), count), lambda i: F.array_join(F.slice(steps, F.lit(1), count - i), "/"))
 
 
-def report(files: DataFrame, id_col: str = "doc_id", path: str = "path", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def report(
+    files: DataFrame, id_col: str = "doc_id", path: str = "path", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD,
+    every_term: bool = False,
+) -> DataFrame:
     """One row per row of `files`: (id, path, own_license, similarity, line, license, inherited_from).
 
     `license` is the file's own statement, or that of the nearest directory at or above its own that
     holds a licence file with a statement (of several, the smallest path's, then the smallest
     name's); `inherited_from` is that directory, null for own statements. Null texts state nothing;
     null paths inherit nothing. Ids may be null or repeated. Other columns and their names play no
-    part. An empty table gives an empty one.
+    part. An empty table gives an empty one. With `every_term` all terms weigh by their own document
+    frequency, as the registered query has it; without, terms outside the templates weigh like one
+    that no text has, so a statement is lost to one ordinary word on its line.
     """
     base = files.select(F.col(id_col).alias("id"), F.col(path).alias("path"), F.col(text).alias("text"))
     told = _template_terms(templates)
     vocabulary = sorted({t for _, counts in told for t in counts})
-    idf, rare = weights(*document_frequencies(base, "text", vocabulary), vocabulary)
+    n, counts, frequencies = document_frequencies(base, "text", vocabulary)
+    idf, rare = weights(n, counts, vocabulary)
+    others = frequencies.where("term <> ''").select("term", (F.log(F.lit(1.0 + n) / (F.col("n") + 1)) + 1).alias("idf"))
     listed = stored(
         base.select(
             F.monotonically_increasing_id().alias("row"), "id", "path", directory_of(F.col("path")).alias("dir"),
@@ -153,7 +173,7 @@ def report(files: DataFrame, id_col: str = "doc_id", path: str = "path", text: s
         ),
         "files",
     )
-    found = stored(statements(listed, told, idf, rare, threshold), "statements")
+    found = stored(statements(listed, told, idf, rare, threshold, others if every_term else None), "statements")
     placed = listed.drop("open").join(found, "row", "left")
     speak = placed.where(F.col("license").isNotNull() & F.col("name").rlike(LICENSE_FILE))
     speaking = stored(

@@ -133,7 +133,7 @@ def op9_license_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = F.array(F.col("source"), F.when(doc % 3 > 0, F.col("lang")), F.when(doc % 3 > 1, F.concat(F.lit("p"), (doc % 11).cast("string"))))
     name = F.when(doc % 5 == 0, "LICENSE.md").otherwise(F.concat(F.lit("f"), doc.cast("string"), F.lit(".txt")))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", F.array_compact(folder), name).alias("path"))
-    return licenses.report(docs)
+    return licenses.report(docs, every_term=True)
 
 
 OP9_SQL = r"""

@@ -86,3 +86,18 @@ def test_against_brute_force(spark):
     assert sorted(got, key=str) == sorted(plain(rows), key=str)
     assert sum(g[6] is not None for g in got) > 20
     assert report(files.limit(0)).count() == 0
+
+
+def test_every_term_weighs_by_its_own_frequency(spark):
+    rows = [(i, f"d/f{i}", f"released under the words and more {i}") for i in range(300)]
+    rows += [(300, "d/a", "Released under the MIT License and"), (301, "d/b", "Released under the MIT License zyzzyva"), (302, "d/c", "and\n" + TEMPLATES[1][1] + " and and")]
+    texts = [set(terms(t)) for *_, t in rows]
+    every = {t: math.log((1 + len(rows)) / (1 + sum(t in x for x in texts))) + 1 for t in set().union(*texts)}
+    every |= {t: math.log(1 + len(rows)) + 1 for _, body in TEMPLATES for t in terms(body) if t not in every}
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.doc_id: (r.own_license, r.similarity, r.line) for r in report(files, every_term=True).collect()}
+    for doc, _, text in rows:
+        best = min((-round(cosine(line, body, every, 0.0), 6), n, i) for n, line in enumerate(text.split("\n")) for i, (_, body) in enumerate(TEMPLATES))
+        assert got[doc] == ((TEMPLATES[best[2]][0], -best[0], best[1]) if -best[0] >= 0.8 else (None, None, None))
+    assert got[300][0] == "MIT" and got[302][0] == "Apache-2.0"
+    assert 300 not in {r.doc_id for r in report(files).where("own_license = 'MIT'").collect()}
