@@ -2,8 +2,9 @@
 
 A window of a benchmark item of length m that occurs in a text with at most k edits shares at least
 m + 1 - q (k + 1) of its q-grams with it, all within a band of neighbouring diagonals. Shared q-grams
-are counted in bands that overlap by k diagonals; bands that reach the bound are verified by banded
-alignment. Nothing below the bound can hold a match, so no match is missed.
+are counted in bands that overlap by k diagonals; windows that reach the bound in a band are verified
+by banded alignment. Every position of an item starts a window and nothing below the bound can hold a
+match, so no window within its edits is missed, wherever in the item a passage begins.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from matchlens.llm.common import fresh
 
 Q = 8
-#: Characters of a window of an item, and the step between windows; shorter items are one window.
-WINDOW, STRIDE = 96, 48
+#: Characters of a window of an item; shorter items are one window.
+WINDOW = 96
 #: Edits allowed per character of a window.
 ERROR = 0.1
 #: Items with fewer characters are too short to be told from chance.
@@ -67,16 +68,16 @@ class Index:
     least: int
     reach: int
 
+    def shape(self, item: int) -> tuple[int, int, int]:
+        """(length, edits, least shared q-grams) of every window of an item."""
+        length = min(WINDOW, len(self.codes[item]))
+        edits = int(ERROR * length)
+        return length, edits, length + 1 - Q * (edits + 1)
+
     def windows(self, item: int) -> list[tuple[int, int, int, int]]:
-        """(start, end, edits, least shared q-grams) of the windows of an item."""
-        m = len(self.codes[item])
-        starts = sorted({*range(0, max(1, m - WINDOW + 1), STRIDE), max(0, m - WINDOW)})
-        out = []
-        for a in starts:
-            length = min(WINDOW, m - a)
-            edits = int(ERROR * length)
-            out.append((a, a + length, edits, length + 1 - Q * (edits + 1)))
-        return out
+        """(start, end, edits, least shared q-grams) of the windows of an item, one from every position."""
+        length, edits, least = self.shape(item)
+        return [(a, a + length, edits, least) for a in range(len(self.codes[item]) - length + 1)]
 
 
 def build_index(items: list[tuple]) -> Index | None:
@@ -94,9 +95,9 @@ def build_index(items: list[tuple]) -> Index | None:
     table = np.zeros(1 << 22, bool)
     table[(grams * _FACTOR) >> np.uint64(42)] = True
     index = Index([i for i, _ in kept], [c for _, c in kept], grams, first, count, item[order], at[order], table, 0, 0)
-    windows = [w for n in range(len(kept)) for w in index.windows(n)]
-    index.least = max(1, min(w[3] for w in windows))
-    index.reach = max(w[1] - w[0] + w[2] for w in windows)
+    shapes = [index.shape(n) for n in range(len(kept))]
+    index.least = max(1, min(least for _, _, least in shapes))
+    index.reach = max(length + edits for length, edits, _ in shapes)
     return index
 
 
@@ -105,6 +106,11 @@ def distance(pattern: np.ndarray, text: np.ndarray, edits: int) -> tuple[int, in
 
     `text` is the stretch that a band covers, so all its columns are within the band.
     """
+    # of edits + 1 pieces of the pattern, one at least is left whole by the edits
+    if (size := len(pattern) // (edits + 1)) and len(text) > 4 * len(pattern):
+        held, wanted = (v.tobytes().decode("utf-32-le", "surrogatepass") for v in (text, pattern))
+        if not any(wanted[n * size : (n + 1) * size] in held for n in range(edits + 1)):
+            return None
     row = np.zeros(len(text) + 1, np.int32)
     columns = np.arange(len(text) + 1, dtype=np.int32)
     for n, code in enumerate(pattern, 1):
@@ -118,8 +124,61 @@ def distance(pattern: np.ndarray, text: np.ndarray, edits: int) -> tuple[int, in
     return (int(row[end]), end) if row[end] <= edits else None
 
 
+def first_within(patterns: np.ndarray, texts: np.ndarray, edits: int) -> int | None:
+    """The first row of `patterns` that is at most `edits` from some place of the same row of `texts`: `distance` for many."""
+    rows = np.zeros((len(texts), texts.shape[1] + 1), np.int16)
+    columns = np.arange(rows.shape[1], dtype=np.int16)
+    alive = np.arange(len(texts))
+    for n in range(patterns.shape[1]):
+        step = np.empty_like(rows)
+        step[:, 0] = n + 1
+        np.minimum(rows[:, :-1] + (texts != patterns[:, n : n + 1]), rows[:, 1:] + 1, out=step[:, 1:])
+        rows = np.minimum.accumulate(step - columns, axis=1) + columns
+        keep = rows.min(axis=1) <= edits
+        if not keep.all():
+            rows, texts, patterns, alive = rows[keep], texts[keep], patterns[keep], alive[keep]
+            if not len(alive):
+                return None
+    return int(alive[0])
+
+
+def _verified(index: Index, n: int, ats: np.ndarray, codes: np.ndarray, low: int, most: int) -> tuple | None:
+    """The match of item `n` in the band from diagonal `low`, whose hits are at the sorted item positions `ats`.
+
+    All windows that reach the bound are tried, those with the most hits first.
+    """
+    item = index.codes[n]
+    length, edits, least = index.shape(n)
+    least = max(1, least)
+    if len(ats) < least:
+        return None
+    # the starts from which `least` neighbouring hits lie in one window
+    low_start, high_start = ats[least - 1 :] - (length - Q), ats[: len(ats) - least + 1]
+    able = low_start <= high_start
+    if not able.any():
+        return None
+    starts = np.arange(max(0, low_start[able].min()), min(len(item) - length, high_start[able].max()) + 1)
+    hits = np.searchsorted(ats, starts + length - Q, "right") - np.searchsorted(ats, starts)
+    order = np.argsort(-hits, kind="stable")
+    starts = starts[order][hits[order] >= least]
+    width, done, size = BAND + 3 * most + length, 0, 1
+    while done < len(starts):
+        tried = starts[done : done + size]
+        places = (low + tried - most)[:, None] + np.arange(width)
+        inside = (places >= 0) & (places < len(codes))
+        stretches = np.where(inside, codes[np.clip(places, 0, len(codes) - 1)], np.uint32(0xFFFFFFFF))  # no character
+        first = first_within(item[tried[:, None] + np.arange(length)], stretches, edits)
+        if first is not None:
+            start = int(tried[first])
+            left = max(0, low + start - most)
+            far, end = distance(item[start : start + length], codes[left : max(0, low + start - most + width)], edits)
+            return index.ids[n], far, max(0, left + end - length - far), left + end
+        done, size = done + size, min(64, 8 * size)
+    return None
+
+
 def find(index: Index, texts: list[str | None]) -> list[list[tuple]]:
-    """For each text, (item id, edits, start, end) of the first window of each item found in it.
+    """For each text, (item id, edits, start, end) of a window of each item found in it, the densest of its first band.
 
     Positions are those of the flat text; the start is where the window's band begins at the latest.
     """
@@ -166,23 +225,18 @@ def _find_in(index: Index, codes: np.ndarray) -> list[tuple]:
     key = np.unique(key)
     group = key >> 20
     edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-    large = np.flatnonzero(np.diff(edges) >= index.least)
+    # bands in which `least` neighbouring hits lie in one window
+    ahead, behind = slice(index.least - 1, None), slice(max(0, len(key) - index.least + 1))
+    close = np.flatnonzero((group[ahead] == group[behind]) & (key[ahead] - key[behind] <= WINDOW - Q))
     found: dict[int, tuple] = {}
-    for g in large:
+    for g in np.unique(np.searchsorted(edges, close, "right") - 1):
         a, b = edges[g], edges[g + 1]
         n, low = int(key[a] >> 44), (int(key[a] >> 20) & 0xFFFFFF) * BAND - (1 << 20)
         if n in found:
             continue
-        ats = key[a:b] & 0xFFFFF
-        for start, end, edits, least in index.windows(n):
-            if np.searchsorted(ats, end - Q, "right") - np.searchsorted(ats, start) < least:
-                continue
-            left = max(0, low + start - most)
-            stretch = codes[left : max(0, low + BAND + most + end + most)]
-            hit = distance(index.codes[n][start:end], stretch, edits)
-            if hit:
-                found[n] = (index.ids[n], hit[0], max(0, left + hit[1] - (end - start) - hit[0]), left + hit[1])
-                break
+        hit = _verified(index, n, key[a:b] & 0xFFFFF, codes, low, most)
+        if hit:
+            found[n] = hit
     return list(found.values())
 
 
@@ -201,7 +255,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text: str) -> list[list[tuple]]:
 def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "matches", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """`docs` with an array `out` of the benchmark items found in each whole text; no row moves.
 
-    An entry is (item, edits, start, end): the item's first verified window, its edits, and its place
+    An entry is (item, edits, start, end): a verified window of the item, its edits, and its place
     in the flat text. Items below LEAST_ITEM characters and null items are not looked for. Null and
     empty texts match nothing. The items are the stated query set: they go to the tasks in blocks of
     bounded size, one pass over a batch of texts for each block.

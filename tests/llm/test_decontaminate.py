@@ -92,3 +92,18 @@ def test_table_blocks_nulls_and_clashing_columns(spark, docs_of, monkeypatch):
     assert kept.columns == docs.columns and sorted((str(r.doc_id) for r in kept.collect())) == sorted(str(d) for d, i in want if not i)
     assert report(docs, bench.limit(0)).where("contaminated").count() == 0
     assert report(docs.limit(0), bench).count() == 0
+
+
+def test_passages_are_found_wherever_they_begin():
+    rng = random.Random(8)
+    items = [(i, words(rng, 60)) for i in range(12)]
+    index = build_index(items)
+    texts, want = [], []
+    for n in range(120):
+        item = flat(items[n % 12][1])
+        size = rng.choice([88, 96, 110, 130])
+        a = rng.randrange(len(item) - size)
+        texts.append("QQ " * 40 + item[a : a + size] + " ZZ" * 40)
+        want.append(n % 12)
+    found = find(index, texts)
+    assert [w in {f[0] for f in mine} for w, mine in zip(want, found, strict=True)] == [True] * len(want)
