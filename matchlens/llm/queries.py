@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlens.llm import bpe, decontaminate, licenses, quality, secrets, sharding, simhash, toxicity, url_filters, warc
+from matchlens.llm import (
+    bpe, decontaminate, licenses, merkle, quality, secrets, sharding, simhash, toxicity, url_filters, vectors, warc, whitening,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -190,6 +192,95 @@ def op10_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"))
 
 
+def op11_sign_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), good AS (
+  SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS norm FROM v
+  WHERE x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0
+), pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.95
+), reach(node, other) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.node, p.b FROM reach r JOIN pairs p ON p.a = r.other
+), least AS (
+  SELECT node, min(other) AS component_id FROM reach GROUP BY node
+)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, l.component_id, v.vec_id = l.component_id AS kept
+FROM v JOIN least l ON l.node = v.vec_id LEFT JOIN (SELECT a, count(*) AS n_links FROM pairs GROUP BY a) n ON n.a = v.vec_id
+"""
+
+
+def op12_jacobi_davidson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_midstate_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tampered rows count one character more."""
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    more = F.col("n_chars").cast("decimal(20,0)")
+    return merkle.verify(_table(spark, sf_dir, "documents"), {"n_chars": F.when(hit, more + 1).otherwise(more)})
+
+
+#: DuckDB has no crc32: a table of eight-step remainders folds the digits of an id.
+OP13_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT b, list_reduce([CAST(b AS UBIGINT)] || [CAST(0 AS UBIGINT)] || list_transform(range(7), lambda x: CAST(0 AS UBIGINT)),
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END) AS r
+  FROM range(256) t(b)
+), table_of AS (
+  SELECT list(r ORDER BY b) AS t FROM crc
+), d AS (
+  SELECT doc_id, lang, n_chars, source, text, CAST(doc_id AS VARCHAR) AS s,
+    xor(list_reduce([CAST(4294967295 AS UBIGINT)] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS UBIGINT)),
+      lambda c, x: xor(c >> 8, t[1 + CAST(xor(c, x) & 255 AS BIGINT)])), CAST(4294967295 AS UBIGINT)) AS crc
+  FROM documents, table_of
+), f AS (
+  SELECT doc_id, lang, crc % 7 = 0 AS hit, n_chars,
+    strlen(s) || ':' || s || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM d
+), leaves AS (
+  SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i,
+    sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+    sha256(head || coalesce(strlen(CAST(n_chars + hit::INT AS VARCHAR)) || ':' || (n_chars + hit::INT), '-') || tail) AS edited
+  FROM f
+), trees(level, lang, i, n, h) AS (
+  SELECT 0, lang, i, count(*) OVER (PARTITION BY lang), leaf FROM leaves
+  UNION ALL
+  SELECT level + 1, lang, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM trees WHERE n > 1 GROUP BY level, lang, i // 2, n
+), subroots AS (
+  SELECT level AS height, lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS k FROM trees WHERE n = 1
+), tops(level, i, n, h) AS (
+  SELECT 0, k, count(*) OVER (), subroot FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, i // 2, n
+), nodes AS (
+  SELECT level, lang, false AS top, i, h FROM trees WHERE n > 1 UNION ALL SELECT level, NULL, true, i, h FROM tops WHERE n > 1
+), way(doc_id, lang, subroot, height, k, level, i, top, h, proof) AS (
+  SELECT l.doc_id, l.lang, s.subroot, s.height, s.k, 0, CASE WHEN s.height = 0 THEN s.k ELSE l.i END, s.height = 0, l.edited, ''
+  FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.subroot, w.height, w.k,
+    CASE WHEN NOT w.top AND w.level + 1 = w.height THEN 0 ELSE w.level + 1 END,
+    CASE WHEN NOT w.top AND w.level + 1 = w.height THEN w.k ELSE w.i // 2 END,
+    w.top OR w.level + 1 = w.height,
+    sha256(CASE WHEN o.h IS NULL THEN w.h WHEN w.i % 2 = 1 THEN o.h || w.h ELSE w.h || o.h END),
+    w.proof || coalesce(o.h, '')
+  FROM way w JOIN (SELECT max(level) AS up FROM tops) t ON NOT w.top OR w.level < t.up
+  LEFT JOIN nodes o ON o.top = w.top AND o.level = w.level AND o.i = xor(w.i, 1) AND (w.top OR o.lang IS NOT DISTINCT FROM w.lang)
+), done AS (
+  SELECT doc_id, subroot, h, proof FROM way, (SELECT max(level) AS up FROM tops) t WHERE top AND level = up
+)
+SELECT l.doc_id, l.leaf, e.subroot, r.h AS root, sha256(e.proof) AS proof_sha256, e.h AS folded_root, e.h = r.h AS verified
+FROM leaves l JOIN done e USING (doc_id), (SELECT h FROM tops WHERE n = 1) r
+"""
+
+
 QUERIES = {
     "op1_warc_normalise": op1_warc_normalise,
     "op2_toxicity_compression": op2_toxicity_compression,
@@ -201,6 +292,9 @@ QUERIES = {
     "op8_url_temporal_lists": op8_url_temporal_lists,
     "op9_license_inheritance": op9_license_inheritance,
     "op10_quality_mcd": op10_quality_mcd,
+    "op11_sign_hash_dedup": op11_sign_hash_dedup,
+    "op12_jacobi_davidson": op12_jacobi_davidson,
+    "op13_midstate_manifest": op13_midstate_manifest,
 }
 
 #: DuckDB text of the queries that SQL can express.
@@ -208,4 +302,6 @@ ORACLES: dict[str, str] = {
     "op1_warc_normalise": OP1_SQL,
     "op8_url_temporal_lists": OP8_SQL,
     "op9_license_inheritance": OP9_SQL,
+    "op11_sign_hash_dedup": OP11_SQL,
+    "op13_midstate_manifest": OP13_SQL,
 }
