@@ -13,6 +13,7 @@ from matchlens.functions.numeric import sigmoid
 from matchlens.operators import evaluate as E
 from matchlens.operators import explain as X
 from matchlens.operators import features as FE
+from matchlens.operators import mixed as MX
 from matchlens.operators import pressure as P
 from matchlens.operators import scoring as S
 from matchlens.operators import series as SE
@@ -709,6 +710,26 @@ def pressure_slopes_adjusted(spark, d):
     return rounded(_slopes(fit), 5)
 
 
+@query
+def pressure_covariance(spark, d):
+    """Intercept and slope that vary together: the parameters of every context."""
+    fit = MX.fit_covariance(_stored_pressure_rows(spark, d, "thin_player"))
+    return rounded(fit.population.drop("cycles", "converged"), 4)
+
+
+@query
+def pressure_covariance_players(spark, d):
+    fit = MX.fit_covariance(_stored_pressure_rows(spark, d, "thin_player"))
+    return rounded(fit.players, 5)
+
+
+@query
+def pressure_crossed(spark, d):
+    """Players crossed with opponents: the parameters, with the rounds taken, beside every opponent's effect."""
+    fit = MX.fit_crossed(_stored_pressure_rows(spark, d, "thin_player"), "opponent_team")
+    return fit.opponents.join(fit.population, "context")
+
+
 @query
 def slope_ranks(spark, d):
     fit = P.fit_pressure(_stored_pressure_rows(spark, d))
