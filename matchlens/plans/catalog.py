@@ -19,6 +19,7 @@ from matchlens.operators import scoring as S
 from matchlens.operators import series as SE
 from matchlens.operators import split as SP
 from matchlens.operators import training as TR
+from matchlens.operators import trees as TS
 from matchlens.operators.ordered import ordered_scan
 from matchlens.operators.reshape import complete_on_roles, to_long, to_wide
 from matchlens.plans import workflow
@@ -1039,26 +1040,77 @@ def stored_model_inventory(spark, d):
     )
 
 
+def _tree_values(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Leaf-path Shapley values of forests and boosted trees on the sampled rows, and the models' own scores."""
+    prepared, fits = _train(spark, d, ["random_forest", "xgboost"])
+    test = pinned(prepared.where("is_test").dropDuplicates(["role", "row_key"]))
+    base = scratch_path(spark, "trees")
+    MS.save_models(fits, base)
+    leaves = TS.leaf_paths(TS.saved_nodes(spark, base))
+    sample = pinned(X.explained_sample(test, ["row_key"], ["role"]), "sample")
+    values = TS.tree_shapley(leaves, sample, sample.where(F.col("sample_no") <= X.BACKGROUND_ROWS), ["row_key"], FEATURES)
+    return values, TR.score_fits(fits, test)
+
+
 @query
 def tree_shapley(spark, d):
-    """Shapley values of forests and boosted trees for the sampled rows of each role: the rows
-    explained, and whether the values add up to the score less the mean background score."""
-    prepared, fits = _train(spark, d, ["random_forest", "xgboost"])
-    test = prepared.where("is_test").dropDuplicates(["role", "row_key"])
-    wide = workflow.explain_fits(fits, test, "row_key", 2, X.FALLBACK_BACKGROUND_ROWS)
-    scores = TR.score_fits(fits, test)
-    background = SP.seeded_sample(test, X.FALLBACK_BACKGROUND_ROWS, ["row_key"], ["role"])
-    base = (
-        TR.score_fits(fits, background)
-        .groupBy("role", "model").agg(F.avg("probability").alias("base"))
-    )
+    """Shapley values of forests and boosted trees from their leaf paths: the rows explained, whether the leaves
+    give the model's own probability, and whether the values add up to the score less the mean background score."""
+    values, scores = _tree_values(spark, d)
     total = reduce(lambda a, b: a + b, [F.col(f"shap_{f}") for f in FEATURES])
-    joined = wide.withColumn("total", total).join(scores, ["role", "model", "row_key"])
-    joined = joined.join(base, ["role", "model"])
+    probability = F.when(F.col("model") == "xgboost", sigmoid(F.col("score"))).otherwise(F.col("score"))
+    joined = values.join(scores, ["role", "model", "row_key"])
     return joined.groupBy("role", "model").agg(
         F.count(F.lit(1)).alias("n_rows"),
-        (F.max(F.abs(F.col("total") - (F.col("probability") - F.col("base")))) < 1e-9).alias("adds_up"),
+        ((F.max(F.abs(total - (F.col("score") - F.col("base")))) < 1e-9)
+         & (F.max(F.abs(probability - F.col("probability"))) < 1e-9)).alias("adds_up"),
+    )
+
+
+@query
+def tree_shapley_values(spark, d):
+    """The values themselves: forests on the probability scale, boosted trees on the log-odds scale."""
+    return rounded(_tree_values(spark, d)[0])
+
+
+#: A fixed forest over the inputs of `exact_shapley`: (feature, threshold, left, right) or a leaf's value.
+STUMPS = [
+    (0, 0.1, (1, -0.4, 0.2, (0, -0.9, 0.7, 0.4)), (2, 0.3, 0.5, 0.9)),
+    (3, 0.0, (2, -0.2, (3, -1.0, 0.1, 0.3), 0.6), (1, 0.5, (0, 0.8, 0.35, 0.15), 0.8)),
+    (2, 0.0, 0.25, 0.65),
+]
+
+
+def _node_rows(role: str, model: str) -> list[tuple]:
+    rows: list[tuple] = []
+
+    def add(tree: int, node, at: list[int]) -> int:
+        own = at[0]
+        at[0] += 1
+        if not isinstance(node, tuple):
+            rows.append((role, model, tree, own, -1, -1, -1, None, node / len(STUMPS)))
+            return own
+        left = add(tree, node[2], at)
+        right = add(tree, node[3], at)
+        rows.append((role, model, tree, own, left, right, node[0], node[1], None))
+        return own
+
+    for tree, root in enumerate(STUMPS):
+        add(tree, root, [0])
+    return rows
+
+
+@query
+def leaf_shapley(spark, d):
+    """Leaf-path values of a fixed forest for the sampled rows of every role."""
+    rows = _standardised(spark, d).select("role", "row_key", *[F.col(f"z_{f}").alias(f) for f in SMALL])
+    sample = pinned(X.explained_sample(rows, ["row_key"], ["role"]))
+    nodes = spark.createDataFrame(
+        [n for role in ROLES for n in _node_rows(role, "forest")],
+        "role string, model string, tree int, node int, left int, right int, feature int, threshold double, value double",
     )
+    background = sample.where(F.col("sample_no") <= X.BACKGROUND_ROWS)
+    return rounded(TS.tree_shapley(TS.leaf_paths(nodes), sample, background, ["row_key"], SMALL))
 
 
 @query

@@ -457,6 +457,31 @@ add("exact_shapley", [
 ], "SELECT role, row_key, " + ", ".join(
     f"{r(f'max(CASE WHEN j = {j} THEN phi END)')} AS shap_{f}" for j, f in enumerate(SMALL))
    + " FROM ga GROUP BY role, row_key")
+#: The fixed forest of `leaf_shapley`, as one expression over the mixed inputs.
+_forest = (
+    "(CASE WHEN {0} <= 0.1 THEN CASE WHEN {1} <= -0.4 THEN 0.2 WHEN {0} <= -0.9 THEN 0.7 ELSE 0.4 END WHEN {2} <= 0.3 THEN 0.5 ELSE 0.9 END"
+    " + CASE WHEN {3} <= 0.0 THEN CASE WHEN {2} > -0.2 THEN 0.6 WHEN {3} <= -1.0 THEN 0.1 ELSE 0.3 END"
+    " WHEN {1} > 0.5 THEN 0.8 WHEN {0} <= 0.8 THEN 0.35 ELSE 0.15 END"
+    " + CASE WHEN {2} <= 0.0 THEN 0.25 ELSE 0.65 END)::DOUBLE / 3"
+)
+_inputs = [f"(CASE WHEN (mask >> {j}) & 1 = 1 THEN x.z_{f} ELSE b.z_{f} END)" for j, f in enumerate(SMALL)]
+add("leaf_shapley", [
+    *SCALED,
+    ("sm", sampled("zz", 100)),
+    ("ma", "SELECT range AS mask FROM range(16)"),
+    ("va", f"SELECT x.role, x.row_key, mask, avg({_forest.format(*_inputs)}) AS value"
+           " FROM sm x JOIN sm b ON x.role = b.role AND b.sample_no <= 50 CROSS JOIN ma GROUP BY ALL"),
+    ("we", "SELECT * FROM (VALUES (0, 0.25), (1, 1.0 / 12), (2, 1.0 / 12), (3, 0.25)) v(size, weight)"),
+    ("ga", " UNION ALL ".join(
+        f"SELECT c.role, c.row_key, {j} AS j, sum(weight * (d.value - c.value)) AS phi FROM va c"
+        f" JOIN va d ON c.role = d.role AND c.row_key = d.row_key AND d.mask = c.mask + {2**j}"
+        f" JOIN we ON size = bit_count(c.mask) WHERE (c.mask >> {j}) & 1 = 0 GROUP BY ALL"
+        for j in range(4))),
+    ("sh", "SELECT role, row_key, " + ", ".join(f"max(CASE WHEN j = {j} THEN phi END) AS shap_{f}" for j, f in enumerate(SMALL))
+           + " FROM ga GROUP BY role, row_key"),
+], "SELECT role, row_key, 'forest' AS model, " + ", ".join(f"{r(f'shap_{f}')} AS shap_{f}" for f in SMALL)
+   + f", {r('lo.value')} AS base, {r('hi.value')} AS score FROM sh JOIN va lo USING (role, row_key) JOIN va hi USING (role, row_key)"
+     " WHERE lo.mask = 0 AND hi.mask = 15")
 IMPORTANCE = [*SCALED, *shap_ctes(MODELS), ("lo", shap_rows("")),
               ("im", "SELECT role, model, feature, avg(abs(shap)) AS importance FROM lo"
                      " GROUP BY ALL")]
