@@ -31,7 +31,8 @@ from matchlens.sources import metrics_files as MF
 from matchlens.sources import model_store as MS
 from matchlens.sources import pages as PG
 from matchlens.sources.storage import materialize, pinned, scratch_path, write_partitioned
-from matchlens.streaming.ingest import ingest
+from matchlens.streaming import games as SG
+from matchlens.streaming.ingest import ingest, read_landing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -422,6 +423,24 @@ def stream_csv(spark, d):
     return rounded(out.select("row_key", "kde", "multi_kill", "dtpd", "dmg_pct", "kp_pct"))
 
 
+@query
+def stream_games(spark, d):
+    """Player rows landed in three runs that cut games in two and overlap: rows of whole games and of games with too
+    many players. Games that still lack players stay in the state."""
+    rows = mv.player_games(spark, d).select("row_key", "game_id", "player", "role", "kills", "state")
+    base = scratch_path(spark, "games")
+    part = F.pmod(F.xxhash64("row_key"), F.lit(5))
+    for chosen in (part < 3, part > 1, part == 0):
+        rows.where(chosen).write.mode("append").parquet(f"{base}/landing")
+        stream = read_landing(spark, f"{base}/landing", rows.schema)
+        SG.ingest_games(
+            spark, stream, f"{base}/out", f"{base}/progress", ["row_key"], players=5
+        ).awaitTermination()
+    whole, bad = SG.settled(spark, f"{base}/out", f"{base}/out-rejects", ["row_key"])
+    out = whole.withColumn(SG.REASON, F.lit("whole")).unionByName(bad)
+    return out.select("row_key", "game_id", "player", F.col(SG.REASON).alias("status"))
+
+
 # ---- splits, samples, scaling, scoring -------------------------------------------------------
 
 

@@ -173,6 +173,9 @@ add("valid_games", [("pg", PG)],
     " (SELECT game_id FROM pg GROUP BY game_id HAVING count(*) = 5)")
 add("rejected_games", [("pg", PG)],
     "SELECT game_id, count(*) AS n_rows FROM pg GROUP BY game_id HAVING count(*) <> 5")
+add("stream_games", [("pg", PG)],
+    "SELECT row_key, game_id, player, CASE WHEN n = 5 THEN 'whole' ELSE 'too many players' END AS status"
+    " FROM (SELECT *, count(*) OVER (PARTITION BY game_id) AS n FROM pg) WHERE n >= 5")
 add("dirty_rows", [("pg", PG)],
     "SELECT row_key, gd_15, CASE WHEN gd_15 IS NOT NULL THEN CAST(kills AS DOUBLE) END AS kills,"
     " gd_15 IS NOT NULL AS good FROM pg")
