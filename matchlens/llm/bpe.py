@@ -11,7 +11,8 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from matchlens.llm.common import new_folder, stored
 
 #: Characters of text in a chunk of documents; a longer document is a chunk of its own.
 CHUNK_CHARS = 16_000_000
+#: Words whose ids and texts are laid out at a time.
+SPELT_WORDS = 1 << 18
 #: The split of the word tokenizer, a fixed value of its file, as a Python pattern.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Texts of these characters alone lower and normalise alike everywhere; others go through the library.
@@ -36,13 +39,13 @@ class Splitter:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+        self.added = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()}, key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, self.added)))
 
     def __call__(self, text: str | None) -> list[str]:
         if not text:
             return []
-        if self.special is None or not self.special.search(text):
+        if not any(t in text for t in self.added):
             return self._plain(text)
         out, at = [], 0
         for found in self.special.finditer(text):
@@ -51,6 +54,13 @@ class Splitter:
             at = found.end()
         return out + self._plain(text[at:])
 
+    def tokens(self, text: str | None) -> list[str] | None:
+        """Blank-separated tokens whose words, one token after the other, are the text's; None where blanks do not tell."""
+        if not text:
+            return []
+        plain = PLAIN.match(text) and not any(t in text for t in self.added)
+        return text.lower().split() if plain else None
+
     def _plain(self, text: str) -> list[str]:
         if PLAIN.match(text):
             return WORDS.findall(text.lower())
@@ -120,7 +130,7 @@ def chunks(docs: DataFrame, path: str, id_col: str, text: str, chunk_chars: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, chunk = Splitter(path), TaskContext.get().partitionId() << 32
-        ids, lengths, refs, words, held = [], [], array("I"), {}, 0
+        ids, lengths, refs, words, known, held = [], [], array("I"), {}, {}, 0
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
@@ -128,14 +138,16 @@ def chunks(docs: DataFrame, path: str, id_col: str, text: str, chunk_chars: int
                     if held and held + len(value or "") > chunk_chars:
                         yield row(chunk, ids, words, lengths, refs)
                         chunk += 1
-                        ids, lengths, refs, words, held = [], [], array("I"), {}, 0
-                    found = split(value)
-                    for w in found:
-                        if w not in words:
-                            words[w] = len(words)
-                    refs.extend(map(words.__getitem__, found))
+                        ids, lengths, refs, words, known, held = [], [], array("I"), {}, {}, 0
+                    before, tokens = len(refs), split.tokens(value)
+                    if tokens is None:
+                        refs.extend([words.setdefault(w, len(words)) for w in split(value)])
+                    else:
+                        for token in set(tokens).difference(known):  # a token is split once in a chunk
+                            known[token] = [words.setdefault(w, len(words)) for w in WORDS.findall(token)]
+                        refs.extend(chain.from_iterable(map(known.__getitem__, tokens)))
                     ids.append(doc)
-                    lengths.append(len(found))
+                    lengths.append(len(refs) - before)
                     held += len(value or "") + 1
         if ids:
             yield row(chunk, ids, words, lengths, refs)
@@ -186,32 +198,75 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(i, p) for p, i in pieces.items()], "id int, piece string")
 
 
-def _per_document(docs: DataFrame, path: str, id_col: str, text: str, chunk_chars: int, columns: list[tuple], make) -> DataFrame:
-    """A row per document: ``make(ids of words by number, pieces by id)(word numbers)``, with its id in front."""
+class Spelling:
+    """The texts of ids, each with a blank in front, as one pool of bytes."""
+
+    def __init__(self, texts: dict[int, bytes], n: int):
+        spelt = [b" " + texts[i] if i in texts else b"" for i in range(n)]
+        self.lengths = np.array([len(t) for t in spelt], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.pool = np.frombuffer(b"".join(spelt), np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The texts of `ids` in a row, and where each begins, with the end of the last."""
+        lengths = self.lengths[ids]
+        return self.pool[_ranges(self.starts[ids], lengths)].tobytes(), np.concatenate([[0], np.cumsum(lengths)])
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of every range, one range after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _per_document(docs: DataFrame, path: str, id_col: str, text: str, chunk_chars: int, columns: list[tuple], make: Callable) -> DataFrame:
+    """A row per document: its id and what ``make()`` has gathered, fed with (ids, their decimal text, their pieces) part by part."""
     spark = docs.sparkSession
     split = stored_by_chunk(chunks(docs, path, id_col, text, chunk_chars))
     coded = stored(encode_words(split.select("chunk", F.posexplode("words").alias("no", "word")), path), "codes")
     pieces = spark.sparkContext.broadcast(pieces_of(coded.select(F.explode("ids").alias("id")), vocabulary(spark, path)))
     types = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     fields = [(id_col, "long"), *columns]
+    spellings: list[Spelling] = []
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        words = [None] * right.num_rows
-        for no, ids in zip(right.column("no").to_pylist(), right.column("ids").to_pylist(), strict=True):
-            words[no] = ids
-        one, parts = make(words, pieces.value), []
+        if not spellings:  # once in a task
+            n = max(pieces.value, default=0) + 1
+            spellings.extend([Spelling({i: str(i).encode() for i in range(n)}, n), Spelling({i: p.encode() for i, p in pieces.value.items()}, n)])
+        coded_ids = right.column("ids").combine_chunks()
+        flat, bounds = coded_ids.values.to_numpy(), coded_ids.offsets.to_numpy()
+        order = np.argsort(right.column("no").to_numpy())
+        starts, lengths = bounds[:-1][order].astype(np.int64), np.diff(bounds)[order].astype(np.int64)
+        parts = []
         for i in range(left.num_rows):
             chunk = left.slice(i, 1)
-            lengths, numbers = chunk.column("lengths")[0].as_py(), _unpack(chunk.column("numbers")[0].as_py(), len(words))
-            at, rows = 0, []
-            for doc, length in zip(chunk.column("ids")[0].as_py(), lengths, strict=True):
-                rows.append((doc, *one(numbers[at : at + length].tolist())))
-                at += length
+            numbers = _unpack(chunk.column("numbers")[0].as_py(), len(order))
+            ends = np.cumsum(chunk.column("lengths")[0].values.to_numpy(), dtype=np.int64)
+            parts += documents(chunk.column("ids")[0].as_py(), ends, numbers, flat, starts, lengths)
+        return pa.concat_tables(parts) if parts else rows_table([])
+
+    def documents(names, ends, numbers, flat, starts, lengths) -> list[pa.Table]:
+        """Rows of a chunk's documents, whose words end at `ends`; a few hundred thousand words are spelt at a time."""
+        parts, rows, doc, gathered, at = [], [], 0, make(), 0
+        for start in range(0, max(1, len(numbers)), SPELT_WORDS):
+            stop = min(len(numbers), start + SPELT_WORDS)
+            own = numbers[start:stop]
+            ids = flat[_ranges(starts[own], lengths[own])]
+            first = np.concatenate([[0], np.cumsum(lengths[own])])
+            spelt = [s(ids) for s in spellings]
+            while doc < len(names):
+                to = min(int(ends[doc]), stop)
+                a, b = first[at - start], first[to - start]
+                gathered.add(ids[a:b], *(whole[where[a] : where[b]] for whole, where in spelt))
+                at = to
+                if ends[doc] > stop:
+                    break
+                rows.append((names[doc], *gathered.done()))
+                doc, gathered = doc + 1, make()
                 if len(rows) == 1024:
                     parts.append(rows_table(rows))
                     rows = []
-            parts.append(rows_table(rows))
-        return pa.concat_tables(parts) if parts else rows_table([])
+        return [*parts, rows_table(rows)]
 
     def rows_table(rows: list[tuple]) -> pa.Table:
         columns_ = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
@@ -222,6 +277,38 @@ def _per_document(docs: DataFrame, path: str, id_col: str, text: str, chunk_char
     return whole.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(run, schema)
 
 
+class _Whole:
+    """Ids and decoded text of one document."""
+
+    def __init__(self):
+        self.ids, self.text = [], []
+
+    def add(self, ids: np.ndarray, written: bytes, spoken: bytes) -> None:
+        self.ids.append(ids)
+        self.text.append(spoken)
+
+    def done(self) -> tuple:
+        ids = np.concatenate(self.ids)
+        return len(ids), ids, b"".join(self.text)[1:].decode()
+
+
+class _Digest:
+    """Number of ids, and hashes of their decimal text and of their pieces, of one document."""
+
+    def __init__(self):
+        self.n, self.sides = 0, [[hashlib.sha256(), 1], [hashlib.sha256(), 1]]  # the first blank of a text is left out
+
+    def add(self, ids: np.ndarray, written: bytes, spoken: bytes) -> None:
+        self.n += len(ids)
+        for side, part in zip(self.sides, (written, spoken), strict=True):
+            if part:
+                side[0].update(part[side[1] :])
+                side[1] = 0
+
+    def done(self) -> tuple:
+        return self.n, *(side[0].hexdigest() for side in self.sides)
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(id, n_tokens, ids, decoded) for every row of `docs`, special tokens in a text included.
 
@@ -230,32 +317,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text
     null or repeated: each row of `docs` gives one row. Other columns and their names play no part.
     An empty table gives an empty one.
     """
-
-    def make(words, pieces):
-        spoken = [" ".join(pieces[i] for i in ids if i in pieces) for ids in words]
-
-        def one(numbers):
-            ids = [i for n in numbers for i in words[n]]
-            return len(ids), ids, " ".join(map(spoken.__getitem__, numbers))
-
-        return one
-
-    return _per_document(docs, path, id_col, text, chunk_chars, [("n_tokens", "long"), ("ids", "array<int>"), ("decoded", "string")], make)
+    columns = [("n_tokens", "long"), ("ids", "array<int>"), ("decoded", "string")]
+    return _per_document(docs, path, id_col, text, chunk_chars, columns, _Whole)
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of what `encode` returns, without its long columns."""
-
-    def make(words, pieces):
-        counts = [len(ids) for ids in words]
-        written = [" ".join(map(str, ids)) for ids in words]
-        spoken = [" ".join(pieces[i] for i in ids if i in pieces) for ids in words]
-
-        def one(numbers):
-            ids, decoded = (" ".join(map(side.__getitem__, numbers)).encode() for side in (written, spoken))
-            return sum(map(counts.__getitem__, numbers)), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
-
-        return one
-
     columns = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
-    return _per_document(docs, path, id_col, text, chunk_chars, columns, make)
+    return _per_document(docs, path, id_col, text, chunk_chars, columns, _Digest)

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from matchlens.llm.bpe import Splitter, WordEncoder, digests, encode
+from matchlens.llm import bpe
+from matchlens.llm.bpe import WORDS, Splitter, WordEncoder, digests, encode
 from matchlens.llm.queries import tokenizer_path
 
 PATH = tokenizer_path()
@@ -28,6 +29,17 @@ def test_words_and_ids_as_the_library_has_them(library):
         assert [i for w in split(text) for i in ids(w)] == library.encode(text, add_special_tokens=False).ids
 
 
+def test_tokens_hold_the_words():
+    split = Splitter(PATH)
+    rng = random.Random(4)
+    pool = "aA'sS ²½İéß-,. \t\n\x0b\0l1"
+    for _ in range(3000):
+        text = "".join(rng.choice(pool) for _ in range(rng.randint(0, 30)))
+        tokens = split.tokens(text)
+        assert tokens is not None and [w for t in tokens for w in WORDS.findall(t)] == split(text)
+    assert [split.tokens(t) for t in ("a\x1cb", "日", "x <|endoftext|>", None, "")] == [None, None, None, [], []]
+
+
 def wanted(library, text):
     ids = library.encode(text or "", add_special_tokens=False).ids
     return ids, library.decode(ids, skip_special_tokens=False)
@@ -44,7 +56,8 @@ def test_whole_table_round_trip(spark, small_docs, library):
         )
 
 
-def test_nulls_repeats_long_texts_and_clashing_columns(spark, docs_of, library):
+def test_nulls_repeats_long_texts_and_clashing_columns(spark, docs_of, library, monkeypatch):
+    monkeypatch.setattr(bpe, "SPELT_WORDS", 1000)
     long = " ".join(f"w{i}" for i in range(70_000))
     rows = [(1, None), (2, ""), (2, ""), (None, "a b"), (3, " \n"), (4, "Hello <|endoftext|> world"), (5, long)]
     docs = docs_of(rows).withColumn("ids", F.lit(1)).withColumn("chunk", F.lit(2)).withColumn("words", F.lit("w"))
