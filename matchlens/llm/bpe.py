@@ -12,7 +12,6 @@ import hashlib
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +30,10 @@ CHUNK_CHARS = 16_000_000
 SPELT_WORDS = 1 << 18
 #: The split of the word tokenizer, a fixed value of its file, as a Python pattern.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The same, with the ends of lines as marks between tokens.
+SPLIT = regex.compile(r"\n|" + WORDS.pattern)
+#: Marks a token that is one word; no other token holds this character.
+SINGLE = "\x1c"
 #: Texts of these characters alone lower and normalise alike everywhere; others go through the library.
 PLAIN = re.compile(r"[\x00-\x1b\x20-\x7e\xa1-\xac\xae-ȳ]*\Z")
 
@@ -54,12 +57,13 @@ class Splitter:
             at = found.end()
         return out + self._plain(text[at:])
 
-    def tokens(self, text: str | None) -> list[str] | None:
-        """Blank-separated tokens whose words, one token after the other, are the text's; None where blanks do not tell."""
+    def tokens(self, text: str | None) -> list[str]:
+        """Tokens whose words (`words_of`), one token after the other, are the text's: what blanks part, or single words marked by SINGLE."""
         if not text:
             return []
-        plain = PLAIN.match(text) and not any(t in text for t in self.added)
-        return text.lower().split() if plain else None
+        if PLAIN.match(text) and not any(t in text for t in self.added):
+            return text.lower().split()
+        return [SINGLE + w for w in self(text)]
 
     def _plain(self, text: str) -> list[str]:
         if PLAIN.match(text):
@@ -68,6 +72,21 @@ class Splitter:
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
 
+def words_of(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """(start, length) of every token in a list of word numbers, the distinct words, and that list."""
+    lines = [t for t in tokens if not t.startswith(SINGLE)]
+    found = [*SPLIT.findall("\n".join([*lines, ""])), *(t[1:] for t in tokens if t.startswith(SINGLE))]
+    known = {w: i for i, w in enumerate(dict.fromkeys(["\n", *found]))}
+    numbers = np.fromiter(map(known.__getitem__, found), np.uint32, len(found))
+    ends = np.flatnonzero(numbers == 0)[: len(lines)]
+    first = np.concatenate([[0], ends + 1]).astype(np.int64)
+    single = np.array([t.startswith(SINGLE) for t in tokens], bool)
+    starts, lengths = np.empty(len(tokens), np.int64), np.ones(len(tokens), np.int64)
+    starts[~single], lengths[~single] = first[:-1], ends - first[:-1]
+    starts[single] = first[-1] + np.arange(single.sum())
+    return starts, lengths, list(known)[1:], numbers - 1  # the marks between lines are never used
+
+
 class WordEncoder:
     """Ids of one word of a `Splitter`."""
 
@@ -119,38 +138,38 @@ def chunks(docs: DataFrame, path: str, id_col: str, text: str, chunk_chars: int
         ("lengths", "array<int>", pa.list_(pa.int32())), ("numbers", "binary", pa.binary()),
     ]
 
-    def row(chunk, ids, words, lengths, refs):
-        names = np.array(list(words), object)
+    def row(chunk: int, ids: list, ends: list, tokens: dict[str, int], refs: array) -> pa.RecordBatch:
+        starts, lengths, words, numbers = words_of(list(tokens))
         used = np.frombuffer(refs, np.uint32)
-        order = np.argsort(-np.bincount(used, minlength=len(names)), kind="stable")
+        numbers = numbers[_ranges(starts[used], lengths[used])]
+        until = np.concatenate([[0], np.cumsum(lengths[used])])[ends]
+        names = np.array(words, object)
+        order = np.argsort(-np.bincount(numbers, minlength=len(names)), kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        values = chunk, names[order].tolist(), ids, lengths, _pack(rank[used], len(names))
+        values = chunk, names[order].tolist(), ids, np.diff(until, prepend=0), _pack(rank[numbers], len(names))
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, _, t) in zip(values, fields, strict=True)], [f[0] for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, chunk = Splitter(path), TaskContext.get().partitionId() << 32
-        ids, lengths, refs, words, known, held = [], [], array("I"), {}, {}, 0
+        ids, ends, tokens, refs, held = [], [], {}, array("I"), 0
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
                 for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if held and held + len(value or "") > chunk_chars:
-                        yield row(chunk, ids, words, lengths, refs)
+                        yield row(chunk, ids, ends, tokens, refs)
                         chunk += 1
-                        ids, lengths, refs, words, known, held = [], [], array("I"), {}, {}, 0
-                    before, tokens = len(refs), split.tokens(value)
-                    if tokens is None:
-                        refs.extend([words.setdefault(w, len(words)) for w in split(value)])
-                    else:
-                        for token in set(tokens).difference(known):  # a token is split once in a chunk
-                            known[token] = [words.setdefault(w, len(words)) for w in WORDS.findall(token)]
-                        refs.extend(chain.from_iterable(map(known.__getitem__, tokens)))
+                        ids, ends, tokens, refs, held = [], [], {}, array("I"), 0
+                    found = split.tokens(value)
+                    for token in set(found).difference(tokens):
+                        tokens[token] = len(tokens)
+                    refs.extend(map(tokens.__getitem__, found))
                     ids.append(doc)
-                    lengths.append(len(refs) - before)
+                    ends.append(len(refs))
                     held += len(value or "") + 1
         if ids:
-            yield row(chunk, ids, words, lengths, refs)
+            yield row(chunk, ids, ends, tokens, refs)
 
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     return base.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind, _ in fields))
