@@ -183,7 +183,8 @@ def normalise(files: DataFrame, folder: str, decisions: DataFrame | None = None,
     """Rewrite whole-stream archives with a member per record, and write their offset indexes.
 
     `files` has a column `file` of archive names, `decisions` (file, seq, refers_to) the records to
-    turn into revisits. Each archive is read once, in blocks; one record is in memory at a time.
+    turn into revisits. A task per archive reads it once, in blocks, with one record and the archive's
+    decisions in memory.
     Returns the index, a row per record: (file, offset, length, seq, id, record_type), offsets and lengths of
     the compressed members. Beside ``x.warc.gz`` lies ``x.warc.gz.idx`` with the same rows as text.
     """
@@ -195,35 +196,43 @@ def normalise(files: DataFrame, folder: str, decisions: DataFrame | None = None,
         ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("seq", pa.int64()), ("id", pa.string()), ("record_type", pa.string()),
     ])
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
-        refers = dict(zip(right.column("seq").to_pylist(), right.column("refers_to").to_pylist(), strict=True))
-        for name in sorted(set(left.column("file").to_pylist())):
-            files_, path = fs.FileSystem.from_uri(name)
-            target = f"{folder}/{name.rsplit('/', 1)[1]}"
-            out, index, offset = ArchiveFile(target), ArchiveFile(target + ".idx"), 0
-            with files_.open_input_stream(path, compression=None) as stream:
-                for seq, (headers, body) in enumerate(records(stream)):
-                    to = refers.get(seq)
-                    kind = headers["warc-type"] if to is None else "revisit"
-                    sha, page = headers["warc-payload-digest"].removeprefix("sha1:"), headers["x-page-id"]
-                    plain = record(
-                        kind, headers["warc-target-uri"], page, sha, int(headers["x-payload-length"]),
-                        body if to is None else b"", None if to is None else str(to),
-                    )
-                    squeeze = zlib.compressobj(level, zlib.DEFLATED, 31)
-                    member = squeeze.compress(plain) + squeeze.flush()
-                    out.write(member)
-                    index.write(f"{offset} {len(member)} {kind} {page} {sha}\n".encode())
-                    rows.append((target, offset, len(member), seq, page, kind))
-                    offset += len(member)
-            out.close()
-            index.close()
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, fields, strict=True)], schema=fields)
-
-    told = decisions.select(F.col("file").alias("of"), "seq", "refers_to")
-    grouped = files.select("file").distinct().groupBy("file").cogroup(told.groupBy("of"))
-    return grouped.applyInArrow(run, "file string, offset long, length long, seq long, id string, record_type string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, told in zip(batch.column("file").to_pylist(), batch.column("told"), strict=True):
+                yield from rewritten(name, told)
+
+    def rewritten(name: str, told: pa.Scalar) -> Iterator[pa.RecordBatch]:
+        refers = dict(zip(*(told.values.field(f).to_pylist() for f in ("seq", "refers_to")), strict=True)) if told.is_valid else {}
+        files_, path = fs.FileSystem.from_uri(name)
+        target, rows = f"{folder}/{name.rsplit('/', 1)[1]}", []
+        out, index, offset = ArchiveFile(target), ArchiveFile(target + ".idx"), 0
+        with files_.open_input_stream(path, compression=None) as stream:
+            for seq, (headers, body) in enumerate(records(stream)):
+                to = refers.get(seq)
+                kind = headers["warc-type"] if to is None else "revisit"
+                sha, page = headers["warc-payload-digest"].removeprefix("sha1:"), headers["x-page-id"]
+                plain = record(
+                    kind, headers["warc-target-uri"], page, sha, int(headers["x-payload-length"]),
+                    body if to is None else b"", None if to is None else str(to),
+                )
+                squeeze = zlib.compressobj(level, zlib.DEFLATED, 31)
+                member = squeeze.compress(plain) + squeeze.flush()
+                out.write(member)
+                index.write(f"{offset} {len(member)} {kind} {page} {sha}\n".encode())
+                rows.append((target, offset, len(member), seq, page, kind))
+                offset += len(member)
+                if len(rows) == 1024:
+                    yield _record_batch(rows, fields)
+                    rows = []
+        out.close()
+        index.close()
+        if rows:
+            yield _record_batch(rows, fields)
+
+    told = decisions.groupBy("file").agg(F.collect_list(F.struct(F.col("seq"), F.col("refers_to"))).alias("told"))
+    names = stored(files.select("file").distinct(), "names")
+    each = names.join(told, "file", "left").select("file", "told").repartition(max(1, names.count()))  # a task per archive
+    return each.mapInArrow(run, "file string, offset long, length long, seq long, id string, record_type string")
 
 
 def read_records(index: DataFrame, range_bytes: int = 32 << 20) -> DataFrame:

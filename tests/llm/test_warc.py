@@ -57,3 +57,11 @@ def test_broken_streams_are_errors():
         with pytest.raises(ValueError):
             list(records(io.BytesIO(broken)))
     assert Inflated(io.BytesIO(b"")).line() is None
+
+
+def test_a_task_for_every_archive(spark):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"page {i}") for i in range(60)], "page_id long, url string, html string").repartition(6)
+    listed = stored(write_monolithic(pages, new_folder(spark, "w")), "listed")
+    n = listed.select("file").distinct().count()
+    out = normalise(listed, new_folder(spark, "m"), revisits(listed))
+    assert out.rdd.getNumPartitions() == n > 1 and out.count() == 60
