@@ -119,29 +119,42 @@ def near_duplicates(
     names no component; a component without any id has a null one. Other columns of `docs`, and
     their names, play no part. An empty table gives an empty one.
     """
+    return _grouped(docs, id_col, text, max_bits, words, crowded).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def _mark(text: str) -> Column:
+    """Tells rows of one id apart by their text."""
+    return F.xxhash64(F.col(text))
+
+
+def _grouped(docs: DataFrame, id_col: str, text: str, max_bits: int, words: int, crowded: int) -> DataFrame:
+    """(id, mark, fp, root, component_id) per row; the root is the smallest fingerprint of the component."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    prints = stored(fingerprints(base, "text", "fp", words).select("id", "fp"), "fingerprints")
+    prints = stored(fingerprints(base, "text", "fp", words).select("id", _mark("text").alias("mark"), "fp"), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = components(links(distinct.select("fp"), max_bits, crowded))
     rooted = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = stored(lookup(rooted.select("fp", "root"), smallest, "root", ["fp"]).select("fp", "component_id"), "groups")
-    return lookup(prints, of_print, "fp", ["id"]).select(F.col("id").alias(id_col), "fp", "component_id")
+    of_print = stored(lookup(rooted.select("fp", "root"), smallest, "root", ["fp"]).select("fp", "root", "component_id"), "groups")
+    return lookup(prints, of_print, "fp", ["id"]).select("id", "mark", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, words: int = SHINGLE_WORDS, crowded: int = CROWDED
+) -> DataFrame:
     """`docs` with one document of each near-duplicate group, the one of the smallest id.
 
-    Repeated rows of the kept id leave one row (of equal ones any, else the smallest text). Rows
-    with a null id cannot be named and stay. Columns and their types stay as they are.
+    Rows of that id in the group leave the one of the smallest text, null first; of equal ones any.
+    Rows of one id in different groups are kept or not each by their own group. Rows with a null id
+    cannot be named and stay. Columns and their types stay as they are.
     """
-    found = near_duplicates(docs, id_col, text, **settings)
-    keep = stored(found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct(), "kept")
-    rank = fresh(docs, "_rank")
+    found = _grouped(docs, id_col, text, max_bits, words, crowded).where(F.col("id") == F.col("component_id"))
+    kept_id, mark, root, rank = (fresh(docs, n) for n in ("_id", "_mark", "_root", "_rank"))
+    keep = stored(found.select(F.col("id").alias(kept_id), F.col("mark").alias(mark), F.col("root").alias(root)).distinct(), "kept")
     firsts = (
-        docs.join(keep, docs[id_col] == keep["_keep"], "left_semi")
-        .withColumn(rank, F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(id_col))))
+        docs.join(keep, (F.col(id_col) == F.col(kept_id)) & (_mark(text) == F.col(mark)))
+        .withColumn(rank, F.row_number().over(Window.partitionBy(id_col, root).orderBy(F.col(text).asc_nulls_first())))
         .where(F.col(rank) == 1)
-        .drop(rank)
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
     return firsts.unionByName(docs.where(F.col(id_col).isNull()))

@@ -81,3 +81,10 @@ def test_nulls_ties_repeats_and_clashing_columns(spark, docs_of):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([3, 4, None, 8], key=str)
     assert near_duplicates(docs.limit(0)).count() == 0 and keep_one(docs.limit(0)).count() == 0
+
+
+def test_keep_one_loses_no_text_of_a_repeated_id(spark, docs_of):
+    a, b, c = ("alpha beta gamma delta epsilon " * 3), ("one two three four five six " * 3), ("red green blue black white grey " * 3)
+    docs = docs_of([(1, a), (1, b), (2, a), (2, c), (3, b), (1, a), (4, None), (4, None)])
+    assert sorted((r.doc_id, r.text) for r in keep_one(docs.where("text is not null")).collect()) == sorted([(1, a), (1, b), (2, c)])
+    assert sorted(r.doc_id for r in keep_one(docs).collect()) == [1, 1, 2, 4]
