@@ -97,7 +97,7 @@ def op8_url_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH p AS (
   SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 365 AS INTEGER) AS fetch_date,
-    nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '') AS host,
+    nullif(lower(rtrim(regexp_extract(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), '^(\[[^\]]*\]|[^:]*)', 1), '.')), '') AS host,
     list_filter(string_split(regexp_extract(url, '^[^:]*://[^/?#]*/([^?#]*)', 1), '/'), lambda s: s <> '') AS steps
   FROM pages
 ), e AS (

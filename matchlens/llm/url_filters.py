@@ -18,8 +18,9 @@ BUCKET_DAYS = 32
 
 
 def host_of(url: Column) -> Column:
-    """The lower-case host of a URL; null where there is none."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]*)", 1))
+    """The lower-case host of a URL, without user, port and final dots; null where there is none. An IPv6 host keeps its brackets."""
+    place = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1), "^.*@", "")
+    host = F.lower(F.regexp_replace(F.regexp_extract(place, r"^(\[[^\]]*\]|[^:]*)", 1), r"[.]+$", ""))
     return F.when(host != "", host)
 
 

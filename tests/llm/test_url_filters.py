@@ -5,8 +5,8 @@ from datetime import date, timedelta
 from pyspark.sql import functions as F
 
 from check import compare
-from matchlens.llm.queries import ORACLES, QUERIES
-from matchlens.llm.url_filters import intervals, judged, patterns_of
+from matchlens.llm.queries import OP8_SQL, ORACLES, QUERIES
+from matchlens.llm.url_filters import host_of, intervals, judged, patterns_of
 
 D = date(2024, 1, 1)
 
@@ -60,3 +60,17 @@ def test_against_brute_force(spark):
     assert got == sorted(((*c, *plain(c, entries)) for c in captures), key=str)
     assert {r.decision for r in judged(frame, lists.limit(0)).collect()} == {"unlisted"}
     assert judged(frame.limit(0), lists).count() == 0 and intervals(lists.limit(0)).count() == 0
+
+
+def test_hosts_without_user_port_and_final_dot(spark):
+    want = {
+        "http://user:pw@evil.com/x": "evil.com", "http://a@b@Evil.com:80?x@y": "evil.com", "https://[::1]:8080/a": "[::1]", "http://a.com./b": "a.com",
+        "http://a.com:443#f": "a.com", "http://:80/": None, "http://./": None, "no url": None, "http:///x": None,
+    }
+    rows = spark.createDataFrame([(u,) for u in want], "url string")
+    assert {r.url: r.host for r in rows.select("url", host_of(F.col("url")).alias("host")).collect()} == want
+    import duckdb
+
+    sql = OP8_SQL.split("nullif(", 1)[1].split("AS host", 1)[0]
+    for url, host in want.items():
+        assert duckdb.execute(f"SELECT nullif({sql} FROM (SELECT ? AS url)", [url]).fetchone()[0] == host
