@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from matchlens.llm.common import fresh
 
@@ -30,6 +31,8 @@ LEAST_ITEM = 32
 BAND = 32
 #: Characters of benchmark text in a block; a task holds the index of one block at a time.
 BLOCK_CHARS = 2_000_000
+#: Characters of an item that are indexed as one; places within it fit 20 bits.
+PIECE_CHARS = 1 << 19
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -241,21 +244,33 @@ def _find_in(index: Index, codes: np.ndarray) -> list[tuple]:
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text: str) -> list[list[tuple]]:
-    """The stated items in blocks of at most BLOCK_CHARS characters (or one item)."""
+    """The stated items, flat, in blocks of about BLOCK_CHARS characters; long ones in overlapping pieces of one id."""
     blocks, held = [[]], 0
     for row in benchmark.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct().orderBy("id", "text").toLocalIterator():
-        if blocks[-1] and held + len(row.text) > BLOCK_CHARS:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((row.id, row.text))
-        held += len(row.text)
+        whole = flat(row.text)
+        for start in range(0, max(1, len(whole) - 2 * WINDOW), PIECE_CHARS):
+            piece = whole[start : start + PIECE_CHARS + 2 * WINDOW]
+            if blocks[-1] and held + len(piece) > BLOCK_CHARS:
+                blocks.append([])
+                held = 0
+            blocks[-1].append((row.id, piece))
+            held += len(piece)
     return blocks
 
 
+def _first_of_each(matches: list[tuple]) -> list[tuple]:
+    """Sorted by item, null last, with the match of fewest edits, then the first, of every item."""
+    best: dict = {}
+    for m in matches:
+        if m[0] not in best or m[1:] < best[m[0]][1:]:
+            best[m[0]] = m
+    return sorted(best.values(), key=lambda m: (m[0] is None, m[0] if m[0] is not None else 0))
+
+
 def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "matches", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """`docs` with an array `out` of the benchmark items found in each whole text; no row moves.
 
-    An entry is (item, edits, start, end): a verified window of the item, its edits, and its place
+    An entry is (item, edits, start, end), one for every item id, of any type and null too: a verified window of the item, its edits, and its place
     in the flat text. Items below LEAST_ITEM characters and null items are not looked for. Null and
     empty texts match nothing. The items are the stated query set: they go to the tasks in blocks of
     bounded size, one pass over a batch of texts for each block.
@@ -264,7 +279,8 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", out:
     blocks = [b for b in _blocks(benchmark, item_id, item_text) if b]
     shared = [spark.sparkContext.broadcast(b) for b in blocks]
     at, names = docs.columns.index(text), [*docs.columns, out]
-    kind = pa.list_(pa.struct([("item", pa.int64()), ("edits", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
+    item_type = benchmark.schema[item_id].dataType
+    kind = pa.list_(pa.struct([("item", to_arrow_type(item_type)), ("edits", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = build_index(shared[0].value) if len(shared) == 1 else None
@@ -278,10 +294,10 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", out:
                     if index is not None:
                         for mine, more in zip(found, find(index, texts), strict=True):
                             mine += more
-                rows = [[dict(zip(("item", "edits", "start", "end"), f, strict=True)) for f in sorted(mine)] for mine in found]
+                rows = [[dict(zip(("item", "edits", "start", "end"), f, strict=True)) for f in _first_of_each(mine)] for mine in found]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names)
 
-    added = f"`{out}` array<struct<item:bigint,edits:int,start:bigint,end:bigint>>"
+    added = f"`{out}` array<struct<item:{item_type.simpleString()},edits:int,start:bigint,end:bigint>>"
     return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), added]))
 
 

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from matchlens.llm import decontaminate
@@ -107,3 +109,14 @@ def test_passages_are_found_wherever_they_begin():
         want.append(n % 12)
     found = find(index, texts)
     assert [w in {f[0] for f in mine} for w, mine in zip(want, found, strict=True)] == [True] * len(want)
+
+
+def test_null_and_text_item_ids_and_items_beyond_a_million_characters(spark, docs_of):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(5000)]
+    long = " ".join(rng.choice(words, 200_000))
+    items = [" ".join(rng.choice(words, 40)) for _ in range(2)]
+    benchmark = spark.createDataFrame([("x", items[0]), (None, items[1]), ("long", long)], "item_id string, text string")
+    docs = docs_of([(1, " ".join(items)), (2, long[5_000:7_000]), (3, long[1_500_000:1_502_000]), (4, "nothing to see here " * 20)])
+    got = {r.doc_id: r["items"] for r in report(docs, benchmark).collect()}
+    assert got == {1: ["x", None], 2: ["long"], 3: ["long"], 4: []}
