@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,24 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from matchlens.sources.storage import shared_dir
+
 #: Parts into which the rows of one key are dealt by `lookup` and `salt`.
 SALTS = 64
 
-_own_folders: dict[str, str] = {}
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a session without one gets a folder of its own.
-
-    The fallback is for a single machine (tests); a cluster names a folder that all its machines see.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folders:
-        _own_folders[app] = tempfile.mkdtemp(prefix="llm-")
-    return _own_folders[app]
+    """The folder of ``spark.checkpoint.dir``, or the session's checkpoint folder; without either it raises."""
+    return shared_dir(spark).rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
