@@ -105,6 +105,12 @@ def tables(spark: SparkSession, sf_dir: str, names=_TABLES) -> dict[str, DataFra
     return {t: df.repartition(_ORDER_KEY[t]) if t in _ORDER_KEY else df for t, df in read.items()}
 
 
+def dealt(orders: DataFrame) -> DataFrame:
+    """A file read by one task, over all cores: a number of partitions that is given is not merged again."""
+    n = int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return orders.select("o_orderkey", "o_custkey").repartition(max(n, orders.sparkSession.sparkContext.defaultParallelism), "o_orderkey")
+
+
 def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     used = [t for t in _TABLES if "{" + t + "}" in text]
     return spark.sql(text, **tables(spark, sf_dir, used))
@@ -187,7 +193,7 @@ def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"SELECT k AS game_id, 'stats' AS page_kind, '<html><body><table class=\"stats\">' "
         f"|| {cells} || '</table><table><tr><td>Kills</td><td>0</td></tr></table></body></html>' "
         f"AS html FROM (SELECT o_orderkey AS k, o_custkey, {PAGE_PLAYERS} AS players FROM {{orders}})",
-        **tables(spark, sf_dir, ["orders"]),
+        orders=dealt(tables(spark, sf_dir, ["orders"])["orders"]),
     )
     header = header_text(spark, sf_dir).selectExpr(
         "game_id",

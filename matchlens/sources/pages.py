@@ -21,10 +21,11 @@ from matchlens.schema import (
 )
 
 # --- fixed values: patterns of the page layout ------------------------------
-TABLE = r"(?is)<table.*?</table>"
-DATA_CELL = r"(?i)<td[^>]*>"
-CELL_END = r"(?i)</t[dh]>"
-ROW_END = r"(?i)</tr>"
+FROM_TABLE = r"(?is)<table[\s>].*"
+TABLE_TAG = r"(?i)(?=</?table[\s>])"
+ROW = r"(?i)<tr(?:\s[^>]*)?>"
+CELL = r"(?i)<t([dh])(?=[\s>])(?:[^>]*?\scolspan\s*=\s*[\"']?\s*([0-9]{1,4}))?[^>]*>"
+CELL_END = r"(?i)</(?:t[dhr]|thead|tbody|tfoot)\s*>"
 HEADER_LINE = r"(?is)<div[^>]*class=['\"][^'\"]*{}-line-header[^'\"]*['\"][^>]*>(.*?)</div>"
 TAG = r"<[^>]*>"
 #: Named character references and their texts; the ampersand comes last, so that nothing is read twice.
@@ -32,17 +33,19 @@ NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ",
 # ----------------------------------------------------------------------------
 
 # Control characters that stand for the table's structure once its tags are gone.
-_IS_DATA, _CELL, _ROW = "\x01", "\x02", "\x03"
-_BLANK = " \t\r\n" + _IS_DATA
+_TEXT, _CELL, _ROW, _END = "\x01", "\x02", "\x03", "\x04"
+_BLANK = " \t\r\n"
+#: The widest cell, as in HTML.
+MOST_COLUMNS = 1000
 
 
 def _referenced(part: Column) -> Column:
-    """A part of a text that followed ``&#``: its number as a character, then the rest."""
+    """A part of a text that followed ``&#``: its number as a character, then the rest. Control characters stay references."""
     number = F.regexp_extract(part, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
     hexadecimal = F.lower(F.substring(number, 1, 1)) == "x"
     code = F.when(hexadecimal, F.conv(F.substring(number, 2, 6), 16, 10)).otherwise(number).try_cast("int")
     letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    valid = (number != "") & (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    valid = (number != "") & (code > 8) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     rest = F.substring(part, F.length(number) + 2, F.length(part))
     return F.when(valid, F.concat(letter, rest)).otherwise(F.concat(F.lit("&#"), part))
 
@@ -92,24 +95,46 @@ def accepted_headers(headers: DataFrame) -> DataFrame:
     return parse_headers(headers).where(F.col("reject").isNull()).drop("reject")
 
 
+def first_table(html: Column) -> Column:
+    """The page from its first table tag to that table's own end, or to the page's end where it has none.
+
+    The page is cut at table tags only, and one pass over these few pieces counts how deep each lies.
+    Of tables inside the first only the text stays, as text of the cell that holds them.
+    """
+    pieces = F.split(F.regexp_extract(html, FROM_TABLE, 0), TABLE_TAG)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(True).alias("open"), F.lit("").alias("text"))
+
+    def step(at: Column, piece: Column) -> Column:
+        depth = at["depth"] + F.when(F.substring(piece, 1, 2) == "</", -1).otherwise(1)
+        own = F.when(depth == 1, piece).otherwise(F.regexp_replace(piece, TAG, " "))
+        going = at["open"] & (depth > 0)
+        return F.struct(depth.alias("depth"), going.alias("open"), F.when(going, F.concat(at["text"], own)).otherwise(at["text"]).alias("text"))
+
+    return F.aggregate(F.filter(pieces, lambda x: x != ""), start, step, lambda at: at["text"])
+
+
 def stat_grid() -> Column:
     """First table of a stats page: array of rows, each an array of cell texts.
 
-    Cell and row ends become separators in passes over the whole table, so no pattern runs per
-    cell. A row made of ``<th>`` cells only holds column labels, not data, and is left out.
+    Rows and cells begin at their tags, so missing end tags do no harm; what follows an end tag
+    belongs to no cell. A cell of several columns is repeated. A row made of ``<th>`` cells only
+    holds column labels, not data, and is left out. All passes run over the whole table, no pattern
+    runs per cell.
     """
-    flat = F.regexp_extract("html", TABLE, 0)
-    for pattern, mark in ((DATA_CELL, _IS_DATA), (CELL_END, _CELL), (ROW_END, _ROW), (TAG, " ")):
+    flat = first_table(F.col("html"))
+    for pattern, mark in ((ROW, _ROW), (CELL, f"{_CELL}$1$2{_TEXT}"), (CELL_END, _END), (TAG, " ")):
         flat = F.regexp_replace(flat, pattern, mark)
-    rows = F.filter(F.split(flat, _ROW), lambda r: r.contains(_IS_DATA))
-    return F.transform(
-        rows,
-        # What follows the last cell end belongs to no cell.
-        lambda r: F.transform(
-            F.slice(F.split(r, _CELL), 1, F.greatest(F.size(F.split(r, _CELL)) - 1, F.lit(0))),
-            lambda c: decoded(F.trim(c, F.lit(_BLANK))),
-        ),
-    )
+    data = F.filter(F.split(decoded(flat), _ROW), lambda r: r.contains(_CELL + "d") | r.contains(_CELL + "D"))
+    every = F.lit(1 << 30)
+    text = lambda body: F.trim(F.substring_index(body, _END, 1), F.lit(_BLANK))
+
+    def wide(c: Column) -> Column:
+        columns = F.coalesce(F.substring(F.substring_index(c, _TEXT, 1), 2, 4).try_cast("int"), F.lit(1))
+        return F.array_repeat(text(F.substring_index(c, _TEXT, -1)), F.greatest(F.lit(1), F.least(columns, F.lit(MOST_COLUMNS))))
+
+    cells = lambda r: F.slice(F.split(r, _CELL), 2, every)
+    plain = F.transform(data, lambda r: F.transform(cells(r), lambda c: text(F.substring(c, F.lit(3), every))))
+    return F.when(F.lower("html").contains("colspan"), F.transform(data, lambda r: F.flatten(F.transform(cells(r), wide)))).otherwise(plain)
 
 
 def parsed_games(pages: DataFrame) -> DataFrame:

@@ -121,6 +121,22 @@ def test_metric_files_as_published(spark, tmp_path):
         MF.read_metric_files(spark, str(tmp_path))
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    ("<table><tr><td>a</td><td><table><tr><td>in<td>ner</table> b</td></tr><tr><td>c</td></tr></table><table><tr><td>x</table>",
+     [["a", "in ner  b"], ["c"]]),
+    ("<table><tr><td>1<table><tr><td>2<table><tr><td>3</table></table>4</td></tr></table>", [["1  2  3  4"]]),
+    ("no table", []),
+    ("<tablet><table>\n<TR class=x><TD colspan='3'>w</TD><td COLSPAN=2>v<td data-x='1'>u</TABLE><p>t", [["w", "w", "w", "v", "v", "u"]]),
+    ("<table><tr><td>a<td>b<tr><th>l<td>c", [["a", "b"], ["l", "c"]]),  # no end tags at all
+    ("<table><thead><tr><th>h<th>i</thead><tbody><tr><td>a</td> stray <td>b</td>junk</tr></tbody></table>", [["a", "b"]]),
+    ("<table><tr><td colspan=0>z</td><td colspan=x>y</td><td></td></tr></table></table>", [["z", "y", ""]]),
+    ("<table><td>loose</td></table>", [["loose"]]),
+])
+def test_first_table(spark, html, want):
+    got = spark.createDataFrame([(html,)], "html string").select(PG.stat_grid().alias("g")).first().g
+    assert [[" ".join(c.split()) for c in r] for r in got] == [[" ".join(c.split()) for c in r] for r in want]
+
+
 def test_character_references_and_rejects(spark):
     texts = ["A &amp; B&#39;s", "&amp;lt; &amp;#39;", "&#x1F600;&#8364;", "&#xZZ; &# &#99999999; &", "&lt;&gt;&quot;&apos;", None, "plain"]
     want = ["A & B's", "&lt; &#39;", "\U0001f600\u20ac", "&#xZZ; &# &#99999999; &", "<>\"'", None, "plain"]
