@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 ERF_P = 0.3275911
 ERF_A = [0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429]
 Z_975 = 1.959964  # 97.5 % point of the standard normal
+# Terms of the asymptotic series of digamma and trigamma, by rising even powers.
+DIGAMMA_TERMS = [1 / 12, -1 / 120, 1 / 252, -1 / 240, 1 / 132, -691 / 32760]
+TRIGAMMA_TERMS = [1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66, -691 / 2730]
+GAMMA_SHIFT = 10        # the series are used from here on; below, the recurrence leads up to it
 LOG_LOSS_EPS = 2.220446049250313e-16  # machine epsilon of a double
 # ----------------------------------------------------------------------------
 
@@ -48,3 +52,17 @@ def hash_normal(*parts) -> Column:
 
 def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
+
+
+def digamma(x: Column) -> Column:
+    """Logarithmic derivative of the gamma function for x > 0."""
+    z = x + GAMMA_SHIFT
+    series = sum((F.lit(t) / F.pow(z, F.lit(2 * k + 2)) for k, t in enumerate(DIGAMMA_TERMS)), F.lit(0.0))
+    return F.log(z) - 0.5 / z - series - sum((1 / (x + k) for k in range(GAMMA_SHIFT)), F.lit(0.0))
+
+
+def trigamma(x: Column) -> Column:
+    """Derivative of digamma for x > 0."""
+    z = x + GAMMA_SHIFT
+    series = sum((F.lit(t) / F.pow(z, F.lit(2 * k + 3)) for k, t in enumerate(TRIGAMMA_TERMS)), F.lit(0.0))
+    return 1 / z + 0.5 / (z * z) + series + sum((1 / ((x + k) * (x + k)) for k in range(GAMMA_SHIFT)), F.lit(0.0))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from matchlens.functions.numeric import Z_975, hash_normal, normal_cdf, squeeze_logit
+from matchlens.functions.numeric import Z_975, digamma, hash_normal, normal_cdf, squeeze_logit, trigamma
 from matchlens.functions.text import interval_text, player_from_parameter, population_label
 from matchlens.operators.joins import salted_join
 from matchlens.operators.ordered import ntile_of, ranked
@@ -38,6 +38,8 @@ BAND_PROBABILITY = {"playoff": 0.7, "international": 0.7, "bo5_final": 0.8}
 BOTH_CONDITIONS = ("playoff", "international")
 
 PLAYER = ["context", "player"]
+#: Fisher scoring steps of a beta fit; from moments about ten bring it to rounding.
+BETA_STEPS = 30
 
 
 # ---- the three pressure data sets ------------------------------------------------------------
@@ -118,6 +120,40 @@ def score_inflation(rows: DataFrame) -> DataFrame:
     return sums.withColumn("phi", F.try_divide(m * (1 - m), v) - 1)
 
 
+def beta_fit(rows: DataFrame, by: list[str] | None = None, score: str = "score", steps: int = BETA_STEPS) -> DataFrame:
+    """Zero-one-inflated beta of the scores of every cell, by maximum likelihood.
+
+    ``zoi`` is the share of exact 0 and 1, ``coi`` the share of 1 among these; ``mean`` and ``phi`` (precision)
+    belong to the scores between them. One aggregation leaves n, the sums of ln y and ln(1 - y) and the
+    moments of a cell; Fisher scoring from the moments then runs on that row, `steps` times, each step cut to
+    a fivefold change. ``moved`` is the last step's relative change. Cells whose inner scores do not vary
+    have no fit: mean, phi and moved are NULL. Scores outside [0, 1] and null ones are left out.
+    """
+    by = by or ["context", "pressure"]
+    y = F.col(score)
+    inner = F.when((y > 0) & (y < 1), y)
+    cells = rows.where(y.between(0, 1)).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(inner.isNull().cast("double")).alias("zoi"), F.avg(F.when(inner.isNull(), y)).alias("coi"),
+        F.avg(F.log(inner)).alias("__l1"), F.avg(F.log1p(-inner)).alias("__l0"), F.avg(inner).alias("__m"), F.var_pop(inner).alias("__v"),
+    )
+    phi = F.try_divide(F.col("__m") * (1 - F.col("__m")), F.when(F.col("__v") > 0, F.col("__v"))) - 1
+    start = F.struct((F.col("__m") * phi).alias("a"), ((1 - F.col("__m")) * phi).alias("b"), F.lit(None).cast("double").alias("moved"))
+
+    def step(at: Column, _: Column) -> Column:
+        a, b = at["a"], at["b"]
+        both, bend = digamma(a + b), trigamma(a + b)
+        g1, g0 = both - digamma(a) + F.col("__l1"), both - digamma(b) + F.col("__l0")
+        h1, h0 = trigamma(a) - bend, trigamma(b) - bend
+        det = h1 * h0 - bend * bend
+        new_a = F.greatest(a / 5, F.least(a * 5, a + F.try_divide(h0 * g1 + bend * g0, det)))
+        new_b = F.greatest(b / 5, F.least(b * 5, b + F.try_divide(bend * g1 + h1 * g0, det)))
+        return F.struct(new_a.alias("a"), new_b.alias("b"), F.greatest(F.abs(new_a - a) / a, F.abs(new_b - b) / b).alias("moved"))
+
+    fitted = cells.withColumn("__f", F.when(phi > 0, F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)))
+    a, b = F.col("__f.a"), F.col("__f.b")
+    return fitted.select(*by, "n", "zoi", "coi", (a / (a + b)).alias("mean"), (a + b).alias("phi"), F.col("__f.moved").alias("moved"))
+
+
 # ---- the fit ---------------------------------------------------------------------------------
 
 

@@ -730,6 +730,13 @@ def pressure_slopes_adjusted(spark, d):
     return rounded(_slopes(fit), 5)
 
 
+@query
+def score_beta_fit(spark, d):
+    """Zero-one-inflated beta of every context and condition by maximum likelihood."""
+    fit = P.beta_fit(_pressure_rows(spark, d))
+    return rounded(fit.withColumn("converged", F.col("moved") < 1e-9).drop("moved"), 5)
+
+
 @query
 def pressure_covariance(spark, d):
     """Intercept and slope that vary together: the parameters of every context."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchlens.functions.numeric import ERF_A, ERF_P
+from matchlens.functions.numeric import DIGAMMA_TERMS, ERF_A, ERF_P, GAMMA_SHIFT, TRIGAMMA_TERMS
 from matchlens.schema import FEATURES, METRICS, MODELS, ROLES
 from matchlens.sources import match_views as mv
 
@@ -563,6 +563,39 @@ add("score_inflation", [
 ], f"SELECT context, pressure, n, {r('zoi')} AS zoi, {r('coi')} AS coi, {r('m')} AS interior_mean,"
    f" {r('v')} AS interior_var, {r('m * (1 - m) / v - 1')} AS phi FROM ag")
 
+
+
+def _gamma_series(x: str, terms: list[float], power: int, head: str, sign: str) -> str:
+    z = f"({x} + {GAMMA_SHIFT})"
+    series = " + ".join(f"({t!r}) / power({z}, {2 * k + power})" for k, t in enumerate(terms))
+    down = " + ".join(f"1 / power({x} + {k}, {power - 1})" for k in range(GAMMA_SHIFT))
+    return f"({head.format(z=z)} {sign} ({series}) {sign} ({down}))"
+
+
+def digamma(x: str) -> str:
+    return _gamma_series(x, DIGAMMA_TERMS, 2, "ln({z}) - 0.5 / {z}", "-")
+
+
+def trigamma(x: str) -> str:
+    return _gamma_series(x, TRIGAMMA_TERMS, 3, "1 / {z} + 0.5 / ({z} * {z})", "+")
+
+
+add("score_beta_fit", [
+    *contexts("player"),
+    ("ag", "SELECT context, pressure, count(*) AS n, avg(CASE WHEN score IN (0, 1) THEN 1.0 ELSE 0.0 END) AS zoi,"
+           " avg(score) FILTER (score IN (0, 1)) AS coi, avg(ln(score)) FILTER (score NOT IN (0, 1)) AS l1,"
+           " avg(ln(1 - score)) FILTER (score NOT IN (0, 1)) AS l0, avg(score) FILTER (score NOT IN (0, 1)) AS m,"
+           " var_pop(score) FILTER (score NOT IN (0, 1)) AS v FROM lng GROUP BY ALL"),
+    ("th", "SELECT context, pressure, 0 AS step, m * (m * (1 - m) / v - 1) AS a, (1 - m) * (m * (1 - m) / v - 1) AS b, 1::DOUBLE AS moved FROM ag"
+           " UNION ALL SELECT context, pressure, step + 1, a + da, b + db, greatest(abs(da) / a, abs(db) / b) FROM ("
+           "SELECT *, (h0 * g1 + bend * g0) / (h1 * h0 - bend * bend) AS da, (bend * g1 + h1 * g0) / (h1 * h0 - bend * bend) AS db FROM ("
+           f"SELECT *, {digamma('(a + b)')} - {digamma('a')} + l1 AS g1, {digamma('(a + b)')} - {digamma('b')} + l0 AS g0,"
+           f" {trigamma('(a + b)')} AS bend, {trigamma('a')} - {trigamma('(a + b)')} AS h1, {trigamma('b')} - {trigamma('(a + b)')} AS h0"
+           " FROM th JOIN ag USING (context, pressure) WHERE step < 30))"),
+], f"SELECT context, pressure, n, {r('zoi', 5)} AS zoi, {r('coi', 5)} AS coi, {r('a / (a + b)', 5)} AS mean, {r('a + b', 5)} AS phi,"
+   " moved < 1e-9 AS converged FROM th JOIN ag USING (context, pressure) WHERE step = 30")
+ORACLES["score_beta_fit"] = ORACLES["score_beta_fit"].replace("WITH ", "WITH RECURSIVE ", 1)
+
 PHI = "poly"
 _poly = " + ".join(f"({a!r}) * power(t, {i + 1})" for i, a in enumerate(ERF_A))
 

@@ -46,13 +46,12 @@ def ingest(
     Only per-row features are derived, so the stream keeps no state. Series flags need the order
     of all games and stay a batch job. ``progress`` holds the stream's offsets and commits: a
     restart after a failure writes every file exactly once. Text rows that do not parse are left
-    out of ``out``; with a ``rejects`` folder a second stream collects them there as text.
+    out of ``out``; a second stream collects them as text in ``rejects`` (default: beside ``out``).
     """
     landed = read_landing(spark, landing, schema, fmt)
     if fmt == "csv":
         landed, bad = typed_columns(landed, schema)
-        if rejects is not None:
-            _drain(bad, rejects, f"{progress}-rejects").awaitTermination()
+        _drain(bad, rejects or f"{out.rstrip('/')}-rejects", f"{progress}-rejects").awaitTermination()
     return _drain(engineer_features(landed), out, progress)
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,3 +176,43 @@ def test_a_context_of_ones_own_is_fitted_too(spark):
     fit = P.fit_pressure(df, opponent="opponent_team")
     assert {r.context for r in fit.players.collect()} == {"mine", "playoff"}
     assert {r.context for r in fit.population.collect()} == {"mine", "playoff"}
+
+
+def test_beta_fit_is_the_maximum_likelihood(spark):
+    rng = random.Random(3)
+    shapes = {("a", 0): (2.0, 5.0), ("a", 1): (0.6, 0.4), ("b", 0): (40.0, 8.0)}
+    rows = [(c, p, rng.betavariate(*s)) for (c, p), s in shapes.items() for _ in range(800)]
+    rows += [("a", 0, 0.0)] * 50 + [("a", 0, 1.0)] * 150 + [("c", 0, 0.5)] * 3 + [("d", 1, 1.0), ("a", 1, None), ("a", 1, 1.5)]
+    got = {(r.context, r.pressure): r for r in P.beta_fit(spark.createDataFrame(rows, "context string, pressure int, score double")).collect()}
+    for key in shapes:
+        r = got[key]
+        ys = [y for c, p, y in rows if (c, p) == key and y is not None and 0 < y < 1]
+        l1, l0 = sum(map(math.log, ys)) / len(ys), sum(math.log1p(-y) for y in ys) / len(ys)
+
+        def likely(mean, phi):
+            a, b = mean * phi, (1 - mean) * phi
+            return math.lgamma(phi) - math.lgamma(a) - math.lgamma(b) + (a - 1) * l1 + (b - 1) * l0
+
+        # no neighbour is better, and the slope vanishes
+        for name, h in (("mean", 1e-5), ("phi", 1e-5 * r.phi)):
+            up, down = ({**{"mean": r["mean"], "phi": r.phi}, name: r[name] + e} for e in (h, -h))
+            assert abs(likely(**up) - likely(**down)) / (2 * h) < 1e-5
+            assert likely(r["mean"], r.phi) >= max(likely(**up), likely(**down)) - 1e-12
+        assert r.moved < 1e-12
+    assert (got["a", 0].n, got["a", 0].zoi, got["a", 0].coi) == (1000, 0.2, 0.75)
+    assert (got["c", 0].mean, got["d", 1].phi, got["d", 1].coi, got["a", 1].n) == (None, None, 1.0, 800)
+
+
+def test_digamma_and_trigamma(spark):
+    from matchlens.functions.numeric import digamma, trigamma
+
+    xs = [0.01, 0.5, 1.0, 3.3, 50.0]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", digamma(F.col("x")).alias("d"), trigamma(F.col("x")).alias("t")).collect()
+    by = {r.x: r for r in rows}
+    euler = 0.5772156649015329
+    assert by[1.0].d == pytest.approx(-euler, abs=1e-13) and by[0.5].d == pytest.approx(-euler - 2 * math.log(2), abs=1e-13)
+    assert by[1.0].t == pytest.approx(math.pi**2 / 6, abs=1e-13) and by[0.5].t == pytest.approx(math.pi**2 / 2, abs=1e-12)
+    for x in xs:
+        h = 1e-4 * x
+        slope = (math.lgamma(x + h) - math.lgamma(x - h)) / (2 * h)
+        assert by[x].d == pytest.approx(slope, rel=1e-5)
