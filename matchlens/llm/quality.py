@@ -23,8 +23,8 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 
 #: Chi-square values for five dimensions: median, 0.975 (reweighting) and 1 - 1e-6 (rejection); fixed values.
 CHI_MEDIAN, CHI_REWEIGHT, CHI_REJECT = 4.351, 12.833, 37.55
-#: Documents that a group needs for an estimate of its own; smaller ones take their language's, or that of all.
-LEAST_GROUP = 200
+#: Documents that five dimensions need for an estimate of a group's own; smaller ones take their language's, or that of all.
+LEAST_GROUP = 40
 #: Vector entries are kept to this many scale units, in steps of a thousandth, so that sums are exact.
 REACH, STEP = 40, 1000
 #: Concentration steps.
@@ -216,7 +216,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: st
 
     Rows that fail a base rule are not kept and take no part in the estimates. The rest is measured
     against its language and source when that group has `least_group` such rows, else against its
-    language, else against all rows; with fewer than `least_group` rows in all it is kept. Null languages and sources are groups of their own;
+    language, else against all rows, however few there are. Null languages and sources are groups of their own;
     null and empty texts fail for having no words. Ids may be null or repeated. Other columns and
     their names play no part. An empty table gives an empty one.
     """
@@ -247,7 +247,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: st
     scaled = stored(spread.select("row", "lang_key", "own_key", *z), "scaled")
     names = [f"z{i}" for i in range(p)]
     levels = scaled.select("row", F.explode(F.array(F.lit("all"), "lang_key", "own_key")).alias("key"), *names)
-    sizes = levels.groupBy("key").count().where(F.col("count") >= least_group).select("key", F.lit(True).alias("large"))
+    sizes = levels.groupBy("key").count().where((F.col("count") >= least_group) | (F.col("key") == "all")).select("key", F.lit(True).alias("large"))
     vectors = stored(attach(levels, sizes, "key", ["row"]).where("large").drop("large"), "vectors")
     measured = attach(vectors, mcd(vectors, p), "key", ["row"]).select(
         "row", F.substring("key", 1, 1).alias("level"), _distance(p).alias("distance")

@@ -116,3 +116,8 @@ def test_nulls_repeats_small_groups_and_clashing_columns(spark, docs_of, monkeyp
     want = [(1, 0, True, False), (2, 0, True, False), (None, 80, False, True), (3, 80, False, True), (3, 80, False, True), (4, 3, True, False)]
     assert got == sorted(want, key=str)
     assert judged(docs.limit(0)).count() == 0
+
+
+def test_no_passing_row_is_unmeasured_in_a_small_table(spark, small_docs):
+    for docs in (small_docs, small_docs.limit(9)):
+        assert judged(docs).where("not base_failed and distance is null").count() == 0
