@@ -739,9 +739,14 @@ def score_beta_fit(spark, d):
 
 @query
 def pressure_covariance(spark, d):
-    """Intercept and slope that vary together: the parameters of every context."""
-    fit = MX.fit_covariance(_stored_pressure_rows(spark, d, "thin_player"))
-    return rounded(fit.population.drop("cycles", "converged"), 4)
+    """Intercept and slope that vary together: the parameters of every context. At most 40 cycles, which
+    leave variances that the data do not show above zero."""
+    fit = MX.fit_covariance(_stored_pressure_rows(spark, d, "thin_player"), most=40).population
+    sd0, sd1 = F.col("sd_intercept"), F.col("sd_pressure")
+    return rounded(fit.select(
+        "context", "n_rows", "n_players", "intercept", "pressure", (sd0 * sd0).alias("var_intercept"),
+        F.coalesce(F.col("cor") * sd0 * sd1, F.lit(0.0)).alias("covariance"), (sd1 * sd1).alias("var_pressure"), "sigma",
+    ), 4)
 
 
 @query

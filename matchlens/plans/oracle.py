@@ -666,65 +666,6 @@ SLOPES = (f"context, player, {r('med', 5)} AS med, {r('lo', 5)} AS lo, {r('hi',
 add("pressure_slopes", fit("thin_player", False), f"SELECT {SLOPES} FROM pl")
 add("pressure_slopes_adjusted", fit("thin_player", True), f"SELECT {SLOPES} FROM pl")
 
-
-def em_step(source: str) -> str:
-    """One parameter-expanded EM step for every context of `source` (context, step, parameters).
-
-    Six equations per context are solved by an unrolled triangular factorisation.
-    """
-    first, second = ["1.0", "m0", "m1"], {(0, 0): "1.0", (0, 1): "m0", (0, 2): "m1", (1, 1): "e11", (1, 2): "e12", (2, 2): "e22"}
-    sums = [f"sum({e} * {g}) AS {g}_{i}{j}" for (i, j), e in second.items() for g in ("n", "n1")]
-    sums += [f"sum({e} * {g}) AS {g}_{i}" for i, e in enumerate(first) for g in ("y", "y1")]
-    sums += ["avg(e11) AS e11", "avg(e12) AS e12", "avg(e22) AS e22", "sum(q) AS q", "sum(lk) AS ll", "count(*) AS units"]
-    entry = lambda r, c: f"n{'1' if r % 2 or c % 2 else ''}_{min(r // 2, c // 2)}{max(r // 2, c // 2)}"
-    right = lambda r: f"y{'1' if r % 2 else ''}_{r // 2}"
-    solve = []
-    for j in range(6):
-        prior = f" + s2 / {(1.0, 0.25)[j]}" if j < 2 else ""
-        solve.append(f"{entry(j, j)}{prior}" + "".join(f" - l{j}{t} * l{j}{t} * d{t}" for t in range(j)) + f" AS d{j}")
-        for i in range(j + 1, 6):
-            solve.append(f"({entry(i, j)}" + "".join(f" - l{i}{t} * l{j}{t} * d{t}" for t in range(j)) + f") / d{j} AS l{i}{j}")
-    for j in range(6):
-        solve.append(right(j) + "".join(f" - l{j}{t} * f{t}" for t in range(j)) + f" AS f{j}")
-    for j in reversed(range(6)):
-        solve.append(f"f{j} / d{j}" + "".join(f" - l{t}{j} * x{t}" for t in range(j + 1, 6)) + f" AS x{j}")
-    fitted = " + ".join(f"x{i} * {right(i)}" for i in range(6))
-    square = " + ".join(f"x{i} * x{j} * {entry(i, j)}" for i in range(6) for j in range(6))
-    return f"""
-SELECT context, step + 1 AS step, x0 AS b0, x1 AS b1, (q - 2 * ({fitted}) + ({square})) / n_00 AS s2,
-  x2 * x2 * e11 + 2 * x2 * x4 * e12 + x4 * x4 * e22 AS v00,
-  x2 * x3 * e11 + (x2 * x5 + x4 * x3) * e12 + x4 * x5 * e22 AS v01,
-  x3 * x3 * e11 + 2 * x3 * x5 * e12 + x5 * x5 * e22 AS v11, ll
-FROM (SELECT *, {', '.join(solve)} FROM (
-  SELECT context, step, s2, {', '.join(sums)} FROM (
-    SELECT *, c00 + m0 * m0 AS e11, c01 + m0 * m1 AS e12, c11 + m1 * m1 AS e22,
-      -0.5 * (n * ln(s2) + ln((a * d - b * b) * det) + (q - 2 * (b0 * (y - y1) + (b0 + b1) * y1) + (n - n1) * b0 * b0
-        + n1 * (b0 + b1) * (b0 + b1)) / s2 - r0 * m0 - r1 * m1) AS lk
-    FROM (SELECT *, c00 * r0 + c01 * r1 AS m0, c01 * r0 + c11 * r1 AS m1
-      FROM (SELECT *, d / (a * d - b * b) AS c00, -b / (a * d - b * b) AS c01, a / (a * d - b * b) AS c11
-        FROM (SELECT *, n / s2 + v11 / det AS a, n1 / s2 - v01 / det AS b, n1 / s2 + v00 / det AS d,
-            (y - n * b0 - n1 * b1) / s2 AS r0, (y1 - n1 * (b0 + b1)) / s2 AS r1
-          FROM (SELECT *, v00 * v11 - v01 * v01 AS det FROM st JOIN {source} USING (context)))))
-  ) GROUP BY context, step, s2))"""
-
-
-EM = [
-    *qualified("thin_player"),
-    ("sq", "SELECT *, (score * (cnt - 1) + 0.5) / cnt AS w FROM"
-           " (SELECT *, count(*) OVER (PARTITION BY context) AS cnt FROM rws)"),
-    ("st", "SELECT context, player, count(*) AS n, sum(pressure) AS n1, sum(ln(w / (1 - w))) AS y,"
-           " sum(pressure * ln(w / (1 - w))) AS y1, sum(ln(w / (1 - w)) * ln(w / (1 - w))) AS q FROM sq GROUP BY ALL"),
-    ("th", "SELECT context, 0 AS step, m AS b0, o - m AS b1, v AS s2, v / 4 AS v00, 0::DOUBLE AS v01, v / 4 AS v11, 0::DOUBLE AS ll FROM ("
-           "SELECT context, sum(y - y1) / sum(n - n1) AS m, sum(y1) / sum(n1) AS o, (sum(q) - sum(y - y1) * sum(y - y1) / sum(n - n1)"
-           " - sum(y1) * sum(y1) / sum(n1)) / sum(n) AS v FROM st GROUP BY context)"
-           " UNION ALL SELECT * FROM (" + em_step("(SELECT * FROM th WHERE step < 420)") + ")"),
-    ("en", "SELECT * FROM th WHERE step = 420"),
-]
-add("pressure_covariance", EM,
-    f"SELECT context, n_rows, n_players, {r('b0', 4)} AS intercept, {r('b1', 4)} AS pressure, {r('sqrt(v00)', 4)} AS sd_intercept,"
-    f" {r('sqrt(v11)', 4)} AS sd_pressure, {r('v01 / sqrt(v00 * v11)', 4)} AS cor, {r('sqrt(s2)', 4)} AS sigma, {r('ll', 4)} AS log_lik"
-    " FROM en JOIN (SELECT context, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_players FROM st GROUP BY context) USING (context)")
-ORACLES["pressure_covariance"] = ORACLES["pressure_covariance"].replace("WITH ", "WITH RECURSIVE ", 1).replace("\nst AS (", "\nst AS MATERIALIZED (", 1)
 RANKED = ("rkd", "SELECT *, row_number() OVER (PARTITION BY context ORDER BY med, player) AS rank,"
                  " count(*) OVER (PARTITION BY context) AS cnt,"
                  " ntile(10) OVER (PARTITION BY context ORDER BY med, player) AS decile FROM pl")
