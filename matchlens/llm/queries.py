@@ -135,7 +135,7 @@ def op9_license_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = F.array(F.col("source"), F.when(doc % 3 > 0, F.col("lang")), F.when(doc % 3 > 1, F.concat(F.lit("p"), (doc % 11).cast("string"))))
     name = F.when(doc % 5 == 0, "LICENSE.md").otherwise(F.concat(F.lit("f"), doc.cast("string"), F.lit(".txt")))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", F.array_compact(folder), name).alias("path"))
-    return licenses.report(docs, every_term=True)
+    return licenses.report(docs)
 
 
 OP9_SQL = r"""
@@ -147,11 +147,18 @@ WITH templates AS (
     CASE WHEN doc_id % 5 = 0 THEN 'LICENSE.md' ELSE 'f' || doc_id || '.txt' END AS name
   FROM documents
 ), l AS (
-  SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS body FROM d WHERE text IS NOT NULL
-), lt AS (
-  SELECT doc_id, line, t AS term, count(*) AS tf FROM (
-    SELECT doc_id, line, unnest(list_transform(regexp_split_to_array(lower(body), '[^\p{{L}}\p{{N}}.-]+'), lambda x: trim(x, '.-'))) AS t FROM l
-  ) WHERE t <> '' GROUP BY ALL
+  SELECT doc_id, name, unnest(range(0, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS body FROM d WHERE text IS NOT NULL
+), lx AS (
+  SELECT doc_id, name, line,
+    list_filter(list_transform(regexp_split_to_array(lower(body), '[^\p{{L}}\p{{N}}.-]+'), lambda x: trim(x, '.-')), lambda x: x <> '') AS terms FROM l
+), lb AS (
+  SELECT *, sum(CASE WHEN len(terms) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS block FROM lx
+), u AS (
+  SELECT doc_id, line, 0 AS scope, terms FROM lx
+  UNION ALL SELECT doc_id, min(line), 1, flatten(list(terms ORDER BY line)) FROM lb WHERE len(terms) > 0 GROUP BY doc_id, block HAVING count(*) > 1
+  UNION ALL SELECT doc_id, 0, 2, flatten(list(terms ORDER BY line)) FROM lx WHERE name = 'LICENSE.md' GROUP BY doc_id HAVING count(*) > 1
+), ut AS (
+  SELECT doc_id, line, scope, term, count(*) AS tf FROM (SELECT doc_id, line, scope, unnest(terms) AS term FROM u) GROUP BY ALL
 ), tt AS (
   SELECT template, t AS term, count(*) AS tf FROM (
     SELECT template, unnest(list_transform(regexp_split_to_array(lower(body), '[^\p{{L}}\p{{N}}.-]+'), lambda x: trim(x, '.-'))) AS t FROM templates
@@ -159,20 +166,22 @@ WITH templates AS (
 ), n AS (
   SELECT count(*) AS n FROM d
 ), idf AS (
-  SELECT v.term, ln((1 + n.n) / (1 + count(DISTINCT lt.doc_id))) + 1 AS idf
-  FROM (SELECT DISTINCT term FROM tt) v CROSS JOIN n LEFT JOIN lt ON lt.term = v.term GROUP BY v.term, n.n
-), lw AS (
-  SELECT lt.doc_id, lt.line, lt.term, lt.tf * coalesce(idf.idf, ln(1 + n.n) + 1) AS w FROM lt CROSS JOIN n LEFT JOIN idf USING (term)
+  SELECT v.term, ln((1 + n.n) / (1 + coalesce(f.n, 0))) + 1 AS idf
+  FROM (SELECT term FROM tt UNION SELECT term FROM ut) v CROSS JOIN n
+  LEFT JOIN (SELECT term, count(DISTINCT doc_id) AS n FROM ut WHERE scope = 0 GROUP BY term) f ON f.term = v.term
+), uw AS (
+  SELECT doc_id, line, scope, term, tf * idf AS w FROM ut JOIN idf USING (term)
 ), tw AS (
   SELECT template, term, tf * idf AS w FROM tt JOIN idf USING (term)
 ), c AS (
-  SELECT doc_id, line, template, round(dot / (ln.norm * tn.norm), 6) AS similarity
-  FROM (SELECT lw.doc_id, lw.line, tw.template, sum(lw.w * tw.w) AS dot FROM lw JOIN tw USING (term) GROUP BY ALL)
-  JOIN (SELECT doc_id, line, sqrt(sum(w * w)) AS norm FROM lw GROUP BY ALL) ln USING (doc_id, line)
+  SELECT doc_id, line, scope, template, round(dot / (un.norm * tn.norm), 6) AS similarity
+  FROM (SELECT uw.doc_id, uw.line, uw.scope, tw.template, sum(uw.w * tw.w) AS dot FROM uw JOIN tw USING (term) GROUP BY ALL)
+  JOIN (SELECT doc_id, line, scope, sqrt(sum(w * w)) AS norm FROM uw GROUP BY ALL) un USING (doc_id, line, scope)
   JOIN (SELECT template, sqrt(sum(w * w)) AS norm FROM tw GROUP BY ALL) tn USING (template)
 ), own AS (
-  SELECT doc_id, line, license, similarity FROM c JOIN templates USING (template) WHERE similarity >= {threshold}
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, line, template) = 1
+  SELECT doc_id, line, license, similarity, ['line', 'block', 'file'][scope + 1] AS scope
+  FROM c JOIN templates USING (template) WHERE similarity >= {threshold}
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, line, c.scope, template) = 1
 ), speaking AS (
   SELECT dir AS at, min(struct_pack(path := dir || '/' || name, license := license)).license AS license
   FROM d JOIN own USING (doc_id) WHERE name = 'LICENSE.md' GROUP BY dir
@@ -180,7 +189,7 @@ WITH templates AS (
   SELECT d.doc_id, s.at, s.license FROM d JOIN speaking s ON d.dir = s.at OR starts_with(d.dir, s.at || '/')
   QUALIFY row_number() OVER (PARTITION BY d.doc_id ORDER BY length(s.at) DESC) = 1
 )
-SELECT d.doc_id, d.dir || '/' || d.name AS path, own.license AS own_license, own.similarity, CAST(own.line AS INTEGER) AS line,
+SELECT d.doc_id, d.dir || '/' || d.name AS path, own.license AS own_license, own.similarity, CAST(own.line AS INTEGER) AS line, own.scope,
   coalesce(own.license, i.license) AS license, CASE WHEN own.license IS NULL THEN i.at END AS inherited_from
 FROM d LEFT JOIN own USING (doc_id) LEFT JOIN inherited i USING (doc_id)
 """.format(
