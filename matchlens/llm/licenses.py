@@ -16,7 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchlens.llm.common import lookup, stored
+from matchlens.llm.common import lookup, new_folder, stored
 
 #: Licence statements, headers and texts by SPDX name: fixed values.
 TEMPLATES = [
@@ -322,14 +322,15 @@ def report(
     part. An empty table gives an empty one.
     """
     told = _template_terms(templates)
+    spark = files.sparkSession
     base = files.select(F.col(id_col).alias("id"), F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    tokens = stored(
-        base.select(
-            F.monotonically_increasing_id().alias("row"), "id", "path", directory_of(F.col("path")).alias("dir"),
-            F.lower(F.regexp_extract("path", r"([^/]*)$", 1)).alias("name"), F.transform(F.split("text", "\n"), terms_of).alias("lines"),
-        ),
-        "tokens",
+    tokens = base.select(
+        F.monotonically_increasing_id().alias("row"), "id", "path", directory_of(F.col("path")).alias("dir"),
+        F.lower(F.regexp_extract("path", r"([^/]*)$", 1)).alias("name"), F.transform(F.split("text", "\n"), terms_of).alias("lines"),
     )
+    folder = new_folder(spark, "tokens")
+    tokens.write.option("compression", "zstd").parquet(folder)  # as long as the texts, so packed tighter than the other tables
+    tokens = spark.read.schema(tokens.schema).parquet(folder)
     n = tokens.count()
     frequencies = document_frequencies(tokens)
     vocabulary = sorted({t for _, counts in told for t in counts})
