@@ -17,6 +17,13 @@ DIGAMMA_TERMS = [1 / 12, -1 / 120, 1 / 252, -1 / 240, 1 / 132, -691 / 32760]
 TRIGAMMA_TERMS = [1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66, -691 / 2730]
 GAMMA_SHIFT = 10        # the series are used from here on; below, the recurrence leads up to it
 LOG_LOSS_EPS = 2.220446049250313e-16  # machine epsilon of a double
+# Rational approximations of the normal quantile, relative error below 1.2e-9: numerator and
+# denominator for the middle and for the tails beyond QUANTILE_TAIL, by falling powers.
+QUANTILE_TAIL = 0.02425
+QUANTILE_A = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
+QUANTILE_B = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0]
+QUANTILE_C = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
+QUANTILE_D = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0]
 # ----------------------------------------------------------------------------
 
 
@@ -37,6 +44,22 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, 0.5 * (1 + erf)).otherwise(0.5 * (1 - erf))
 
 
+def _polynomial(x: Column, coefficients: list[float]) -> Column:
+    value = F.lit(0.0)
+    for c in coefficients:
+        value = value * x + c
+    return value
+
+
+def normal_quantile(p: Column) -> Column:
+    """Inverse of the standard normal distribution function for 0 < p < 1; null elsewhere."""
+    q, near = p - 0.5, F.least(p, 1 - p)
+    middle = q * _polynomial(q * q, QUANTILE_A) / _polynomial(q * q, QUANTILE_B)
+    t = F.sqrt(-2.0 * F.log(near))
+    tail = F.signum(-q) * _polynomial(t, QUANTILE_C) / _polynomial(t, QUANTILE_D)
+    return F.when((p > 0) & (p < 1), F.when(near < QUANTILE_TAIL, tail).otherwise(middle))
+
+
 def hash_uniform(*parts, word: int = 0) -> Column:
     """Uniform in (0, 1) from one 32-bit word of the md5 of the joined parts: the same on every
     engine and on every retry."""

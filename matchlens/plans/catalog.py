@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from matchlens.functions import match as M
 from matchlens.functions.numeric import sigmoid
+from matchlens.operators import draws as DR
 from matchlens.operators import evaluate as E
 from matchlens.operators import explain as X
 from matchlens.operators import features as FE
@@ -803,6 +804,14 @@ def slope_summary(spark, d):
     return rounded(P.summarise_slopes(betas, ["context"]), 5)
 
 
+@query
+def draw_diagnostics(spark, d):
+    """R-hat and effective sample size of every player's total slope, the draws as four chains."""
+    fit = P.fit_pressure(_stored_pressure_rows(spark, d))
+    betas = P.total_slopes(P.player_draws(fit, P.population_draws(fit)))
+    return rounded(DR.draw_diagnostics(DR.with_chains(betas, P.N_DRAWS), ["context", "player"]), 4)
+
+
 @query
 def draws_unpivot(spark, d):
     """Draws in one-column-per-player form (a game as the draw, a role as the player) to rows."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from matchlens.functions.numeric import DIGAMMA_TERMS, ERF_A, ERF_P, GAMMA_SHIFT, TRIGAMMA_TERMS
+from matchlens.functions.numeric import (
+    DIGAMMA_TERMS, ERF_A, ERF_P, GAMMA_SHIFT, QUANTILE_A, QUANTILE_B, QUANTILE_C, QUANTILE_D, QUANTILE_TAIL, TRIGAMMA_TERMS,
+)
 from matchlens.schema import FEATURES, METRICS, MODELS, ROLES
 from matchlens.sources import match_views as mv
 
@@ -740,6 +742,36 @@ def summarised(source: str, by: str) -> list[tuple[str, str]]:
 add("slope_summary", [*DRAWS, ("bt", "SELECT context, player, b_pressure + u1 AS beta FROM ud"),
                       *summarised("bt", "context, ")],
     f"SELECT {SLOPES}, rank, {LABEL} FROM sr")
+
+
+def polynomial(x: str, coefficients: list[float]) -> str:
+    return " + ".join(f"({c!r}::DOUBLE) * pow({x}, {len(coefficients) - 1 - i})" for i, c in enumerate(coefficients))
+
+
+# the sequence of pairs of lags ends long before the last lag that is listed here
+add("draw_diagnostics", [
+    *DRAWS,
+    ("hf", "SELECT context, player, CAST(draw AS INTEGER) AS draw, (CAST(draw AS INTEGER) - 1) // 500 AS half, b_pressure + u1 AS x FROM ud"),
+    ("md", "SELECT context, player, median(x) AS middle FROM hf GROUP BY ALL"),
+    ("kd", "SELECT context, player, half, draw, 'bulk' AS kind, x AS v FROM hf UNION ALL"
+           " SELECT context, player, half, draw, 'folded', abs(x - middle) FROM hf JOIN md USING (context, player)"),
+    ("rk", "SELECT *, (rank() OVER (PARTITION BY context, player, kind ORDER BY v) + (count(*) OVER (PARTITION BY context, player, kind, v) - 1) / 2.0"
+           " - 0.375) / 4000.25 AS p FROM kd"),
+    ("tl", "SELECT *, p - 0.5 AS q, pow(p - 0.5, 2) AS q2, sqrt(-2 * ln(least(p, 1 - p))) AS t FROM rk"),
+    ("zs", f"SELECT *, CASE WHEN least(p, 1 - p) < {QUANTILE_TAIL} THEN sign(-q) * ({polynomial('t', QUANTILE_C)}) / ({polynomial('t', QUANTILE_D)})"
+           f" ELSE q * ({polynomial('q2', QUANTILE_A)}) / ({polynomial('q2', QUANTILE_B)}) END AS z FROM tl"),
+    ("ch", "SELECT context, player, kind, half, avg(z) AS mean, var_samp(z) AS variance, list(z ORDER BY draw) AS zl FROM zs GROUP BY ALL"),
+    ("mo", "SELECT context, player, kind, avg(variance) AS within, 499 / 500.0 * avg(variance) + var_samp(mean) AS plus FROM ch GROUP BY ALL"),
+    ("ce", "SELECT context, player, half, list_transform(zl, lambda z: z - mean) AS zl FROM ch WHERE kind = 'bulk'"),
+    ("ac", "SELECT context, player, lag, avg(list_dot_product(zl[1:500 - lag], zl[lag + 1:500]) / 500) AS acov"
+           " FROM ce CROSS JOIN (SELECT CAST(range AS INTEGER) AS lag FROM range(0, 80)) GROUP BY ALL"),
+    ("pr", "SELECT context, player, lag // 2 AS pair, sum(CASE WHEN lag = 0 THEN 1 ELSE 1 - (within - acov) / plus END) AS p"
+           " FROM ac JOIN mo USING (context, player) WHERE kind = 'bulk' GROUP BY ALL"),
+    ("op", "SELECT *, min(p) OVER (PARTITION BY context, player ORDER BY pair) AS low FROM pr"),
+    ("ta", "SELECT context, player, sum(low) AS sums FROM op WHERE low > 0 GROUP BY ALL"),
+    ("rh", "SELECT context, player, max(sqrt(plus / within)) AS rhat FROM mo GROUP BY ALL"),
+], "SELECT context, player, 4::BIGINT AS n_chains, 4000::BIGINT AS n_draws,"
+   f" {r('rhat', 4)} AS rhat, {r('4000 / greatest(2 * sums - 1, 1 / log10(4000))', 4)} AS ess FROM rh JOIN ta USING (context, player)")
 WIDE = [
     ("pg", PG),
     ("rl", "SELECT game_id AS draw, role AS player, avg(performance_score) AS u1 FROM pg"
