@@ -132,16 +132,20 @@ def run(
     settings=training.draw_parameters,
     n_permutations: int = 4,
     background: int = explain.FALLBACK_BACKGROUND_ROWS,
+    inputs: list[str] | None = None,
 ) -> Outcome:
     """Collect, preprocess, train, evaluate, explain, measure pressure and report.
 
     ``collect`` builds the player-game rows; its result and that of preprocessing are written under
-    ``out`` and read back by later runs. ``skip`` may hold ``train``, ``evaluate``, ``explain`` and
+    ``out`` and read back by later runs; with ``inputs``, the files and folders that ``collect`` reads,
+    only while these are unchanged. ``skip`` may hold ``train``, ``evaluate``, ``explain`` and
     ``pressure``; evaluation and explanation need training in the same run. Pressure needs rows
     with ``performance_score``, ``state`` and ``international`` and is left out without them.
     """
-    raw = materialize(spark, f"{out}/player_games", collect)
-    rows = materialize(spark, f"{out}/preprocessed", lambda: preprocess(raw, spread or [key]))
+    spread = spread or [key]
+    raw = materialize(spark, f"{out}/player_games", collect, inputs)
+    settings_of = None if inputs is None else {"spread": spread}
+    rows = materialize(spark, f"{out}/preprocessed", lambda: preprocess(raw, spread), inputs, settings_of)
     outcome = Outcome(rows)
 
     def keep(frames: dict[str, DataFrame]) -> None:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,14 +58,60 @@ def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
     return [f.getPath().toString() for f in found or []]
 
 
-def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+def fingerprint(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """Number, bytes and digest of the files below the paths, by name, length and time of change.
+
+    Spark lists the files and folds them into one row; no content is read. Folders and files whose
+    names start with a dot or an underscore do not count. A path that is missing raises.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "length", "modificationTime")
+    mark = F.xxhash64("path", "length", F.unix_micros("modificationTime"))
+    row = files.agg(
+        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum(mark.cast("decimal(20,0)")), F.lit(0)).alias("total"), F.coalesce(F.bit_xor(mark), F.lit(0)).alias("mixed"),
+    ).first()
+    return {name: str(value) for name, value in row.asDict().items()}
+
+
+def _manifest(spark: SparkSession, path: str) -> dict | None:
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        return None
+    lines = spark.read.schema("value string").text(path).collect()  # one line
+    return json.loads(lines[0].value) if lines else None
+
+
+def _write_manifest(spark: SparkSession, path: str, manifest: dict) -> None:
+    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def materialize(
+    spark: SparkSession, path: str, build: Callable[[], DataFrame], inputs: list[str] | None = None, settings: dict | None = None
+) -> DataFrame:
     """Read the finished table at ``path``, or build, write and read it back.
 
-    The commit marker is what counts: a folder left by a job that died half-way is rebuilt.
+    The commit marker is what counts: a folder left by a job that died half-way is rebuilt. With
+    ``inputs`` (files and folders that ``build`` reads) or ``settings`` (JSON values), the table is
+    used again only if a manifest beside it, ``<path>.manifest``, names the same files with the same
+    lengths and times and the same settings; it also holds the schema, so that no footer is read.
+    The manifest is emptied before a table is rebuilt and written after it: a run that dies between the
+    two leaves a table that the next run rebuilds.
     """
-    if not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    path = path.rstrip("/")
+    done = path_exists(spark, f"{path}/_SUCCESS")
+    if inputs is None and settings is None:
+        if not done:
+            build().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    wanted = {"inputs": fingerprint(spark, inputs) if inputs else {}, "settings": json.loads(json.dumps(settings))}
+    beside = f"{path}.manifest"
+    held = _manifest(spark, beside) if done else None
+    if held is None or {k: held.get(k) for k in wanted} != wanted:
+        _write_manifest(spark, beside, {})
+        table = build()
+        table.write.mode("overwrite").parquet(path)
+        held = {**wanted, "schema": spark.read.parquet(path).schema.jsonValue()}
+        _write_manifest(spark, beside, held)
+    return spark.read.schema(StructType.fromJson(held["schema"])).parquet(path)
 
 
 def write_merged(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -254,6 +254,41 @@ def test_materialize_builds_once_and_ignores_unfinished_folders(spark, tmp_path)
     assert len(calls) == 1
 
 
+def test_materialize_rebuilds_when_inputs_or_settings_change(spark, tmp_path):
+    source, path, calls = str(tmp_path / "in"), str(tmp_path / "t"), []
+
+    def build():
+        calls.append(1)
+        return spark.read.schema("k int, v string").csv(source).withColumn("n", F.lit(len(calls)))
+
+    def take(**settings):
+        got = materialize(spark, path, build, [source], settings)
+        return len(calls), sorted(r.k for r in got.collect())
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("1,x\n")
+    assert take(p=1) == (1, [1]) and take(p=1) == (1, [1])
+    (tmp_path / "in" / "a.csv").write_text("2,x\n3,y\n")  # a changed file
+    assert take(p=1) == (2, [2, 3])
+    (tmp_path / "in" / "b.csv").write_text("4,z\n")  # a new one
+    assert take(p=1) == (3, [2, 3, 4])
+    (tmp_path / "in" / "_note").write_text("hidden")
+    assert take(p=1) == (3, [2, 3, 4])
+    assert take(p=2) == (4, [2, 3, 4]) and take(p=2) == (4, [2, 3, 4])
+    (tmp_path / "in" / "a.csv").unlink()
+    assert take(p=2) == (5, [4])
+    # a run that died after the table and before its manifest; a table without a marker
+    from matchlens.sources import storage
+
+    storage._write_manifest(spark, f"{path}.manifest", {})
+    assert take(p=2) == (6, [4]) and take(p=2) == (6, [4])
+    (tmp_path / "t" / "_SUCCESS").unlink()
+    assert take(p=2) == (7, [4])
+    assert materialize(spark, path, build, [source], {"p": 2}).schema == spark.read.parquet(path).schema
+    with pytest.raises(Exception, match="(?i)path"):
+        materialize(spark, path, build, [str(tmp_path / "none")])
+
+
 def test_stream_takes_each_file_once(spark, tmp_path):
     schema = ("k int, kills int, deaths int, assists int, double_kills int, triple_kills int,"
               " quadra_kills int, penta_kills int, total_damage_taken double, kp_pct string")
