@@ -18,6 +18,7 @@ from matchlens.operators import mixed as MX
 from matchlens.operators import pressure as P
 from matchlens.operators import scoring as S
 from matchlens.operators import series as SE
+from matchlens.operators import sketches as SK
 from matchlens.operators import split as SP
 from matchlens.operators import training as TR
 from matchlens.operators import trees as TS
@@ -176,6 +177,17 @@ def dataset_summary(spark, d):
     return FE.dataset_summary(_flagged(spark, d, []))
 
 
+@query
+def dataset_summary_sketch(spark, d):
+    """Player rows and distinct games from sketches stored per role and merged, with their relative standard error."""
+    game = F.col("game_id")
+    distinct = {"games": game, "bo5_games": F.when(F.col("bo5"), game), "final3_games": F.when(F.col("final3"), game)}
+    stored = pinned(SK.sketch(_flagged(spark, d, ["role"]), ["role"], distinct, {}), "sketches")
+    return SK.merge(stored, []).select(
+        F.col("n").alias("player_rows"), *[SK.distinct_count(name).alias(name) for name in distinct], F.lit(SK.distinct_error()).alias("distinct_error")
+    )
+
+
 @query
 def engineer_features(spark, d):
     return rounded(
@@ -804,6 +816,16 @@ def slope_summary(spark, d):
     return rounded(P.summarise_slopes(betas, ["context"]), 5)
 
 
+@query
+def slope_summary_sketch(spark, d):
+    """The slope summary from quantile sketches stored per chain of draws and merged."""
+    fit = P.fit_pressure(_stored_pressure_rows(spark, d))
+    betas = P.total_slopes(P.player_draws(fit, P.population_draws(fit)))
+    chains = DR.with_chains(betas, P.N_DRAWS)
+    stored = pinned(SK.sketch(chains, ["chain", "context", "player"], {}, {"beta": F.col("beta")}), "sketches")
+    return SK.summarise_sketched_slopes(stored, ["context"]).withColumn("rank_error", F.lit(SK.rank_error()))
+
+
 @query
 def draw_diagnostics(spark, d):
     """R-hat and effective sample size of every player's total slope, the draws as four chains."""
