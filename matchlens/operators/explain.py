@@ -8,6 +8,7 @@ import random
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ TOP_FEATURES = 10
 TOP_DEPENDENCE = 5
 LINEAR_MODELS = ["logistic"]
 # ----------------------------------------------------------------------------
+#: Coalitions, with their complements, in each design of the kernel-weighted regression.
+KERNEL_PAIRS = 24
 
 
 # ---- closed form for linear models -----------------------------------------------------------
@@ -133,6 +136,76 @@ def permutation_design(n: int, n_permutations: int, seed: int = 42) -> list[tupl
     return sorted(weights.items())
 
 
+def kernel_designs(n: int, n_pairs: int, batches: int = 6, seed: int = 42) -> list[list[tuple[int, list[float]]]]:
+    """Independent designs of the kernel-weighted regression, each of ``n_pairs`` coalitions and their complements.
+
+    Coalition sizes are drawn by the Shapley kernel, members at random. The values are the least-squares
+    fit of the coalitions' scores under the constraint that they add up to the whole gain. All rows
+    share the coalitions, so the solved normal equations are one weight per coalition and feature.
+    For two features or more; where the pairs do not tell the features apart, more are drawn.
+    """
+    rng = random.Random(seed)
+    full, sizes = 2**n - 1, range(1, n)
+    designs = []
+    for _ in range(batches):
+        times: dict[int, int] = {}
+        drawn, members = 0, np.zeros((0, n))
+        while drawn < n_pairs or np.linalg.matrix_rank(members) < n:
+            (size,) = rng.choices(sizes, [1.0 / (s * (n - s)) for s in sizes])
+            mask = sum(1 << j for j in rng.sample(range(n), size))
+            for m in (mask, full ^ mask):
+                times[m] = times.get(m, 0) + 1
+            drawn += 1
+            if drawn >= n_pairs:
+                members = np.array([[m >> j & 1 for j in range(n)] for m in times], dtype=float)
+        share = np.array(list(times.values())) / (2.0 * drawn)
+        normal = members.T @ (members * share[:, None])
+        inverse = np.linalg.inv(normal)
+        ones = inverse.sum(axis=1)
+        project = inverse - np.outer(ones, ones) / ones.sum()
+        inner = (members * share[:, None]) @ project
+        whole = ones / ones.sum()
+        weights = {m: w.tolist() for m, w in zip(times, inner, strict=True)}
+        weights[0], weights[full] = (-inner.sum(axis=0) - whole).tolist(), whole.tolist()
+        designs.append(sorted(weights.items()))
+    return designs
+
+
+def kernel_shapley(
+    rows: DataFrame,
+    background: DataFrame,
+    score: Callable[[DataFrame], DataFrame],
+    designs: list[list[tuple[int, list[float]]]],
+    key: list[str],
+    by: list[str],
+    features: list[str],
+    background_rows: int = BACKGROUND_ROWS,
+) -> DataFrame:
+    """Kernel-weighted Shapley values of any scorer: ``shap_<feature>``, the mean over the designs, and
+    ``se_<feature>``, its standard error from their spread (null for a single design).
+
+    One job scores every coalition of all designs once. The values add up to the score less the mean
+    background score; for a linear scorer they are exact.
+    """
+    nothing = [0.0] * len(features)
+    held = [dict(d) for d in designs]
+    joint = [(m, [w for d in held for w in d.get(m, nothing)]) for m in sorted(set().union(*held))]
+    parts = [[f"__{i}_{f}" for f in features] for i in range(len(designs))]
+    wide = shapley_values(rows, background, score, joint, key, by, features, background_rows, outputs=[c for p in parts for c in p])
+    count = len(designs)
+
+    def mean(j: int):
+        return reduce(lambda a, b: a + b, [F.col(p[j]) for p in parts]) / count
+
+    def error(j: int):
+        squares = reduce(lambda a, b: a + b, [(F.col(p[j]) - mean(j)) * (F.col(p[j]) - mean(j)) for p in parts])
+        return F.sqrt(squares / (count * (count - 1))) if count > 1 else F.lit(None).cast("double")
+
+    return wide.select(
+        *by, *key, *[mean(j).alias(f"shap_{f}") for j, f in enumerate(features)], *[error(j).alias(f"se_{f}") for j, f in enumerate(features)]
+    )
+
+
 def shapley_values(
     rows: DataFrame,
     background: DataFrame,
@@ -143,6 +216,7 @@ def shapley_values(
     features: list[str],
     background_rows: int = BACKGROUND_ROWS,
     max_cells: int | None = None,
+    outputs: list[str] | None = None,
 ) -> DataFrame:
     """Shapley values of any scorer, columns ``shap_<feature>`` per ``by`` and ``key``.
 
@@ -151,7 +225,8 @@ def shapley_values(
     row, the others from the background. ``score`` adds the column ``score``. Rows are dealt over
     all tasks before they are multiplied; ``rows`` is small and is read twice, so pass a stored
     table. The weighted sums are aggregated map-side, so what is shuffled is one partial row per
-    explained row and task. ``max_cells`` refuses more scored cells per row, if given.
+    explained row and task. ``max_cells`` refuses more scored cells per row, if given. ``outputs``
+    names the weighted sums where the design has other weights than one per feature.
     """
     cells = background_rows * len(design)
     if max_cells is not None and cells > max_cells:
@@ -191,8 +266,8 @@ def shapley_values(
         .groupBy(*by, *key)
         .agg(
             *[
-                F.sum(F.col("__w")[j] * F.col("score") / F.col("__n")).alias(f"shap_{f}")
-                for j, f in enumerate(features)
+                F.sum(F.col("__w")[j] * F.col("score") / F.col("__n")).alias(name)
+                for j, name in enumerate(outputs or [f"shap_{f}" for f in features])
             ]
         )
     )

@@ -662,6 +662,20 @@ def exact_shapley(spark, d):
     return rounded(values)
 
 
+@query
+def kernel_shapley(spark, d):
+    """Kernel-weighted values of all features for a logistic scorer, with their standard errors."""
+    rows = _standardised(spark, d).select("role", "row_key", *[F.col(f"z_{f}").alias(f) for f in FEATURES])
+    sample = pinned(X.explained_sample(rows, ["row_key"], ["role"]))
+
+    def score(df):
+        margin = sum(F.col(f) * mv.BASE_COEFFICIENTS[f] for f in FEATURES)
+        return df.withColumn("score", sigmoid(margin))
+
+    designs = X.kernel_designs(len(FEATURES), X.KERNEL_PAIRS)
+    return rounded(X.kernel_shapley(sample, sample, score, designs, ["row_key"], ["role"], FEATURES))
+
+
 def _importance(spark, d) -> DataFrame:
     return X.linear_importance(_standardised(spark, d), _coefficients(spark, MODELS))
 

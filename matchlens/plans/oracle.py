@@ -5,6 +5,7 @@ from __future__ import annotations
 from matchlens.functions.numeric import (
     DIGAMMA_TERMS, ERF_A, ERF_P, GAMMA_SHIFT, QUANTILE_A, QUANTILE_B, QUANTILE_C, QUANTILE_D, QUANTILE_TAIL, TRIGAMMA_TERMS,
 )
+from matchlens.operators.explain import KERNEL_PAIRS, kernel_designs
 from matchlens.schema import FEATURES, METRICS, MODELS, ROLES
 from matchlens.sources import match_views as mv
 
@@ -438,6 +439,25 @@ add("shap_frame", [*SCALED, ("sm", sampled("zz", 100)), *shap_ctes(["logistic"],
     f"SELECT role, model, row_key, feature, {r('feature_value')} AS feature_value,"
     f" {r('shap')} AS shap FROM lo")
 
+# the designs' weights are constants; the sums over coalitions are written out
+_designs = kernel_designs(len(FEATURES), KERNEL_PAIRS)
+_all_mixed = " + ".join(
+    f"({mv.BASE_COEFFICIENTS[f]!r}::DOUBLE) * CASE WHEN (mask >> {j}) & 1 = 1 THEN x.z_{f} ELSE b.z_{f} END"
+    for j, f in enumerate(FEATURES))
+add("kernel_shapley", [
+    *SCALED,
+    ("sm", sampled("zz", 100)),
+    ("de", "SELECT * FROM (VALUES " + ", ".join(
+        f"({i}, {m}, [{', '.join(f'{w!r}::DOUBLE' for w in ws)}])" for i, design in enumerate(_designs) for m, ws in design)
+        + ") v(batch, mask, w)"),
+    ("ma", "SELECT DISTINCT mask FROM de"),
+    ("va", f"SELECT x.role, x.row_key, mask, avg(1 / (1 + exp(-({_all_mixed})))) AS value"
+           " FROM sm x JOIN sm b ON x.role = b.role AND b.sample_no <= 50 CROSS JOIN ma GROUP BY ALL"),
+    ("ba", "SELECT role, row_key, batch, " + ", ".join(f"sum(w[{j + 1}] * value) AS {f}" for j, f in enumerate(FEATURES))
+           + " FROM va JOIN de USING (mask) GROUP BY ALL"),
+], "SELECT role, row_key, " + ", ".join(f"{r(f'avg({f})')} AS shap_{f}" for f in FEATURES) + ", "
+   + ", ".join(f"{r(f'stddev_samp({f}) / sqrt(count(*))')} AS se_{f}" for f in FEATURES) + " FROM ba GROUP BY ALL")
+
 SMALL = ["kde", "gpm", "gd_15", "dtpd"]
 # Shapley's definition: weight of a coalition without the feature times the score gained by it.
 _mixed = " + ".join(

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import math
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +58,49 @@ def test_linear_scorer_gets_coefficient_times_distance(spark):
         assert r.shap_b == pytest.approx(-(r.b - means.b), abs=1e-12)
 
 
+def solved(design, value):
+    return [sum(w[j] * value[m] for m, w in design) for j in range(len(design[0][1]))]
+
+
+def test_kernel_values_approach_the_exact_ones():
+    rng = random.Random(4)
+    n = 7
+    a, b = [rng.gauss(0, 1) for _ in range(n)], {(i, j): rng.gauss(0, 0.7) for i in range(n) for j in range(i)}
+    value = [1 / (1 + math.exp(-sum(a[i] for i in range(n) if m >> i & 1) - sum(w for (i, j), w in b.items() if m >> i & 1 and m >> j & 1))) for m in range(2**n)]
+    exact = solved(X.exact_design(n), value)
+    off, within = {}, 0
+    for pairs in (24, 96, 384):
+        designs = X.kernel_designs(n, pairs, batches=20, seed=pairs)
+        each = [solved(d, value) for d in designs]
+        assert all(sum(phi) == pytest.approx(value[-1] - value[0], abs=1e-10) for phi in each)
+        mean = [statistics.mean(phi[j] for phi in each) for j in range(n)]
+        error = [statistics.stdev(phi[j] for phi in each) / math.sqrt(20) for j in range(n)]
+        within += sum(abs(m - e) <= 3 * s + 1e-12 for m, e, s in zip(mean, exact, error, strict=True))
+        off[pairs] = math.sqrt(statistics.mean((phi[j] - exact[j]) ** 2 for phi in each for j in range(n)))
+    assert within >= 19 and off[24] > 1.6 * off[96] > 1.6 * 1.6 * off[384]
+    few = X.kernel_designs(9, 2, batches=3)
+    assert all(len(d) >= 9 for d in few)
+    for d in few:  # a linear score is exact however few were drawn
+        assert solved(d, [sum((j + 1.0) * (m >> j & 1) for j in range(9)) for m in range(512)]) == pytest.approx([j + 1.0 for j in range(9)])
+
+
+def test_kernel_job_gives_the_solved_designs_and_their_spread(spark):
+    sample = X.explained_sample(frame(spark), ["key"], ["role"], n=8)
+    designs = X.kernel_designs(3, 6, batches=4)
+    got = {r.key: r for r in X.kernel_shapley(sample, sample, logistic, designs, ["key"], ["role"], NAMES, 8).collect()}
+    parts = [{r.key: r for r in X.shapley_values(sample, sample, logistic, d, ["key"], ["role"], NAMES, 8).collect()} for d in designs]
+    assert len(got) == 8
+    for key, r in got.items():
+        for n in NAMES:
+            each = [p[key][f"shap_{n}"] for p in parts]
+            assert r[f"shap_{n}"] == pytest.approx(statistics.mean(each), abs=1e-12)
+            assert r[f"se_{n}"] == pytest.approx(statistics.stdev(each) / 2, abs=1e-12)
+    one = X.kernel_shapley(sample, sample, lambda df: df.withColumn("score", 3 * F.col("a") - F.col("b")), designs[:1], ["key"], ["role"], NAMES, 8)
+    means = sample.agg(*[F.avg(n).alias(n) for n in NAMES]).first()
+    for r in one.join(sample, "key").collect():
+        assert (r.shap_a, r.shap_c, r.se_a) == (pytest.approx(3 * (r.a - means.a), abs=1e-10), pytest.approx(0.0, abs=1e-10), None)
+
+
 def test_too_many_cells_are_refused_where_a_limit_is_given(spark):
     sample = X.explained_sample(frame(spark), ["key"], ["role"])
     design = X.exact_design(3)
