@@ -18,6 +18,8 @@ SHARDS, SEED = 8, 42
 BUCKET_BYTES = 8 << 20
 #: Parts in which permutations are drawn; fixed, so that a seed gives one order on any cluster.
 DRAWS = 256
+#: Buckets whose starts are summed up in one window, and buckets in one task of the row shuffle.
+RUN, TASK = 4096, 8
 
 
 def with_slots(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -36,8 +38,14 @@ def with_slots(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shar
     place = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text))
     scattered = docs.withColumn(bucket, F.pmod(place, F.lit(n_buckets)))
     counts = stored(scattered.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")), "buckets")
-    before = F.sum("n").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.withColumn(start, F.coalesce(before, F.lit(0)))  # one row per bucket: total / bucket_bytes rows
+    runs = counts.withColumn("run", F.floor(F.col(bucket) / RUN))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    # one row per run of buckets, total / (RUN * bucket_bytes) rows: 32 GB of text each
+    offsets = runs.groupBy("run").agg(F.sum("n").alias("all")).select(
+        "run", F.coalesce(F.sum("all").over(before.orderBy("run")), F.lit(0)).alias("offset")
+    )
+    inner = F.coalesce(F.sum("n").over(before.partitionBy("run").orderBy(bucket)), F.lit(0))
+    starts = runs.withColumn("inner", inner).join(offsets, "run").withColumn(start, F.col("offset") + F.col("inner"))
     drawn = (
         starts.repartition(DRAWS, bucket)
         .sortWithinPartitions(bucket)
@@ -45,7 +53,8 @@ def with_slots(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shar
     )
     drawn = stored(drawn, "orders")
     inside = Window.partitionBy(bucket).orderBy(F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col(text)), id_col)
-    ranked = scattered.withColumn(rank, F.row_number().over(inside))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_buckets // TASK))
+    ranked = scattered.repartition(tasks, bucket).withColumn(rank, F.row_number().over(inside))
     at = F.col(start) + F.element_at(order, F.col(rank))
     names = [F.col(f"`{c}`") for c in docs.columns]
     return ranked.join(drawn.hint("merge"), F.col(bucket) == F.col(of)).select(

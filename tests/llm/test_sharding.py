@@ -47,3 +47,14 @@ def test_nulls_repeats_and_clashing_columns(spark, docs_of):
         check_law(got, len(rows))
         assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
     assert with_slots(docs.limit(0)).count() == 0
+
+
+def test_starts_do_not_depend_on_the_runs_of_buckets(spark, small_docs, monkeypatch):
+    def slots():
+        return {(r.doc_id, r.shard, r.slot) for r in with_slots(small_docs, bucket_bytes=10_000).collect()}
+
+    whole = slots()
+    for run, task in ((3, 1), (1, 64)):
+        monkeypatch.setattr("matchlens.llm.sharding.RUN", run)
+        monkeypatch.setattr("matchlens.llm.sharding.TASK", task)
+        assert slots() == whole
