@@ -7,6 +7,8 @@ is the join of a game's header with its stats page.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,26 +41,42 @@ _BLANK = " \t\r\n"
 MOST_COLUMNS = 1000
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _referenced(part: Column) -> Column:
     """A part of a text that followed ``&#``: its number as a character, then the rest. Control characters stay references."""
-    number = F.regexp_extract(part, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
-    hexadecimal = F.lower(F.substring(number, 1, 1)) == "x"
-    code = F.when(hexadecimal, F.conv(F.substring(number, 2, 6), 16, 10)).otherwise(number).try_cast("int")
-    letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    valid = (number != "") & (code > 8) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    rest = F.substring(part, F.length(number) + 2, F.length(part))
-    return F.when(valid, F.concat(letter, rest)).otherwise(F.concat(F.lit("&#"), part))
+
+    def character(number: Column) -> Column:
+        hexadecimal = F.lower(F.substring(number, 1, 1)) == "x"
+        code = F.when(hexadecimal, F.conv(F.substring(number, 2, 6), 16, 10)).otherwise(number).try_cast("int")
+        rest = F.substring(part, F.length(number) + 2, F.length(part))
+        return F.when(number != "", _once(code, lambda c: F.when(valid(c), F.concat(letter(c), rest))))
+
+    valid = lambda code: (code > 8) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    letter = lambda code: F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    number = F.regexp_extract(F.substring_index(part, ";", 1), r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6})\z", 1)
+    ended = F.when(part.contains(";"), number).otherwise("")
+    return F.coalesce(_once(ended, character), F.concat(F.lit("&#"), part))
 
 
 def decoded(text: Column) -> Column:
     """Numeric and the common named character references as their characters."""
-    parts = F.split(text, "&#")
-    tail = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), _referenced)
-    numeric = F.concat(F.get(parts, F.lit(0)), F.array_join(tail, ""))
-    named = numeric
-    for reference, letter in NAMED.items():
-        named = F.replace(named, F.lit(reference), F.lit(letter))
-    return F.when(text.contains("&"), named).otherwise(text)
+
+    def characters(t: Column) -> Column:
+        return _once(F.split(t, "&#"), lambda parts: F.concat(
+            F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), _referenced), "")
+        ))
+
+    def named(t: Column) -> Column:
+        out = t
+        for reference, letter in NAMED.items():
+            out = F.replace(out, F.lit(reference), F.lit(letter))
+        return F.when(t.contains("&"), out).otherwise(t)
+
+    return _once(text, lambda t: F.when(t.contains("&"), _once(characters(t), named)).otherwise(t))
 
 
 def inner_text(html: Column) -> Column:
@@ -124,7 +142,7 @@ def stat_grid() -> Column:
     flat = first_table(F.col("html"))
     for pattern, mark in ((ROW, _ROW), (CELL, f"{_CELL}$1$2{_TEXT}"), (CELL_END, _END), (TAG, " ")):
         flat = F.regexp_replace(flat, pattern, mark)
-    data = F.filter(F.split(decoded(flat), _ROW), lambda r: r.contains(_CELL + "d") | r.contains(_CELL + "D"))
+    rows = F.filter(F.split(decoded(flat), _ROW), lambda r: r.contains(_CELL + "d") | r.contains(_CELL + "D"))
     every = F.lit(1 << 30)
     text = lambda body: F.trim(F.substring_index(body, _END, 1), F.lit(_BLANK))
 
@@ -133,8 +151,9 @@ def stat_grid() -> Column:
         return F.array_repeat(text(F.substring_index(c, _TEXT, -1)), F.greatest(F.lit(1), F.least(columns, F.lit(MOST_COLUMNS))))
 
     cells = lambda r: F.slice(F.split(r, _CELL), 2, every)
-    plain = F.transform(data, lambda r: F.transform(cells(r), lambda c: text(F.substring(c, F.lit(3), every))))
-    return F.when(F.lower("html").contains("colspan"), F.transform(data, lambda r: F.flatten(F.transform(cells(r), wide)))).otherwise(plain)
+    plain = lambda data: F.transform(data, lambda r: F.transform(cells(r), lambda c: text(F.substring(c, F.lit(3), every))))
+    spanned = lambda data: F.transform(data, lambda r: F.flatten(F.transform(cells(r), wide)))
+    return _once(rows, lambda data: F.when(F.lower("html").contains("colspan"), spanned(data)).otherwise(plain(data)))
 
 
 def parsed_games(pages: DataFrame) -> DataFrame:

@@ -300,3 +300,18 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     got = spark.read.parquet(dirs[1]).orderBy("k").collect()
     assert [(r.k, r.kde, r.multi_kill, r.dtpd, r.kp_pct) for r in got] == [
         (k, 2.0, 1, 5.0, 0.5) for k in range(3)]
+
+
+def test_a_page_is_parsed_once(spark):
+    pages = spark.createDataFrame([(1, "stats", "<table><tr><td>A</td><td>&#65;&#x42;</td></tr></table>")], "game_id int, page_kind string, html string")
+    parsed = PG.parsed_games(pages)
+    plan = parsed._jdf.queryExecution().analyzed().toString()
+    assert plan.count("thead|tbody|tfoot") == 1  # it ran five times for one page
+    assert parsed.first().grid == [["A", "AB"]]
+
+
+def test_characters_of_odd_references(spark):
+    texts = {"&#65;;&#;x": "A;&#;x", "&#65\n;": "&#65\n;", "&#xD800;": "&#xD800;", "&#8;&#9;": "&#8;\t", "&amp;#65;": "&#65;", "a&#65b;c": "a&#65b;c",
+             "&#1234567": "&#1234567", "&lt;&#38;lt;": "<<", "": "", "&#": "&#", "&#X4a;&nbsp;": "J\u00a0"}
+    got = one(spark, [(t,) for t in texts], "t string", PG.decoded(F.col("t")))
+    assert [g.replace("\u00a0", " ") for g in got] == [t.replace("\u00a0", " ") for t in texts.values()]
