@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlens.operators.pressure import rank_slopes
+from matchlens.sources.storage import pinned
 
 #: Base-two logarithm of the registers of a distinct-count sketch (HyperLogLog).
 LOG_REGISTERS = 14
@@ -82,4 +83,4 @@ def summarise_sketched_slopes(sketches: DataFrame, by: list[str]) -> DataFrame:
         *by, "player", quantile("beta", 0.5).alias("med"), quantile("beta", 0.025).alias("lo"), quantile("beta", 0.975).alias("hi"),
         share_above("beta", 0.0).alias("pr_pos"),
     )
-    return rank_slopes(merged.where("med IS NOT NULL"), by)
+    return rank_slopes(pinned(merged.where("med IS NOT NULL"), "slopes"), by)

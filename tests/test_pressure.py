@@ -216,3 +216,22 @@ def test_digamma_and_trigamma(spark):
         h = 1e-4 * x
         slope = (math.lgamma(x + h) - math.lgamma(x - h)) / (2 * h)
         assert by[x].d == pytest.approx(slope, rel=1e-5)
+
+
+def test_draws_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    draws = spark.range(300).select(F.concat(F.lit("p"), F.col("id") % 3).alias("player"), (F.col("id") / 300).alias("x"))
+    betas = draws.withColumn("beta", F.when(F.col("player") != "p2", F.udf(counted, "double")("x"))).repartition(4, "player")
+    got = P.summarise_slopes(betas.select("player", F.udf(counted, "double")("x").alias("beta"))).collect()
+    assert len(got) == 3 and seen.value == 300  # the filter and the ranking's sample had each drawn again
+    assert {r.player for r in P.summarise_slopes(betas).collect()} == {"p0", "p1"}  # only null draws: no row
+
+
+def test_tasks_that_draw_grow_with_the_players(spark):
+    few, many = (P._spread(spark.range(n), ["id"]).rdd.getNumPartitions() for n in (10, 1000))
+    assert (few, many) == (4, 1000 // P.SPREAD_ROWS)
