@@ -1,145 +1,123 @@
 """Whole games from a stream of player rows.
 
-A game's rows are held as keyed state until all its players are there, however the files cut it.
-Copies of a row, within a run or from an overlapping file of a later run, meet in the state and the
+A game's rows are held in a state table until all its players are there, however the files cut it.
+Copies of a row, within a run or from an overlapping file of a later run, meet there and the
 fullest stays. Games that stay incomplete are handed to the rejects after a while.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from matchlens.schema import PLAYERS_PER_GAME
-from matchlens.sources.batches import BASE_FILE, LINEAGE, drop_copies
+from matchlens.sources.batches import drop_copies
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Column that says why a row is in the rejects.
 REASON = "reject_reason"
-WAITING, WHOLE, BROKEN = 0, 1, 2
-
-
-class GameHolder(StatefulProcessor):
-    """Holds one game: at most `players` rows, then only their keys."""
-
-    def __init__(self, schema: T.StructType, row_keys: list[str], players: int, patience_ms: int, memory_ms: int):
-        self.schema, self.row_keys, self.players = schema, row_keys, players
-        self.patience_ms, self.memory_ms = patience_ms, memory_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        state = T.StructType([
-            T.StructField("status", T.IntegerType()), T.StructField("keys", T.ArrayType(T.StringType())),
-            T.StructField("rows", T.ArrayType(self.schema)),
-        ])
-        self.handle = handle
-        self.game = handle.getValueState("game", state, ttlDurationMs=self.memory_ms)
-
-    def _rank(self, row: Row) -> tuple:
-        """Fullest first, then the base file's, then by file and content: the order in which batches drop copies."""
-        values = [row[f.name] for f in self.schema.fields if f.name not in self.row_keys]
-        file = row[LINEAGE] if LINEAGE in self.schema.fieldNames() else None
-        return (-sum(v is not None for v in values), file != BASE_FILE, file is not None, file or "", [(v is not None, v) for v in values])
-
-    def _key(self, row: Row) -> str:
-        return repr([row[k] for k in self.row_keys])
-
-    def _out(self, row: Row, reason: str | None) -> Row:
-        return Row(**{f.name: row[f.name] for f in self.schema.fields}, **{REASON: reason})
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        now = timerValues.getCurrentProcessingTimeInMs()
-        held = self.game.get() if self.game.exists() else None
-        status, keys = (held[0], set(held[1])) if held else (WAITING, set())
-        kept = {self._key(r): r for r in (Row(**dict(zip(self.schema.fieldNames(), x, strict=True))) for x in (held[2] if held else []))}
-        for row in rows:
-            own = self._key(row)
-            if status == BROKEN:
-                yield self._out(row, "too many players")
-            elif status == WHOLE:
-                if own not in keys:
-                    yield self._out(row, "late")
-            elif own in kept:
-                kept[own] = min(kept[own], row, key=self._rank)
-            else:
-                kept[own] = row
-                if len(kept) > self.players:  # it can never become whole, so nothing is held
-                    yield from (self._out(r, "too many players") for r in kept.values())
-                    status, kept = BROKEN, {}
-        if status == WAITING and len(kept) == self.players:
-            yield from (self._out(r, None) for r in kept.values())
-            status, keys, kept = WHOLE, set(kept), {}
-        if status == WAITING and not held:
-            self.handle.registerTimer(now + self.patience_ms)
-        self.game.update((status, sorted(keys) if status == WHOLE else [], [tuple(r[f.name] for f in self.schema.fields) for r in kept.values()]))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        held = self.game.get() if self.game.exists() else None
-        if held and held[0] == WAITING:
-            names = self.schema.fieldNames()
-            for x in held[2]:
-                yield self._out(Row(**dict(zip(names, x, strict=True))), "incomplete")
-            self.game.clear()
-
-    def close(self) -> None:
-        pass
-
-
-def whole_games(
-    rows: DataFrame, row_keys: list[str], game: str = "game_id", players: int = PLAYERS_PER_GAME, patience_ms: int = 86_400_000,
-    memory_ms: int = 30 * 86_400_000,
+WHOLE, WAITING, OVER, LATE, INCOMPLETE = "whole", "waiting", "too many players", "late", "incomplete"
+STATE, OUTCOME = "__state", "__outcome"
+
+
+def state_type(rows: DataFrame, row_keys: list[str]) -> T.StructType:
+    """What is remembered of a game: how it stands, since when, and the row keys of a whole one."""
+    key = T.StructType([T.StructField(k, rows.schema[k].dataType) for k in row_keys])
+    return T.StructType([
+        T.StructField("status", T.StringType()), T.StructField("since", T.LongType()), T.StructField("keys", T.ArrayType(key)),
+    ])
+
+
+def game_outcomes(
+    rows: DataFrame, states: DataFrame, row_keys: list[str], now: int, game: str = "game_id", players: int = PLAYERS_PER_GAME,
+    patience_ms: int = 86_400_000,
 ) -> DataFrame:
-    """The streaming `rows` with ``reject_reason``: null for rows of games that have all `players` distinct `row_keys`.
+    """The `rows` of a run, those held before included, without copies and with ``__outcome`` and ``__state``.
 
-    A game is let go when it is whole at the end of a micro-batch; copies of its rows that come later
-    are dropped, other rows of it are ``late``. A game with more rows is ``too many players`` from the
-    row that makes it so. A game not whole within `patience_ms` is ``incomplete``, and starts afresh if
-    rows of it come again. What has been let go is remembered for `memory_ms`. At most `players` rows
-    of a game are held, so a game id shared by most rows costs no memory. A null game id is a game.
+    `states` has a row (game, ``__state``) per game that is held or remembered. Rows and states meet in one
+    shuffle by game. Copies of rows of a whole game are left out. A null game id is a game.
     """
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields])
-    out = T.StructType([*schema.fields, T.StructField(REASON, T.StringType())])
-    holder = GameHolder(schema, row_keys, players, patience_ms, memory_ms)
-    return rows.groupBy(game).transformWithState(holder, out, "Append", "ProcessingTime")
+    whole = rows.withColumn(STATE, F.lit(None).cast(state_type(rows, row_keys))).withColumn("__row", F.lit(True))
+    met = whole.unionByName(states.withColumn("__row", F.lit(False)), allowMissingColumns=True).repartition(game)
+    own = W.partitionBy(game)
+    known = drop_copies(met, [game, "__row", *row_keys]).withColumns({
+        STATE: F.max(STATE).over(own), "__n": F.count_if("__row").over(own),
+    })
+    status = F.col(f"{STATE}.status")
+    since = F.coalesce(F.when(status == WAITING, F.col(f"{STATE}.since")), F.lit(now))
+    outcome = (
+        F.when(status == OVER, OVER)
+        .when(status == WHOLE, F.when(~F.array_contains(f"{STATE}.keys", F.struct(*row_keys)), LATE))
+        .when(F.col("__n") > players, OVER)
+        .when(F.col("__n") == players, WHOLE)
+        .when(since + patience_ms <= now, INCOMPLETE)
+        .otherwise(WAITING)
+    )
+    fresh = F.coalesce(status, F.lit(WAITING)) == WAITING  # else the game is remembered already
+    kept = known.where("__row").withColumn(OUTCOME, outcome).where(F.col(OUTCOME).isNotNull())
+    return kept.select(*rows.columns, OUTCOME, since.alias("__since"), fresh.alias("__fresh"))
+
+
+def game_states(settled_rows: DataFrame, row_keys: list[str], now: int, game: str = "game_id") -> DataFrame:
+    """A row (game, ``__state``) for every game of `game_outcomes` that is held or newly let go."""
+    status, key = F.col(OUTCOME), F.struct(*row_keys)
+    since = F.when(status == WAITING, F.col("__since")).otherwise(F.lit(now))
+    new = settled_rows.where(F.col("__fresh") & (status != INCOMPLETE))
+    states = new.groupBy(game, status.alias("status"), since.alias("since")).agg(F.collect_list(F.when(status == WHOLE, key)).alias("keys"))
+    return states.select(game, F.struct("status", "since", "keys").alias(STATE))
 
 
 def ingest_games(
-    spark: SparkSession, rows: DataFrame, out: str, progress: str, row_keys: list[str], rejects: str | None = None, **settings
+    spark: SparkSession, rows: DataFrame, out: str, progress: str, row_keys: list[str], rejects: str | None = None,
+    game: str = "game_id", players: int = PLAYERS_PER_GAME, patience_ms: int = 86_400_000, memory_ms: int = 30 * 86_400_000,
 ) -> StreamingQuery:
     """Drain the stream `rows`: whole games to `out`, the other rows to `rejects` (default: beside `out`).
 
-    Both are written from one pass, a folder per micro-batch that a repeated batch overwrites, so each
-    row is written once whatever fails; read them with `read_games` or `settled`. The state lives in
-    `progress`. Games whose time is over go with the next batch, that is when new files come.
+    A game is let go when it has all `players` distinct `row_keys` at the end of a micro-batch; copies of its
+    rows that come later are dropped, other rows of it are ``late``. A game with more rows is ``too many
+    players`` and its later rows are too. A game not whole within `patience_ms` is ``incomplete``, and starts
+    afresh if rows of it come again. What has been let go is remembered for `memory_ms`. Games whose time is
+    over go with the next batch, that is when new files come.
+
+    Rows, held rows and the states of games are tables with a folder per micro-batch beside `progress`; a
+    micro-batch reads what the ones before it left. A repeated batch overwrites its own folders, so each row
+    is written once whatever fails; read the outputs with `read_games` or `settled`.
     """
     rejects = rejects or f"{out.rstrip('/')}-rejects"
-    needed = {
-        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
-        "spark.sql.streaming.noDataMicroBatches.enabled": "false",  # batches for timers alone would never end
-    }
-    before = {name: spark.conf.get(name) for name in needed}
+    held, states = f"{progress}-batches", f"{progress}-states"
+    game_state = T.StructType([rows.schema[game], T.StructField(STATE, state_type(rows, row_keys))])
 
     def write(batch: DataFrame, number: int) -> None:
-        marked = batch.withColumn("rejected", F.col(REASON).isNotNull())
-        marked.write.mode("overwrite").partitionBy("rejected").parquet(f"{progress}-batches/batch={number}")
-        again = batch.sparkSession.read.schema(marked.schema).parquet(f"{progress}-batches/batch={number}")
-        again.where("not rejected").drop(REASON, "rejected").write.mode("overwrite").parquet(f"{out}/batch={number}")
-        again.where("rejected").drop("rejected").write.mode("overwrite").parquet(f"{rejects}/batch={number}")
-
-    for name, value in needed.items():
-        spark.conf.set(name, value)
-    try:
-        return (
-            whole_games(rows, row_keys, **settings).writeStream.foreachBatch(write).option("checkpointLocation", progress)
-            .outputMode("append").trigger(availableNow=True).start()
-        )
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
+        now, session = int(time.time() * 1000), batch.sparkSession
+        before = session.createDataFrame([], game_state)
+        if number > 0:
+            stored = session.read.schema(T.StructType([*game_state.fields, T.StructField("batch", T.IntegerType())])).parquet(states)
+            waits = F.col(f"{STATE}.status") == WAITING
+            last = waits & (F.col("batch") == number - 1)
+            remembered = ~waits & (F.col("batch") < number) & (F.col(f"{STATE}.since") + memory_ms > now)
+            before = stored.where(last | remembered).drop("batch")
+            again = session.read.schema(marked_schema).parquet(f"{held}/batch={number - 1}")
+            batch = batch.unionByName(again.where(F.col(OUTCOME) == WAITING).select(batch.columns))
+        marked = game_outcomes(batch, before, row_keys, now, game, players, patience_ms)
+        marked.write.mode("overwrite").partitionBy(OUTCOME).parquet(f"{held}/batch={number}")
+        done = session.read.schema(marked_schema).parquet(f"{held}/batch={number}")
+        outcome, plain = F.col(OUTCOME), batch.columns
+        done.where(outcome == WHOLE).select(plain).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        bad = done.where(outcome.isin(OVER, LATE, INCOMPLETE)).select(*plain, outcome.alias(REASON))
+        bad.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
+        game_states(done, row_keys, now, game).write.mode("overwrite").parquet(f"{states}/batch={number}")
+
+    marked_schema = T.StructType([
+        *[T.StructField(f.name, f.dataType) for f in rows.schema.fields], T.StructField("__since", T.LongType()),
+        T.StructField("__fresh", T.BooleanType()), T.StructField(OUTCOME, T.StringType()),
+    ])
+    return (
+        rows.writeStream.foreachBatch(write).option("checkpointLocation", progress).trigger(availableNow=True).start()
+    )
 
 
 def read_games(spark: SparkSession, path: str) -> DataFrame:

@@ -70,3 +70,18 @@ def test_a_game_id_of_many_rows_is_not_held(spark, landing):
     run(rows_of(9, 3000) + rows_of(1, 4))
     assert games.read_games(spark, f"{paths['out']}-rejects").count() == 3000
     assert games.read_games(spark, paths["out"]).count() == 4
+
+
+def test_outcomes_need_one_shuffle_and_no_python_state(spark, capsys):
+    rows = spark.createDataFrame(rows_of(1, 4) + rows_of(2, 2) + rows_of(2, 2, kills=None) + rows_of(3, 1) + rows_of(5, 2), SCHEMA)
+    keys = ["game_id", "player"]
+    known = [(3, ("whole", 7, [(3, "p0"), (3, "p1")])), (4, ("waiting", 7, [])), (5, ("too many players", 7, []))]
+    state = f"game_id long, {games.STATE} struct<status string, since long, keys array<struct<game_id long, player string>>>"
+    done = games.game_outcomes(rows, spark.createDataFrame(known, state), keys, now=10, players=4, patience_ms=1)
+    done.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "Python" not in plan and "TransformWithState" not in plan
+    outcomes = sorted(done.groupBy("game_id", games.OUTCOME).count().collect())
+    assert outcomes == [(1, "whole", 4), (2, "waiting", 2), (5, "too many players", 2)]  # game 3: a copy
+    states = {r.game_id: (r[games.STATE].status, len(r[games.STATE]["keys"])) for r in games.game_states(done, keys, now=10).collect()}
+    assert states == {1: ("whole", 4), 2: ("waiting", 0)}
