@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +28,12 @@ def header_of(spark: SparkSession, path: str) -> tuple[str, ...]:
     return tuple(spark.read.option("header", True).option("inferSchema", False).csv(path).columns)
 
 
+def file_name(path: Column) -> Column:
+    """The last part of a path, or the folder that holds it, that ends in ``.csv``: the folder goes first."""
+    last, folder = F.substring_index(path, "/", -1), F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    return F.when(folder.endswith(".csv"), folder).when(last.endswith(".csv"), last).otherwise("")
+
+
 def read_text_columns(spark: SparkSession, paths: list[str]) -> DataFrame:
     """All files as text under canonical names, matched by name, with the file in ``batch_file``.
 
@@ -40,8 +46,7 @@ def read_text_columns(spark: SparkSession, paths: list[str]) -> DataFrame:
     for header, files in by_header.items():
         text = T.StructType([T.StructField(c, T.StringType()) for c in header])
         scan = spark.read.schema(text).option("header", True).option("enforceSchema", False).csv(files)
-        name = F.regexp_extract("_metadata.file_path", r"([^/]*\.csv)(/[^/]*)?$", 1)
-        parts.append(canonical_columns(scan).withColumn(LINEAGE, name))
+        parts.append(canonical_columns(scan).withColumn(LINEAGE, file_name(F.col("_metadata.file_path"))))
     return union_batches(parts)
 
 
@@ -52,27 +57,41 @@ def typed_columns(text: DataFrame, schema: T.StructType = PLAYER_GAMES) -> tuple
     a fraction in an integer column does not parse. Empty and NaN texts are missing values. Columns
     of the schema that no file has are NULL; columns it does not name stay text.
     """
-    casts, bad = {}, F.lit(False)
+    wanted: dict[T.DataType, list[str]] = {}
     for f in schema.fields:
-        if f.name not in text.columns:
-            casts[f.name] = F.lit(None).cast(f.dataType)
-            continue
-        if isinstance(f.dataType, T.StringType):
-            continue
-        raw = F.trim(f"`{f.name}`")
-        raw = F.when(~F.lower(raw).isin("", "nan"), raw)
-        number = raw.try_cast("double")
-        value = number
-        if isinstance(f.dataType, T.BooleanType):
-            value = F.coalesce(raw.try_cast("boolean"), number != 0)
-        elif not isinstance(f.dataType, T.DoubleType):
-            value = F.when(number == F.floor(number), number.try_cast(f.dataType))
-        casts[f.name] = value
-        bad = bad | (raw.isNotNull() & value.isNull())
-    marked = text.withColumn("__bad", bad)
-    clean = marked.where(~F.col("__bad")).drop("__bad").withColumns(casts)
-    rest = [c for c in clean.columns if c not in schema.fieldNames()]
-    return clean.select(*schema.fieldNames(), *rest), marked.where("__bad").drop("__bad")
+        if f.name in text.columns and not isinstance(f.dataType, T.StringType):
+            wanted.setdefault(f.dataType, []).append(f.name)
+    # generated rows, one per row: what is above them reads the cells and does not parse again
+    types, rows = list(wanted), F.lit(True).alias("row")
+    named = F.struct(*[_texts(wanted[t]).alias(f"t{i}") for i, t in enumerate(types)], rows)
+    values = F.struct(*[_values(F.col(f"__texts.t{i}"), t).alias(f"t{i}") for i, t in enumerate(types)], rows)
+    parsed = text.select("*", F.explode(F.array(named)).alias("__texts")).select("*", F.explode(F.array(values)).alias("__values"))
+    present = lambda cells: F.size(F.filter(cells, lambda cell: cell.isNotNull()))
+    faults = [present(F.col(f"__texts.t{i}")) > present(F.col(f"__values.t{i}")) for i in range(len(types))]
+    marked = parsed.withColumn("__bad", reduce(lambda a, b: a | b, faults, F.lit(False)))
+    casts = {c: F.col(f"__values.t{i}")[n] for i, t in enumerate(types) for n, c in enumerate(wanted[t])}
+    casts |= {f.name: F.lit(None).cast(f.dataType) for f in schema.fields if f.name not in text.columns}
+    rest = [c for c in text.columns if c not in schema.fieldNames()]
+    clean = marked.where(~F.col("__bad")).withColumns(casts).select(*schema.fieldNames(), *[f"`{c}`" for c in rest])
+    return clean, marked.where("__bad").drop("__texts", "__values", "__bad")
+
+
+def _texts(columns: list[str]) -> Column:
+    """The cells of some columns as an array, missing ones NULL.
+
+    Steps over arrays: written out for every column they make a method of code too long to be compiled.
+    """
+    return F.transform(F.array(*[F.trim(f"`{c}`") for c in columns]), lambda raw: F.when(~F.lower(raw).isin("", "nan"), raw))
+
+
+def _values(texts: Column, kind: T.DataType) -> Column:
+    """The values of `texts`, NULL where a text is none of this type."""
+    numbers = texts.try_cast("array<double>")
+    if isinstance(kind, T.DoubleType):
+        return numbers
+    if isinstance(kind, T.BooleanType):
+        return F.transform(texts, lambda raw: F.coalesce(raw.try_cast("boolean"), raw.try_cast("double") != 0))
+    return F.transform(numbers, lambda number: F.when(number == F.floor(number), number.try_cast(kind)))
 
 
 def existing_batches(spark: SparkSession, base: str) -> list[str]:

@@ -315,3 +315,20 @@ def test_characters_of_odd_references(spark):
              "&#1234567": "&#1234567", "&lt;&#38;lt;": "<<", "": "", "&#": "&#", "&#X4a;&nbsp;": "J\u00a0"}
     got = one(spark, [(t,) for t in texts], "t string", PG.decoded(F.col("t")))
     assert [g.replace("\u00a0", " ") for g in got] == [t.replace("\u00a0", " ") for t in texts.values()]
+
+
+def test_text_is_parsed_once_and_by_short_code(spark, capsys):
+    text = spark.createDataFrame([("1.0", "NaN", "x"), ("n/a", "2", "y"), (" 3 ", "", None)], "kills string, dpm string, player string")
+    clean, bad = B.typed_columns(text)
+    clean.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("explode(") == 2 and plan.count("trim(kills") == 1  # the filter and the columns share one parse
+    assert [tuple(r) for r in clean.select("kills", "dpm", "player").collect()] == [(1, None, "x"), (3, None, None)]
+    assert [tuple(r) for r in bad.collect()] == [("n/a", "2", "y")]
+
+
+def test_file_names_as_the_pattern_had_them(spark):
+    paths = ["file:/a/all.csv/part-0.csv", "file:/a/all.csv/part-0", "s3://b/x.csv", "b/x.csv.gz", "x.csv", "/a.csv/b/c.csv", "/a.csv/b/c"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    old = F.regexp_extract("p", r"([^/]*\.csv)(/[^/]*)?$", 1)
+    assert df.where(~B.file_name(F.col("p")).eqNullSafe(old)).count() == 0
