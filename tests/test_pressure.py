@@ -235,3 +235,51 @@ def test_draws_are_worked_out_once(spark):
 def test_tasks_that_draw_grow_with_the_players(spark):
     few, many = (P._spread(spark.range(n), ["id"]).rdd.getNumPartitions() for n in (10, 1000))
     assert (few, many) == (4, 1000 // P.SPREAD_ROWS)
+
+
+def test_contexts_are_laid_out_in_compiled_code(spark):
+    schema = "player string, state string, international int, bo5 boolean, final3 boolean, performance_score double"
+    long = P.pressure_rows(spark.createDataFrame([("a", "Playoffs", 1, True, None, 0.5), ("b", None, None, None, True, 0.2)], schema))
+    plan = long._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "Generate inline" in plan
+    got = {(r.context, r.player, r.pressure) for r in long.collect()}
+    assert got == {("playoff", "a", 1), ("international", "a", 1), ("bo5_final", "a", None)}
+
+
+def test_moments_of_a_player_need_one_shuffle_and_equal_a_loop(spark):
+    data = [("bo5_final", f"p{i % 5}" if i % 11 else None, f"o{i % 3}", (0, 1, None)[i % 7 % 3], None if i % 13 == 0 else i % 17 / 16) for i in range(200)]
+    data += [("playoff", "once", "o0", 1, 0.5), ("playoff", "both", "o0", 1, 0.4), ("playoff", "both", "o1", 0, 0.7)]
+    long = spark.createDataFrame(data, SCHEMA)
+    moments = P.player_moments(long)
+    plan = moments._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
+    n_context = {"bo5_final": sum(c is not None for k, _, _, c, _ in data if k == "bo5_final"), "playoff": 2}
+    want = {}
+    for context, player, _, pressure, score in data:
+        n, total, squares = want.setdefault((context, player, pressure), (0, 0.0, 0.0))
+        if score is not None:
+            m = n_context[context]
+            y = (score * (m - 1) + 0.5) / m
+            z = math.log(y / (1 - y))
+            n, total, squares = n + 1, total + z, squares + z * z
+        want[context, player, pressure] = n, total, squares
+    del want["playoff", "once", 1]
+    groups = {(r.context, r.player, r.pressure): r for r in P._groups(moments).collect()}
+    assert set(groups) == set(want)
+    for key, (n, total, squares) in want.items():
+        assert groups[key].n == n and groups[key].n_context == n_context[key[0]]
+        assert groups[key].mean == pytest.approx(total / n) and groups[key].ss == pytest.approx(squares - total * total / n)
+
+
+def test_cells_are_a_file_per_bucket_and_give_the_same_moments(spark):
+    long = rows(spark, SPREAD)
+    cells = P._cells(long, P.BOTH_CONDITIONS, "opponent")
+    assert len(cells.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    again = P._cell_moments(cells)
+    assert "Exchange" not in again._jdf.queryExecution().executedPlan().toString()
+    plain = {r.player: r for r in P.player_moments(long).collect()}
+    found = {r.player: r for r in again.collect()}
+    assert set(found) == set(plain) == {"a", "b", "c"}
+    for player, r in found.items():
+        for k in (0, 1):
+            assert r[f"n{k}"] == plain[player][f"n{k}"] and r[f"p{k}"] == pytest.approx(plain[player][f"p{k}"])
