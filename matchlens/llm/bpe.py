@@ -26,8 +26,8 @@ from matchlens.llm.common import new_folder, stored
 
 #: Characters of text in a chunk of documents; a longer document is a chunk of its own.
 CHUNK_CHARS = 16_000_000
-#: Words whose ids and texts are laid out at a time.
-SPELT_WORDS = 1 << 18
+#: Words, or tokens, whose numbers, ids and texts are laid out at a time: places take eight bytes a character.
+SPELT_WORDS = 1 << 15
 #: The split of the word tokenizer, a fixed value of its file, as a Python pattern.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: The same, with the ends of lines as marks between tokens.
@@ -141,10 +141,14 @@ def chunks(docs: DataFrame, path: str, id_col: str, text: str, chunk_chars: int
     def row(chunk: int, ids: list, ends: list, tokens: dict[str, int], refs: array) -> pa.RecordBatch:
         starts, lengths, words, numbers = words_of(list(tokens))
         used = np.frombuffer(refs, np.uint32)
-        numbers = numbers[_ranges(starts[used], lengths[used])]
-        until = np.concatenate([[0], np.cumsum(lengths[used])])[ends]
+        until = np.zeros(len(used) + 1, np.int64)
+        np.cumsum(lengths.astype(np.int32)[used], out=until[1:])
+        until = until[ends]
+        parts = np.array_split(used, len(used) // SPELT_WORDS + 1)
+        numbers = np.concatenate([numbers[_ranges(starts[part], lengths[part])] for part in parts])
         names = np.array(words, object)
-        order = np.argsort(-np.bincount(numbers, minlength=len(names)), kind="stable")
+        counts = sum(np.bincount(part, minlength=len(names)) for part in np.array_split(numbers, len(numbers) // SPELT_WORDS + 1))
+        order = np.argsort(-counts, kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         values = chunk, names[order].tolist(), ids, np.diff(until, prepend=0), _pack(rank[numbers], len(names))

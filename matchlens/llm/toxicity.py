@@ -39,6 +39,8 @@ CALIBRATE = 0.4
 GRAMS = 6, 9, 12
 #: Share of toxic texts that a string must occur in, and how many times the ordinary share that must be.
 LEAST_SHARE, LEAST_RATIO = 0.01, 20
+#: Byte strings that are counted at once, of which each takes eight bytes a few times over.
+STRINGS_AT_ONCE = 500_000
 THRESHOLD = 0.7
 SEED = 42
 
@@ -60,6 +62,11 @@ def _grams(data: bytes, length: int) -> np.ndarray:
     return out
 
 
+def _dealt(grams: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each byte string, equal ones in the same."""
+    return (grams * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)
+
+
 def _flat(text: str) -> bytes:
     return (" " + " ".join(normal(text)) + " ").encode()
 
@@ -79,13 +86,18 @@ def _without_copies(texts: list[str]) -> list[str]:
 
 def _toxic_strings(toxic: list[str], ordinary: list[str], length: int) -> np.ndarray:
     """Strings that many toxic texts have and that are rare in ordinary ones."""
-    strings, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for start in range(0, len(toxic), 250):
-        new, n = np.unique(np.concatenate([np.unique(_grams(_flat(t), length)) for t in toxic[start : start + 250]]), return_counts=True)
-        strings, back = np.unique(np.concatenate([strings, new]), return_inverse=True)
-        counts = np.bincount(back, np.concatenate([counts, n]), len(strings)).astype(np.int64)
-    often = counts >= max(3, LEAST_SHARE * len(toxic))
-    strings, counts = strings[often], counts[often]
+    flat = [_flat(t) for t in toxic]
+    parts = 1 + sum(map(len, flat)) // STRINGS_AT_ONCE
+    found = []
+    for part in range(parts):
+        own = np.sort(np.concatenate([np.zeros(0, np.uint64), *[np.unique(g[_dealt(g, parts) == part]) for g in (_grams(data, length) for data in flat)]]))
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])
+        counts = np.diff(first, append=len(own))
+        often = counts >= max(3, LEAST_SHARE * len(toxic))
+        found.append((own[first[often]], counts[often]))
+    strings, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(strings)
+    strings, counts = strings[order], counts[order]
     known = np.zeros(len(strings), np.int64)
     for text in ordinary if len(strings) else []:
         grams = _grams(_flat(text), length)

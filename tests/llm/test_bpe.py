@@ -2,7 +2,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -68,3 +71,32 @@ def test_nulls_repeats_long_texts_and_clashing_columns(spark, docs_of, library,
         want = sorted(((d, len(wanted(library, t)[0]), tuple(wanted(library, t)[0]), wanted(library, t)[1]) for d, t in rows), key=str)
         assert got == want
     assert encode(docs.limit(0), PATH).count() == 0
+
+
+def test_a_long_chunk_is_laid_out_in_parts(spark, monkeypatch):
+    """Eight bytes for every word number at once would be several times what a chunk keeps."""
+
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(bpe, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    run = bpe.chunks(Docs(), tokenizer_path(), "doc_id", "text")
+    n, length = 300, 10_000
+    texts = [" ".join(f"w{(i * length + j) % 977}" for j in range(length)) for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(texts)], ["id", "text"])
+    tracemalloc.start()
+    try:
+        rows = pa.Table.from_batches(list(run(iter([batch])))).to_pylist()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    numbers = [bpe._unpack(r["numbers"], len(r["words"])) for r in rows]
+    assert sum(len(x) for x in numbers) == sum(sum(r["lengths"]) for r in rows)
+    first = bpe.Splitter(tokenizer_path())(texts[0])
+    assert [rows[0]["words"][i] for i in numbers[0][: rows[0]["lengths"][0]]] == first
+    # per word number: eight bytes of running lengths, four each of tokens, lengths, numbers, their parts and ranks, and the split text of a batch
+    assert peak < 70 * n * length

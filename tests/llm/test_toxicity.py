@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +90,22 @@ def test_nulls_repeats_missing_labels_and_clashing_columns(spark, labelled, docs
         model = train(docs, some)
         assert all(r.predicted == 0 for r in toxicity.report(docs, some).collect()) and model.weights
     assert report(docs.limit(0), labels).count() == 0
+
+
+def test_strings_are_counted_in_parts(monkeypatch):
+    """The same strings whatever the parts, and memory by the part, not by all strings of the sample."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    toxic = [" ".join([*(word() for _ in range(2_000)), "vile slur here"]) for _ in range(60)]
+    ordinary = [" ".join(word() for _ in range(200)) for _ in range(60)]
+    tracemalloc.start()
+    try:
+        found = toxicity._toxic_strings(toxic, ordinary, 6)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert {int(x) for x in toxicity._grams(b" vile slur here ", 6)} <= {int(x) for x in found}
+    assert peak < 30 * sum(map(len, toxic))
+    monkeypatch.setattr(toxicity, "STRINGS_AT_ONCE", 1 << 40)
+    np.testing.assert_array_equal(found, toxicity._toxic_strings(toxic, ordinary, 6))
+    assert len(toxicity._toxic_strings([], ordinary, 6)) == 0
