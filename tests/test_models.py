@@ -1,6 +1,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
 from conftest import SMALL
@@ -160,3 +164,30 @@ def test_run_with_and_without_training(spark, tmp_path):
     assert full.frames["failures"].count() == 0 and "pressure_slopes" not in full.frames
     text = report_text(full.report)
     assert "# models" in text and "Top: logistic" in text
+
+
+def test_search_works_out_the_rows_once_and_scores_as_cross_validation(spark):
+    rows = [(f"r{i}", float(i % 7), float((i * i) % 11), int((i * 5) % 13 > 5), i % 3) for i in range(240)]
+    worked_out = spark.sparkContext.accumulator(0)
+
+    def counted(x: float) -> float:
+        worked_out.add(1)
+        return x
+
+    plain = spark.createDataFrame(rows, "row_key string, a double, b double, win int, fold int").repartition(3, "row_key")
+    train = plain.withColumn("a", F.udf(counted, "double")("a"))
+    settings = [{"n_estimators": 3, "max_depth": 2}, {"n_estimators": 5, "max_depth": 4}]
+    fit = TR.fit_family(train, "Top", "random_forest", settings, features=["a", "b"])
+    assert worked_out.value == len(rows) and fit.n_train == len(rows)
+
+    inputs = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(plain).select("features", "win", "fold")
+    search, estimators = Pipeline(stages=[]), [TR.classifier("random_forest", p, 160, 2) for p in settings]
+    whole = CrossValidator(
+        estimator=search, estimatorParamMaps=[{search.stages: [e]} for e in estimators], numFolds=3, foldCol="fold",
+        evaluator=BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="win", numBins=0),
+    ).fit(inputs)
+    assert [auc for _, auc in fit.searched] == pytest.approx(whole.avgMetrics, abs=1e-12)
+    assert fit.cv_auc == max(auc for _, auc in fit.searched)
+    assert fit.model.stages[-1].toDebugString.split("\n", 1)[1] == whole.bestModel.stages[0].toDebugString.split("\n", 1)[1]
+    with pytest.raises(ValueError, match="folds 0 to 2"):
+        TR.fit_family(plain.where("fold < 2"), "Top", "random_forest", settings, features=["a", "b"])
