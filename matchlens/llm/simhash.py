@@ -75,7 +75,8 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, crowded: int = CROWDED)
     `max_bits` is at most 3, the reach of two segments with radius 1. A slot of the table that more
     than `crowded` fingerprints share is not compared within itself: its members are told apart by
     the same lookup on the halves of their other segment (two bits apart or less on one side of it
-    means one bit or none in one of its halves), so no slot is compared as a whole.
+    means one bit or none in one of its halves), so no slot is compared as a whole. The exploded
+    sides are never broadcast: the optimiser takes them for as small as what they are made from.
     """
     if max_bits > 3:
         raise ValueError("two segments with radius 1 reach three differing bits")
@@ -90,17 +91,19 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, crowded: int = CROWDED)
     once = (F.col("p.own") != F.col("p.slot")) | (F.col("p.fp") < F.col("t.fp"))
     plain = (
         probes.alias("p")
+        .hint("merge")
         .join(marked_table.where("not full").alias("t"), ["seg", "slot"])
         .where(near & once)
         .select(F.col("p.fp").alias("a"), F.col("t.fp").alias("b"))
     )
 
     inner = marked_table.where("full").select("seg", "slot", "fp", F.inline(_quarters(F.col("other"), False)))
-    outer = probes.join(crowded_slots, ["seg", "slot"]).select(
+    outer = probes.join(crowded_slots, ["seg", "slot"], "left_semi").select(
         "seg", "slot", "fp", "own", F.inline(_quarters(F.col("other"), True))
     )
     split = (
         outer.alias("p")
+        .hint("merge")
         .join(inner.alias("t"), ["seg", "slot", "sub", "subslot"])
         .where(near & once)
         .select(F.col("p.fp").alias("a"), F.col("t.fp").alias("b"))

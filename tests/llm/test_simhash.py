@@ -88,3 +88,13 @@ def test_keep_one_loses_no_text_of_a_repeated_id(spark, docs_of):
     docs = docs_of([(1, a), (1, b), (2, a), (2, c), (3, b), (1, a), (4, None), (4, None)])
     assert sorted((r.doc_id, r.text) for r in keep_one(docs.where("text is not null")).collect()) == sorted([(1, a), (1, b), (2, c)])
     assert sorted(r.doc_id for r in keep_one(docs).collect()) == [1, 1, 2, 4]
+
+
+def test_exploded_sides_are_not_broadcast(spark):
+    distinct = spark.range(3000).select(F.xxhash64("id").alias("fp"))
+    for crowded in (256, 0):
+        plan = links(distinct, crowded=crowded)._jdf.queryExecution().sparkPlan().toString().split("\n")
+        pairs = [line for line in plan if "Join" in line and "bit_count" in line]
+        assert len(pairs) == 2 and all("SortMergeJoin" in line for line in pairs)
+        others = [line for line in plan if "Join" in line and "bit_count" not in line]
+        assert others and all("LeftSemi" in line for line in others)  # which may build its right side only
