@@ -12,7 +12,7 @@ from matchlens.operators import evaluate as E
 from matchlens.operators import scoring as S
 from matchlens.operators import training as TR
 from matchlens.operators.features import engineer_features
-from matchlens.plans import workflow
+from matchlens.plans import catalog, workflow
 from matchlens.plans.report import report_text
 from matchlens.schema import FEATURES, ROLES
 from matchlens.sources import match_views as mv
@@ -191,3 +191,20 @@ def test_search_works_out_the_rows_once_and_scores_as_cross_validation(spark):
     assert fit.model.stages[-1].toDebugString.split("\n", 1)[1] == whole.bestModel.stages[0].toDebugString.split("\n", 1)[1]
     with pytest.raises(ValueError, match="folds 0 to 2"):
         TR.fit_family(plain.where("fold < 2"), "Top", "random_forest", settings, features=["a", "b"])
+
+
+def test_gbt_and_net_search_the_whole_draw(spark, monkeypatch):
+    asked = {}
+
+    def searched(prepared, families, settings, **_):
+        asked.update({f: settings(f) for f in families})
+        raise InterruptedError
+
+    monkeypatch.setattr(catalog.TR, "prepare_training", lambda rows: None)
+    monkeypatch.setattr(catalog.TR, "train_roles", searched)
+    monkeypatch.setattr(catalog, "_features", lambda spark, d: None)
+    for query in ("train_gbt", "train_mlp"):
+        with pytest.raises(InterruptedError):
+            catalog.QUERIES[query](spark, SMALL)
+    assert asked == {f: TR.draw_parameters(f) for f in ("xgboost", "neural_network")}
+    assert {f: len(p) for f, p in asked.items()} == {"xgboost": 20, "neural_network": 10}
