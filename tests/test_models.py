@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import threading
+import time
+
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -208,3 +211,23 @@ def test_gbt_and_net_search_the_whole_draw(spark, monkeypatch):
             catalog.QUERIES[query](spark, SMALL)
     assert asked == {f: TR.draw_parameters(f) for f in ("xgboost", "neural_network")}
     assert {f: len(p) for f, p in asked.items()} == {"xgboost": 20, "neural_network": 10}
+
+
+@pytest.mark.parametrize("rows, most", [(1000, 4), (400, 2), (100, 1)])
+def test_large_fits_do_not_run_at_the_same_time(spark, monkeypatch, rows, most):
+    running, seen, lock = [], [], threading.Lock()
+
+    def fit(train, role, family, *_, **__):
+        with lock:
+            running.append(role)
+            seen.append(len(running))
+        time.sleep(0.3)
+        with lock:
+            running.remove(role)
+
+    monkeypatch.setattr(TR, "fit_family", fit)
+    monkeypatch.setattr(TR, "ROWS_AT_ONCE", rows)
+    prepared = spark.range(1000).selectExpr("id", "element_at(array('Top', 'Mid', 'ADC', 'Support', 'Jungle'), int(id % 5) + 1) AS role", "false AS is_test")
+    TR.train_roles(prepared, ["logistic"])
+    assert len(seen) == 5 and max(seen) == most
+    assert [TR.at_once(2, n) for n in (1, rows // 2, rows // 2 + 1, 10 * rows, 0)] == [2, 2, 1, 1, 2]
