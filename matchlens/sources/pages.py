@@ -21,6 +21,7 @@ from matchlens.schema import (
     PLAYERS_PER_GAME,
     PLAYERS_PER_TEAM,
 )
+from matchlens.sources.storage import pinned
 
 # --- fixed values: patterns of the page layout ------------------------------
 FROM_TABLE = r"(?is)<table[\s>].*"
@@ -131,6 +132,32 @@ def first_table(html: Column) -> Column:
     return F.aggregate(F.filter(pieces, lambda x: x != ""), start, step, lambda at: at["text"])
 
 
+def _marked_table() -> Column:
+    """First table of a stats page, its rows and cells marked, other tags taken out, references not yet decoded."""
+    flat = first_table(F.col("html"))
+    for pattern, mark in ((ROW, _ROW), (CELL, f"{_CELL}$1$2{_TEXT}"), (CELL_END, _END), (TAG, " ")):
+        flat = F.regexp_replace(flat, pattern, mark)
+    return flat
+
+
+def _data_rows(flat: Column) -> Column:
+    return F.filter(F.split(flat, _ROW), lambda r: r.contains(_CELL + "d") | r.contains(_CELL + "D"))
+
+
+def _cells_of(row: Column) -> Column:
+    return F.slice(F.split(row, _CELL), 2, F.lit(1 << 30))
+
+
+def _columns_of(cell: Column) -> Column:
+    """Columns that a cell takes: what its tag says, within bounds."""
+    columns = F.coalesce(F.substring(F.substring_index(cell, _TEXT, 1), 2, 4).try_cast("int"), F.lit(1))
+    return F.greatest(F.lit(1), F.least(columns, F.lit(MOST_COLUMNS)))
+
+
+def _spans() -> Column:
+    return F.lower("html").contains("colspan")
+
+
 def stat_grid() -> Column:
     """First table of a stats page: array of rows, each an array of cell texts.
 
@@ -139,21 +166,22 @@ def stat_grid() -> Column:
     holds column labels, not data, and is left out. All passes run over the whole table, no pattern
     runs per cell.
     """
-    flat = first_table(F.col("html"))
-    for pattern, mark in ((ROW, _ROW), (CELL, f"{_CELL}$1$2{_TEXT}"), (CELL_END, _END), (TAG, " ")):
-        flat = F.regexp_replace(flat, pattern, mark)
-    rows = F.filter(F.split(decoded(flat), _ROW), lambda r: r.contains(_CELL + "d") | r.contains(_CELL + "D"))
     every = F.lit(1 << 30)
     text = lambda body: F.trim(F.substring_index(body, _END, 1), F.lit(_BLANK))
+    wide = lambda c: F.array_repeat(text(F.substring_index(c, _TEXT, -1)), _columns_of(c))
+    plain = lambda data: F.transform(data, lambda r: F.transform(_cells_of(r), lambda c: text(F.substring(c, F.lit(3), every))))
+    spanned = lambda data: F.transform(data, lambda r: F.flatten(F.transform(_cells_of(r), wide)))
+    return _once(_data_rows(decoded(_marked_table())), lambda data: F.when(_spans(), spanned(data)).otherwise(plain(data)))
 
-    def wide(c: Column) -> Column:
-        columns = F.coalesce(F.substring(F.substring_index(c, _TEXT, 1), 2, 4).try_cast("int"), F.lit(1))
-        return F.array_repeat(text(F.substring_index(c, _TEXT, -1)), F.greatest(F.lit(1), F.least(columns, F.lit(MOST_COLUMNS))))
 
-    cells = lambda r: F.slice(F.split(r, _CELL), 2, every)
-    plain = lambda data: F.transform(data, lambda r: F.transform(cells(r), lambda c: text(F.substring(c, F.lit(3), every))))
-    spanned = lambda data: F.transform(data, lambda r: F.flatten(F.transform(cells(r), wide)))
-    return _once(rows, lambda data: F.when(F.lower("html").contains("colspan"), spanned(data)).otherwise(plain(data)))
+def page_players() -> Column:
+    """`grid_players` of the page's `stat_grid`, from the marks alone: no text of a cell is decoded or kept."""
+    plain = lambda data: F.transform(data, lambda r: F.size(F.split(r, _CELL)) - 1)
+    spanned = lambda data: F.transform(
+        data, lambda r: F.aggregate(F.transform(_cells_of(r), _columns_of), F.lit(0), lambda total, c: total + c)
+    )
+    widest = _once(_data_rows(_marked_table()), lambda data: F.array_max(F.when(_spans(), spanned(data)).otherwise(plain(data))))
+    return F.when(F.col("html").isNotNull(), F.coalesce(widest, F.lit(1)) - 1)
 
 
 def parsed_games(pages: DataFrame) -> DataFrame:
@@ -213,12 +241,29 @@ def player_columns(
 
 
 def page_rejects(pages: DataFrame, players: int = PLAYERS_PER_GAME) -> DataFrame:
-    """``game_id, reject`` of the games that `pages_to_player_games` leaves out, and why."""
-    named = parsed_games(pages).select(
+    """``game_id, reject`` of the games that `pages_to_player_games` leaves out, and why.
+
+    Only numbers of players are gathered, no grids. Stored copies of a game's stats page that differ in their number
+    are compared by their grids, and only those: the least grid counts, as everywhere.
+    """
+    kind = F.col("page_kind")
+    width = F.when(kind == "stats", page_players())
+    counted = pinned(
+        pages.select("game_id", F.when(kind == "header", header_lines()).alias("header"), width.alias("width"))
+        .groupBy("game_id")
+        .agg(F.min("header").alias("header"), F.min("width").alias("n_players"), F.max("width").alias("most")),
+        "pages",
+    ).select("game_id", "header.blue_text", "header.red_text", "n_players", "most")
+    unlike = pinned(counted.where(F.col("n_players") != F.col("most")).select(F.col("game_id").alias("unlike")), "unlike")
+    if not unlike.isEmpty():
+        same = F.col("game_id").eqNullSafe(F.col("unlike"))
+        least = parsed_games(pages.join(unlike, same, "left_semi")).select(F.col("game_id").alias("unlike"), grid_players().alias("least"))
+        counted = counted.join(least, same, "left").withColumn("n_players", F.coalesce("least", "n_players"))
+    named = counted.select(
         "game_id",
         F.col("blue_text").isNull().alias("headless"),
-        F.col("grid").isNull().alias("statless"),
-        grid_players().alias("n_players"),
+        F.col("n_players").isNull().alias("statless"),
+        "n_players",
         team_from_header("blue_text").alias("blue_team"),
         team_from_header("red_text").alias("red_team"),
         winner_from_headers("blue_text", "red_text").alias("winning_team"),

@@ -332,3 +332,28 @@ def test_file_names_as_the_pattern_had_them(spark):
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     old = F.regexp_extract("p", r"([^/]*\.csv)(/[^/]*)?$", 1)
     assert df.where(~B.file_name(F.col("p")).eqNullSafe(old)).count() == 0
+
+
+def test_rejects_count_players_without_grids(spark, monkeypatch):
+    def stats(*rows):
+        return "<table>" + "".join("<tr>" + "".join(f"<td{a}>{v}</td>" for a, v in r) + "</tr>" for r in rows) + "</table>"
+
+    def row(name, n, span=""):
+        return [("", name), *[("", "1")] * (n - 1), (span, "&#50;")]
+
+    header = '<div class="blue-line-header">A - WIN</div><div class="red-line-header">B - LOSS</div>'
+    two, three = stats(row("Kills", 2)), stats(row("Deaths", 1), row("Kills", 3))
+    odd = [stats(row("Kills", 1, " colspan=2")), stats(row("Kills", 1, " colspan='0'")), "", None, "<table></table>", "<table><tr><td>x<td <b>y</table>",
+           stats([("", "K")], row("Kills", 2)), "<TABLE><TR><TH>K<TH>1<TR><TD>K<TD>1<TD>2"]
+    pages = [(i, "stats", html) for i, html in enumerate(odd)] + [(20, "stats", two)] * 2
+    copies = [(21, "stats", two), (21, "stats", three), (22, "stats", "<table><tr><td>A</td></tr></table>"), (22, "stats", two), (None, "stats", two),
+              (None, "stats", three), (23, None, two)]
+    schema = "game_id int, page_kind string, html string"
+    heads = [(i, "header", header) for i in (*range(len(odd)), 20, 21, 22, 23, None)]
+    whole = spark.createDataFrame(pages + copies + heads, schema)
+    grids = {r.game_id: r for r in PG.parsed_games(whole).select("game_id", "grid", PG.grid_players().alias("n")).collect()}
+    want = {(i, "no stats page" if r.grid is None else "wrong number of players") for i, r in grids.items() if r.grid is None or r.n != 2}
+    assert {(r.game_id, r.reject) for r in PG.page_rejects(whole, 2).collect()} == want and len(want) > 4
+    alike = spark.createDataFrame(pages + heads, schema)
+    monkeypatch.setattr(PG, "stat_grid", None)
+    assert {(r.game_id, r.reject) for r in PG.page_rejects(alike, 2).collect() if r.game_id in range(20)} == {w for w in want if w[0] in range(20)}
